@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, although body names it more than once or inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")

@@ -85,6 +85,18 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tupl
     return [*blocks, tuple(block)] if block else blocks
 
 
+def _scan(shared, window: int):
+    @arrow_udf(RESULT)
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = [scanned(t or "", shared.value, window) for t in texts.to_pylist()]
+        return pa.array(
+            [{"n_words": n, "hits": [{"start": a, "end": b, "n": c} for a, b, c in spans], "items": found} for n, spans, found in rows],
+            pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32())]))), ("items", pa.list_(pa.string()))]),
+        )
+
+    return scan
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with `n_words` and `hits` (start, end as character offsets of the original text, n words; merged and in order),
     `items` (sorted ids, as strings, of the benchmark items with an occurring window).
@@ -98,19 +110,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     out = docs
     names = []
     for k, block in enumerate(blocks_of(benchmark, block_chars) or [()]):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        @arrow_udf(RESULT)
-        def scan(texts: pa.Array, shared=shared) -> pa.Array:
-            items = shared.value
-            rows = [scanned(t or "", items, window) for t in texts.to_pylist()]
-            return pa.array(
-                [{"n_words": n, "hits": [{"start": a, "end": b, "n": c} for a, b, c in spans], "items": found} for n, spans, found in rows],
-                pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32())]))), ("items", pa.list_(pa.string()))]),
-            )
-
         names.append(f"_scan{k}")
-        out = out.withColumn(names[-1], scan(F.col("text")))
+        out = out.withColumn(names[-1], _scan(docs.sparkSession.sparkContext.broadcast(block), window)(F.col("text")))
     if len(names) > 1:
         hits = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.hits") for n in names])))
         items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))

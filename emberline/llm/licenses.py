@@ -8,7 +8,7 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import text_of, words_of, written
+from emberline.llm.common import let, text_of, words_of, written
 
 #: Least cosine of a header line, and of a licence file's whole text.
 HEADER, WHOLE = 0.6, 0.5
@@ -59,19 +59,28 @@ def vectors(idf: dict[str, float]) -> list[tuple[str, dict[str, float]]]:
     return out
 
 
+def _dot(weights: Column):
+    return lambda a, x: a + x["x"] * F.coalesce(weights[x["w"]], F.lit(0.0))
+
+
 def best_match(text: Column, idf: dict[str, float], rare: float) -> Column:
     """struct(score, license): the notice with the largest cosine to the text. Words that no template has count as rare."""
-    words = words_of(text)
     of_word = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
-    distinct = F.array_distinct(words)
-    tf = F.transform(distinct, lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda v: v == w)) * F.coalesce(of_word[w], F.lit(rare))).alias("x")))
-    norm = F.sqrt(F.aggregate(tf, F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
-    scores = []
-    for name, vector in vectors(idf):
-        of_notice = F.create_map(*[F.lit(x) for pair in vector.items() for x in pair])
-        dot = F.aggregate(tf, F.lit(0.0), lambda a, x, m=of_notice: a + x["x"] * F.coalesce(m[x["w"]], F.lit(0.0)))
-        scores.append(F.struct(F.round(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), 6).alias("score"), F.lit(name).alias("license")))
-    return F.array_max(F.array(*scores))
+
+    def weighted(words: Column) -> Column:
+        each = lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda v: v == w)) * F.coalesce(of_word[w], F.lit(rare))).alias("x"))
+        return F.transform(F.array_distinct(words), each)
+
+    def compared(tf: Column) -> Column:
+        norm = F.sqrt(F.aggregate(tf, F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
+        scores = []
+        for name, vector in vectors(idf):
+            of_notice = F.create_map(*[F.lit(x) for pair in vector.items() for x in pair])
+            dot = F.aggregate(tf, F.lit(0.0), _dot(of_notice))
+            scores.append(F.struct(F.round(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)), 6).alias("score"), F.lit(name).alias("license")))
+        return F.array_max(F.array(*scores))
+
+    return let(let(words_of(text), weighted), compared)
 
 
 def own(files: DataFrame, header: float = HEADER) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import written
+from emberline.llm.common import let, written
 
 # Given names by gender and words that come before a name. Syllables and letters that surrogates are made of.
 FEMALE = "Anna Maria Emma Sofia Julia Laura Sarah Mary Linda Susan Karen Lisa Nancy Emily Marie Claire Camille Sophie Carmen Lucia Elena Isabel Pilar Ursula Ingrid Greta Анна Мария Елена Ольга Ирина Наталья"
@@ -70,7 +70,7 @@ def canonical(v: Column, kind: Column) -> Column:
 def _stream(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """256 bytes of key stream (array<int>) for an entity."""
     hexes = F.concat(*[F.sha2(F.concat_ws("|", F.lit(f"{key}{i}"), kind, norm, attempt.cast("string")), 512) for i in range(4)])
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    return let(hexes, lambda h: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def _pick(choices: str | list[str], n: Column) -> Column:
@@ -79,15 +79,14 @@ def _pick(choices: str | list[str], n: Column) -> Column:
 
 def _like(text: Column, stream: Column, salt: int = 0) -> Column:
     """Letters and digits by others of their class, other characters as they are. Hexadecimal text stays hexadecimal."""
-    is_hex = text.rlike("^[0-9a-f]+$") & text.rlike("[0-9]")
-    put = lambda c, i: (
+    put = lambda is_hex: lambda c, i: (
         F.when(c.rlike("[0-9]"), _pick("0123456789", F.get(stream, F.pmod(i + salt, F.lit(256)))))
         .when(is_hex, _pick("abcdef", F.get(stream, F.pmod(i + salt, F.lit(256)))))
         .when(c.rlike("[a-z]"), _pick("abcdefghijklmnopqrstuvwxyz", F.get(stream, F.pmod(i + salt, F.lit(256)))))
         .when(c.rlike("[A-Z]"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", F.get(stream, F.pmod(i + salt, F.lit(256)))))
         .otherwise(c)
     )
-    return F.array_join(F.transform(F.split(text, ""), put), "")
+    return let(text.rlike("^[0-9a-f]+$") & text.rlike("[0-9]"), lambda is_hex: F.array_join(F.transform(F.split(text, ""), put(is_hex)), ""))
 
 
 def _luhn_ended(digits: Column) -> Column:
@@ -100,16 +99,21 @@ def _luhn_ended(digits: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a canonical entity."""
-    stream = _stream(kind, norm, attempt, key)
+    domain = F.substring_index(norm, "@", -1)
+    streams = F.struct(_stream(kind, norm, attempt, key).alias("own"), _stream(F.lit("domain"), domain, F.lit(0), key).alias("domain"))
+    return let(streams, lambda s: _made(kind, norm, s["own"], s["domain"]))
+
+
+def _made(kind: Column, norm: Column, stream: Column, of_domain_stream: Column) -> Column:
     cyrillic = norm.rlike(r"\p{IsCyrillic}")
 
     def syllables(first: int, n: int) -> Column:
         at = [F.get(stream, F.lit(first + i)) for i in range(n)]
         return F.when(cyrillic, F.concat(*[_pick(CYRILLIC, x) for x in at])).otherwise(F.concat(*[_pick(LATIN, x) for x in at]))
 
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
+    local = F.substring_index(norm, "@", 1)
     # one domain has one surrogate, in a zone that nobody can register
-    of_domain = F.concat(_like(F.lpad(F.lit("a"), 8, "a"), _stream(F.lit("domain"), domain, F.lit(0), key)), F.lit(".example"))
+    of_domain = F.concat(_like(F.lpad(F.lit("a"), 8, "a"), of_domain_stream), F.lit(".example"))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (1 + F.pmod(F.get(stream, i) * 256 + F.get(stream, i + 4), F.lit(254))).cast("string")), ".")
     suffix = F.regexp_extract(norm, "(ова|ева|ина|ская|ов|ев|ин|ский)$", 1)
     return (
@@ -131,8 +135,8 @@ def formatted(v: Column, kind: Column, made: Column) -> Column:
     bare = F.regexp_replace(v, r"[^\p{L}\p{N}]", "")
     extra = F.greatest(F.length(bare) - F.length(made), F.lit(0))
     filling = F.concat(F.substr(bare, F.lit(1), extra), made)
-    step = lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a["out"], F.substr(filling, a["i"] + 1, F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
-    spelled = F.aggregate(F.split(v, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step)["out"]
+    step = lambda filling: lambda a, c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(a["out"], F.substr(filling, a["i"] + 1, F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i")))
+    spelled = let(filling, lambda f: F.aggregate(F.split(v, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step(f))["out"])
     titled = F.concat(F.upper(F.substr(made, F.lit(1), F.lit(1))), F.substr(made, F.lit(2)))
     upper = (v == F.upper(v)) & (v != F.lower(v))
     return F.when(kind.isin("phone", "card", "ssn", "iban"), spelled).when(kind.startswith("given") | (kind == "surname"), F.when(upper & (F.length(v) > 1), F.upper(made)).otherwise(titled)).when((kind == "email") & upper, F.upper(made)).otherwise(made)

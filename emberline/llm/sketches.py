@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from emberline.llm.common import hashes_of, words_of
+from emberline.llm.common import hashes_of, let, words_of
 
 #: Words of a shingle, and the share 1 / SCALE of all hash values below which a shingle is retained.
 K, SCALE = 5, 4
@@ -21,14 +21,13 @@ def sketch(text: Column, k: int = K, scale: int = SCALE) -> Column:
     A text of fewer than k words has one shingle, all its words; a text without words has its characters as one.
     """
     bound = (1 << 63) // scale
-    words = F.when(text == "", F.array().cast("array<string>")).otherwise(words_of(text))
-    hashes = F.when(F.size(words) > 0, hashes_of(words)).otherwise(F.array(F.xxhash64(text)))
 
     def shingles(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
         return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
 
-    kept = F.filter(shingles(hashes), lambda x: (x >= 0) & (x < bound))
+    hashes = let(words_of(text), lambda w: F.when(F.size(w) > 0, hashes_of(w)).otherwise(F.array(F.xxhash64(text))))
+    kept = F.filter(let(hashes, shingles), lambda x: (x >= 0) & (x < bound))
     return F.array_sort(F.array_distinct(kept))
 
 

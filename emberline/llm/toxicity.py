@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import text_of, words_of, written
+from emberline.llm.common import let, text_of, words_of, written
 
 #: Labelled rows that lexicons are learnt from, and further rows that the classifier is trained on, at most (by hash order).
 LABELLED_ROWS, TRAINING_ROWS = 20_000, 20_000
@@ -27,9 +27,8 @@ SEED_OTHER = "idiota estúpido imbécil basura asqueroso patético payaso tonto
 
 def features_of(text: Column) -> Column:
     """The distinct words of a text, and the distinct beginnings of its longer words, marked with ^."""
-    words = F.array_distinct(words_of(text))
-    stems = F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(STEM)))))
-    return F.concat(words, stems)
+    stems = lambda words: F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(STEM)))))
+    return let(F.array_distinct(words_of(text)), lambda words: F.concat(words, stems(words)))
 
 
 def trains(doc_id: Column) -> Column:
