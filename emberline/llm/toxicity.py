@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -15,8 +16,8 @@ from emberline.llm.common import let, text_of, words_of, written
 
 #: Labelled rows that lexicons are learnt from, and further rows that the classifier is trained on, at most (by hash order).
 LABELLED_ROWS, TRAINING_ROWS = 20_000, 20_000
-#: Words and word beginnings in the learnt lexicons at most, documents that one must be in, and the least log-odds.
-LEXICON, LEAST_DOCS, LEAST_ODDS = 600, 3, 2.0
+#: Words and word beginnings in the learnt lexicons at most, documents that one must be in, the least log-odds, and evidence beyond chance.
+LEXICON, LEAST_DOCS, LEAST_ODDS, LEAST_GAIN = 600, 3, 2.0, 6.0
 #: Letters of a word beginning, voters per learnt lexicon, features of the classifier, rounds of the label model.
 STEM, GROUPS, FEATURES, ROUNDS = 5, 3, 1 << 15, 40
 
@@ -51,8 +52,14 @@ def lexicon(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float]]:
         return []
     counted = seen.groupBy("f").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).where(f"p >= {LEAST_DOCS}")
     odds = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("n") - F.col("p") + 0.5) / (n + 1.0))
-    best = counted.select("f", odds.alias("odds"), "p").where(F.col("odds") >= LEAST_ODDS)
-    return [(r.f, r.odds) for r in best.orderBy(F.desc(F.col("odds") * F.sqrt("p")), "f").limit(LEXICON).collect()]
+    # twice the log-likelihood ratio against the base rate; the more candidates there are, the more one must show
+    share = p / (p + n)
+    clean = F.col("n") - F.col("p")
+    gain = 2 * (F.col("p") * F.log(F.col("p") / F.col("n") / share) + F.when(clean > 0, clean * F.log(clean / F.col("n") / (1 - share))).otherwise(0.0))
+    best = written(counted.select("f", odds.alias("odds"), gain.alias("gain")).where(F.col("odds") > 0))
+    least = 2 * log(max(best.count(), 1)) + LEAST_GAIN
+    best = best.where((F.col("odds") >= LEAST_ODDS) & (F.col("gain") >= least))
+    return [(r.f, r.odds) for r in best.orderBy(F.desc("gain"), "f").limit(LEXICON).collect()]
 
 
 def voters(f: Column, text: Column, learnt: list[tuple[str, float]]) -> dict[str, Column]:
@@ -89,12 +96,12 @@ class LabelModel:
     gold: np.ndarray  # class, label: how reliable given labels are
 
     @staticmethod
-    def fit(votes: np.ndarray, label: np.ndarray, n: np.ndarray, positive: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-        """votes: pattern x voter; label: -1, 0 or 1; n: how many texts. positive: voters that speak for the class at first."""
+    def fit(votes: np.ndarray, label: np.ndarray, n: np.ndarray, stance: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
+        """votes: pattern x voter; label: -1, 0 or 1; n: how many texts. stance: whether a voter speaks for the class (1), against it (-1) or neither (0) at first."""
         m = votes.shape[1]
         fires = np.empty((m, 2, 2))
-        fires[:, 1] = np.where(positive, 0.5, 0.2)[:, None]
-        fires[:, 0] = np.where(positive, 0.03, 0.6)[:, None]
+        fires[:, 1] = np.choose(stance + 1, [0.2, 0.2, 0.5])[:, None]
+        fires[:, 0] = np.choose(stance + 1, [0.6, 0.2, 0.03])[:, None]
         model = LabelModel(0.1, [-1] * m, fires, np.array([[0.97, 0.03], [0.1, 0.9]]))
         for r in range(rounds):
             q = model.posterior(votes, label)
@@ -206,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         return Scorer(learnt, names, LabelModel(0.1, [], np.empty((0, 2, 2)), np.ones((2, 2))), None)
     votes = (counted["votes"].to_numpy()[:, None] >> np.arange(len(names)) & 1).astype(bool)
     label, n = counted["label"].to_numpy(), counted["n"].to_numpy(float)
-    model = LabelModel.fit(votes, label, n, np.array([x != "calm" and x not in ("shouting", "marks") for x in names]))
+    model = LabelModel.fit(votes, label, n, np.array([{"calm": -1, "shouting": 0, "marks": 0}.get(x, 1) for x in names]))
     q = model.posterior(votes, label)
     posterior = spark.createDataFrame([(int(v), int(y), float(p)) for v, y, p in zip(counted["votes"], label, q)], "votes int, label int, q double")
     share = TRAINING_ROWS / n.sum()
