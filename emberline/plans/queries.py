@@ -1,9 +1,697 @@
-"""Registered queries of the library's own operators, each with the SQL it is held against."""
+"""Registered queries of the library's own operators, each with the SQL it is held against.
+
+Bindings: a term is a part's name; its publications are line items by ship year, of which return flag A counts as the
+preprint type and R as media; documents' titles are their first lines; pages stand for web documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from emberline.functions import text as X
+from emberline.functions import wordlists as L
+from emberline.operators import dedupe, features, mentions, ml, ranking, rules
+from emberline.sources import stores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+AS_OF = 2001
+LIMITS = rules.Limits(no_research_min=800, mature_min=1050, hype_news_min=200, hype_ratio_min=0.33)
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def T(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- shared inputs
+
+def items(spark, d):
+    line, part = T(spark, d, "lineitem"), T(spark, d, "part")
+    return line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_name").alias("term"), "p_brand", "l_shipdate", "l_returnflag", "l_suppkey", "l_quantity", "l_orderkey")
+
+
+def pubs(spark, d):
+    return features.yearly_counts(items(spark, d), "term", "l_shipdate")
+
+
+def news(spark, d):
+    return features.yearly_counts(items(spark, d).where("l_returnflag = 'R'"), "term", "l_shipdate")
+
+
+def types(spark, d):
+    return features.type_counts(items(spark, d), "term", "l_returnflag")
+
+
+def table(spark, d):
+    return features.feature_table(pubs(spark, d), types(spark, d), news(spark, d), AS_OF, "A")
+
+
+def titled(spark, d):
+    return T(spark, d, "documents").select("doc_id", "source", "lang", "text", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+
+
+def benchmark_terms(spark, d):
+    w = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
+    return T(spark, d, "benchmark").select(F.array_join(F.slice(w, 1, 3), " ").alias("term")).distinct()
+
+
+ITEMS = "items as (select p_name as term, p_brand, l_shipdate, l_returnflag, l_suppkey, l_quantity, l_orderkey from lineitem join part on l_partkey = p_partkey)"
+PUBS = ITEMS + ", pubs as (select term, year(l_shipdate)::int as year, count(*) as n from items group by all), news as (select term, year(l_shipdate)::int as year, count(*) as n from items where l_returnflag = 'R' group by all)"
+FEATURES = PUBS + """, f0 as (
+  select term, cast(sum(n) as bigint) as total_pubs, sum(case when year = 2000 then n end) as last, sum(case when year = 1997 then n end) as before,
+    min(case when n >= 3 then year end) as first_seen_year, cast(coalesce(sum(case when year = 2000 then n end), 0) as bigint) as pubs_last_year,
+    round(coalesce(sum(case when year > 1997 then n end), 0) / sum(n), 4) as recent_share from pubs group by term),
+sh as (select term, round(count(*) filter (where l_returnflag = 'A') / count(*), 4) as preprint_share from items group by term),
+nw as (select term, cast(sum(n) as bigint) as news_total, cast(coalesce(sum(case when year > 1997 then n end), 0) as bigint) as news_recent from news group by term),
+f as (select term, total_pubs, case when before > 0 then case when last is null then -1.0::double else round(pow(last / before, 1.0::double / 3) - 1, 4) end end as growth_3y,
+  first_seen_year, pubs_last_year, recent_share, preprint_share, news_total, news_recent, round(news_total / total_pubs, 4) as news_to_science_ratio
+  from f0 left join sh using (term) left join nw using (term))"""
+SCORED = FEATURES + """, c as (select *, greatest(-1.5, least(1.5, 2 * growth_3y)) as c_growth,
+  case when total_pubs < 2000 then 0.8 when total_pubs > 20000 then -1.5 else 0 end as c_pubs,
+  case when 2001 - first_seen_year <= 7 then 0.6 when 2001 - first_seen_year > 12 then -0.8 else 0 end as c_age,
+  case when news_to_science_ratio > 5 then -1.2 when news_to_science_ratio is not null then 0.3 else 0 end as c_ratio from f),
+scored as (select *, round((1 / (1 + exp(-(coalesce(c_growth, 0) + c_pubs + coalesce(c_age, 0) + c_ratio))))::double, 4) as score from c)"""
+DOCS = "d as (select doc_id, source, lang, text, split_part(text, chr(10), 1) as title from documents)"
+HOST = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '')"
+PTITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# ---- flagship
+
+@query(f"with {SCORED}, k as (select *, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' else 'ok' end as reason_code from scored) select term, total_pubs, growth_3y, score, cast(row_number() over (order by score desc, term) as int) as rank from k where reason_code = 'ok' order by score desc, term limit 15")
+def w6_top_signals(spark, d):
+    kept = ranking.heuristic(rules.decided(table(spark, d), LIMITS).where("not excluded"), AS_OF)
+    return ranking.ranked_slice(kept, 1, 15, F.desc("score"), F.asc("term")).select("term", "total_pubs", "growth_3y", "score", "rank")
+
+
+def entry_top_signals(spark, d):
+    limits = rules.Limits(60, 110, 10, 0.33)
+    kept = ranking.heuristic(rules.decided(table(spark, d), limits).where("not excluded"), AS_OF)
+    return ranking.ranked_slice(kept, 1, 15, F.desc("score"), F.asc("term")).select("term", "total_pubs", "growth_3y", "score", "rank")
+
+
+# ---- aggregations
+
+@query(f"with {PUBS} select * from pubs")
+def a1_yearly_counts(spark, d):
+    return pubs(spark, d)
+
+
+@query(f"with {ITEMS} select term, l_returnflag as type, count(*) as n from items group by all")
+def a2_type_counts(spark, d):
+    return types(spark, d)
+
+
+@query(f"with {ITEMS} select term, least(count(distinct l_suppkey), 200) as distinct_orgs from items group by term")
+def a3_distinct_orgs(spark, d):
+    return items(spark, d).groupBy("term").agg(F.least(F.count_distinct("l_suppkey"), F.lit(200)).alias("distinct_orgs"))
+
+
+@query("select event_type, (case when 2000 + hour(ts) < 2012 then 2016 else 2000 + hour(ts) end)::int as bucket, count(*) as n from (select event_type, ts from events) group by all")
+def a4_media_buckets(spark, d):
+    year = 2000 + F.hour("ts")
+    return T(spark, d, "events").groupBy("event_type", F.when(year < 2012, 2016).otherwise(year).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("select event_type, count(*) as mentions, round(sum(value), 2) as views from events group by event_type")
+def a5_attention(spark, d):
+    return T(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("mentions"), F.round(F.sum("value"), 2).alias("views"))
+
+
+@query(f"with {PUBS} select p.term, cast(sum(p.n) as bigint) as pubs_total, cast((select sum(n) from news w where w.term = p.term) as bigint) as news_total from pubs p group by p.term")
+def a6_totals(spark, d):
+    return pubs(spark, d).groupBy("term").agg(F.sum("n").alias("pubs_total")).join(news(spark, d).groupBy("term").agg(F.sum("n").alias("news_total")), "term", "left")
+
+
+@query(f"with {FEATURES} select term, growth_3y from f")
+def a7_growth(spark, d):
+    return features.series_features(pubs(spark, d), AS_OF).select("term", "growth_3y")
+
+
+@query(f"with {FEATURES} select term, first_seen_year from f")
+def a8_first_seen(spark, d):
+    return features.series_features(pubs(spark, d), AS_OF).select("term", "first_seen_year")
+
+
+@query(f"with {FEATURES} select term, pubs_last_year, recent_share from f")
+def a9_recency(spark, d):
+    return features.series_features(pubs(spark, d), AS_OF).select("term", "pubs_last_year", "recent_share")
+
+
+@query(f"with {FEATURES} select term, preprint_share from f")
+def a10_type_share(spark, d):
+    return features.type_share(types(spark, d), "A", "preprint_share")
+
+
+@query(f"with {FEATURES} select term, news_to_science_ratio from f")
+def a11_news_ratio(spark, d):
+    return table(spark, d).select("term", "news_to_science_ratio")
+
+
+OWN = "own as (select lang as candidate, source, case when source in ('src0','src1','src2') then 'news' when source in ('src3','src4') then 'paper' else 'blog' end as source_type, case when source in ('src3','src4') then 'high' when source in ('src0','src1') then 'medium' when source in ('src5','src6') then 'low' end as trust from documents)"
+
+
+def own(spark, d):
+    s = F.col("source")
+    return T(spark, d, "documents").select(
+        F.col("lang").alias("candidate"), "source",
+        F.when(s.isin("src0", "src1", "src2"), "news").when(s.isin("src3", "src4"), "paper").otherwise("blog").alias("source_type"),
+        F.when(s.isin("src3", "src4"), "high").when(s.isin("src0", "src1"), "medium").when(s.isin("src5", "src6"), "low").alias("trust"),
+    )
+
+
+@query(f"with {OWN} select candidate, count(distinct source) as distinct_sources, nullif(count(trust), 0) as docs_rated, case when count(trust) > 0 then count(*) filter (where trust in ('high','medium')) end as docs_trusted, count(*) filter (where source_type = 'news') as own_news, count(*) filter (where source_type in ('paper','preprint','patent')) as own_science from own group by candidate")
+def a12_a13_own_documents(spark, d):
+    return features.own_document_features(own(spark, d))
+
+
+@query("select user_id, bool_or(case when value > 100 then true when value < 50 then false end) as any_true from events group by user_id")
+def a14_three_valued_any(spark, d):
+    v = F.col("value")
+    return T(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.when(v > 100, True).when(v < 50, False)).alias("any_true"))
+
+
+@query(f"with {FEATURES} select * from f")
+def a15_feature_table(spark, d):
+    return table(spark, d)
+
+
+@query("select lower(replace(p_name, ' ', '-')) as slug, arg_min(p_name, p_partkey) as name, list_aggregate(list_sort(list(p_partkey)), 'string_agg', ',') as ids from part group by 1")
+def a16_merge_by_slug(spark, d):
+    p = T(spark, d, "part").select("p_partkey", "p_name", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"))
+    return p.groupBy("slug").agg(F.min_by("p_name", "p_partkey").alias("name"), F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("ids"))
+
+
+@query("with o as (select distinct p_brand as item, p_name || p_size as name from part) select name, min(item) as item from o group by name having count(*) = 1")
+def a17_unique_companies(spark, d):
+    o = T(spark, d, "part").select(F.col("p_brand").alias("item"), F.concat("p_name", F.col("p_size").cast("string")).alias("name"))
+    return o.distinct().groupBy("name").agg(F.min("item").alias("item"), F.count("*").alias("n")).where("n = 1").select("name", "item")
+
+
+@query(f"with {FEATURES}, k as (select term, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' end as reason_code from f) select reason_code, case reason_code when 'no_research' then 2 when 'mature' then 3 else 4 end as place, count(*) as n, string_agg(term, ';' order by term) as terms from k where reason_code is not null group by reason_code")
+def a18_excluded_by_reason(spark, d):
+    k = rules.decided(table(spark, d), LIMITS).where("excluded")
+    place = F.when(F.col("reason_code") == "noise", 1).when(F.col("reason_code") == "no_research", 2).when(F.col("reason_code") == "mature", 3).otherwise(4)
+    return k.groupBy("reason_code").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("term")), ";").alias("terms"))
+
+
+@query("select event_type as source, count(*) as n, arg_min(props, (ts, event_id)) as first_detail from events group by event_type")
+def a19_source_failures(spark, d):
+    return T(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.min_by("props", F.struct("ts", "event_id")).alias("first_detail"))
+
+
+@query("select event_type as step, user_id % 3 as model, count(*) as calls, round(sum(value), 2) as seconds from events group by rollup (event_type, user_id % 3)")
+def a20_call_journal(spark, d):
+    e = T(spark, d, "events").select(F.col("event_type").alias("step"), (F.col("user_id") % 3).alias("model"), "value")
+    return e.rollup("step", "model").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("seconds"))
+
+
+@query(f"with {SCORED}, k as (select *, not (total_pubs < 800 or total_pubs > 1050) as kept from scored) select stage, n from (select unnest([{{'stage': 'candidates', 'n': count(*)}}, {{'stage': 'kept', 'n': count(*) filter (where kept)}}, {{'stage': 'confident', 'n': count(*) filter (where kept and score > 0.75)}}], recursive := true) from k)")
+def a21_funnel(spark, d):
+    k = ranking.heuristic(table(spark, d), AS_OF)
+    kept = ~((F.col("total_pubs") < 800) | (F.col("total_pubs") > 1050))
+    c = k.agg(F.count("*").alias("a"), F.count_if(kept).alias("b"), F.count_if(kept & (F.col("score") > 0.75)).alias("c"))
+    return c.select(F.expr("stack(3, 'candidates', a, 'kept', b, 'confident', c) as (stage, n)"))
+
+
+@query("select coalesce(lang, 'total') as domain, count(distinct doc_id) as documents, count(distinct case when toxic = 1 then doc_id end) as found, round(count(distinct case when toxic = 1 then doc_id end) / count(distinct doc_id), 4) as recall from documents join labels using (doc_id) group by rollup (lang)")
+def a22_a23_recall_by_domain(spark, d):
+    j = T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id")
+    g = j.rollup("lang").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("found"))
+    return g.select(F.coalesce("lang", F.lit("total")).alias("domain"), "documents", "found", F.round(F.col("found") / F.col("documents"), 4).alias("recall"))
+
+
+@query("select event_type as model, user_id % 4 as domain, count(*) as candidates, greatest(0, 1 - round(count(*) filter (where value > 100) / count(*), 4)) as share_with_series from events group by grouping sets ((event_type, user_id % 4), (event_type))")
+def a24_leaderboard(spark, d):
+    e = T(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 4).alias("domain"), "value")
+    g = e.groupingSets([["model", "domain"], ["model"]], "model", "domain").agg(F.count("*").alias("candidates"), F.count_if(F.col("value") > 100).alias("f"))
+    return g.select("model", "domain", "candidates", F.greatest(F.lit(0.0), 1 - F.round(F.col("f") / F.col("candidates"), 4)).alias("share_with_series"))
+
+
+LABELLED = "l as (select doc_id, toxic as label, round(quality * 0.3 + (n_chars % 97) / 140.0::double, 4) as score, lang as kind from labels join documents using (doc_id))"
+
+
+def labelled(spark, d):
+    j = T(spark, d, "labels").join(T(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    return j.select("doc_id", F.col("toxic").alias("label"), F.round(F.col("quality") * F.lit(0.3) + (F.col("n_chars") % 97) / F.lit(140.0), 4).alias("score"), F.col("lang").alias("kind"))
+
+
+@query(f"with {LABELLED}, c as (select count(*) filter (where score >= 0.5 and label = 1) as tp, count(*) filter (where score >= 0.5 and label = 0) as fp, count(*) filter (where score < 0.5 and label = 1) as fn, count(*) filter (where score < 0.5 and label = 0) as tn from l) select *, round((tp + tn) / (tp + fp + fn + tn), 4) as accuracy, round(tp / nullif(tp + fp, 0), 4) as precision, round(tp / nullif(tp + fn, 0), 4) as recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) as f1 from c")
+def a25_confusion(spark, d):
+    return ranking.confusion(labelled(spark, d))
+
+
+@query(f"with {LABELLED} select kind, round(avg(case when (score >= 0.5) = (label = 1) then 1 else 0 end), 4) as correct from l group by kind")
+def a26_correct_by_kind(spark, d):
+    right = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int")
+    return labelled(spark, d).groupBy("kind").agg(F.round(F.avg(right), 4).alias("correct"))
+
+
+@query("select p_brand, round(median(p_retailprice), 4) as median_price, round(quantile_cont(p_retailprice, 0.25), 4) as q1, round(quantile_cont(p_retailprice, 0.75), 4) as q3 from part group by p_brand")
+def a27_a28_quartiles(spark, d):
+    q = F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.75)))
+    return T(spark, d, "part").groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 4).alias("median_price"), F.round(q[0], 4).alias("q1"), F.round(q[1], 4).alias("q3"))
+
+
+@query("select source, toxic as label, count(*) as n from documents join labels using (doc_id) group by all")
+def a29_examples(spark, d):
+    return T(spark, d, "documents").join(T(spark, d, "labels"), "doc_id").groupBy("source", F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {OWN} select candidate, count(*) filter (where trust = 'high') as high, count(*) filter (where trust = 'medium') as medium, count(*) filter (where trust = 'low') as low, coalesce(bool_and(trust = 'low'), false) as only_low from own group by candidate")
+def a30_p18_trust_composition(spark, d):
+    t = F.col("trust")
+    return own(spark, d).groupBy("candidate").agg(*[F.count_if(t == x).alias(x) for x in ("high", "medium", "low")], F.coalesce(F.bool_and(t == "low"), F.lit(False)).alias("only_low"))
+
+
+@query("with e as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as m from e group by all), n as (select label, sqrt(sum(m * m)) as n from m group by label) select label, cast(i - 1 as int) as i, round(m / n, 4) as x from m join n using (label)")
+def a31_centroid(spark, d):
+    c = ranking.centroid(T(spark, d, "embeddings"), "label", "embedding")
+    return c.select("label", F.posexplode("centre").alias("i", "x")).select("label", "i", F.round("x", 4).alias("x"))
+
+
+@query("select user_id, count(*) filter (where value > 75) as confident, (list(event_id order by value desc, event_id))[1:3]::varchar as leaders from events group by user_id")
+def a32_run_summary(spark, d):
+    e = ranking.top_k_each(T(spark, d, "events"), "user_id", 3, F.desc("value"), F.asc("event_id"))
+    lead = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"].cast("string")), ", "), F.lit("]")).alias("leaders"))
+    return T(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 75).alias("confident")).join(lead, "user_id")
+
+
+@query(f"with {PUBS}, s as (select term, unnest(range(1993, 2003))::int as year from (select distinct term from pubs)) select s.term, s.year, coalesce(n, 0) as n, s.year = 2001 as partial from s left join pubs p on s.term = p.term and s.year = p.year")
+def a33_dense_series(spark, d):
+    return features.dense_years(pubs(spark, d), 1993, 2002, AS_OF)
+
+
+TERM_SQL = r"terms as (select distinct array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, 3), ' ') as term from benchmark), tk as (select term, regexp_extract_all(lower(term), '[\p{L}\p{N}_-]+') as w from terms), dt as (select doc_id, source, lang, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'), ' ') || ' ' as t from documents), hits as (select term, doc_id, source, lang from tk, dt where len(w) > 0 and contains(t, ' ' || array_to_string(w, ' ') || ' '))"
+
+
+@query(f"with {TERM_SQL} select term, doc_id from hits")
+def j3_term_mentions(spark, d):
+    return mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d))
+
+
+@query(f"with {TERM_SQL}, dl as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_-]+')) as t from documents) select term, doc_id from tk, dl where len(w) > 0 and list_has_all(t, w)")
+def p4_loose_mentions(spark, d):
+    return mentions.loose_mentions(T(spark, d, "documents"), benchmark_terms(spark, d))
+
+
+@query(f"with {TERM_SQL} select term, min(doc_id) as first_rank, count(*) filter (where doc_id > 500) as beyond from hits group by term")
+def a34_depth_of_mention(spark, d):
+    return mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d)).groupBy("term").agg(F.min("doc_id").alias("first_rank"), F.count_if(F.col("doc_id") > 500).alias("beyond"))
+
+
+@query(r"select doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_-])all rights reserved($|[^\p{L}\p{N}_-])') as hit from documents")
+def p3_phrase(spark, d):
+    return T(spark, d, "documents").select("doc_id", X.mentions(F.col("text"), F.lit("all rights reserved")).alias("hit"))
+
+
+# ---- text functions and predicates
+
+@query(f"select page_id, {HOST} || ':' || substr(sha1(url), 1, 12) as id from pages")
+def f4_url_id(spark, d):
+    return T(spark, d, "pages").select("page_id", X.url_id(F.col("url")).alias("id"))
+
+
+@query(f"select page_id, {HOST} as host, coalesce({HOST} in ('zenodo.org') or {HOST} like '%.example.org', false) as own_hosted from pages")
+def f1_host(spark, d):
+    h = X.host(F.col("url"))
+    return T(spark, d, "pages").select("page_id", h.alias("host"), F.coalesce(h.isin("zenodo.org") | h.endswith(".example.org"), F.lit(False)).alias("own_hosted"))
+
+
+@query(f"with {DOCS} select doc_id, trim(regexp_replace(lower(title), '[^a-zа-я0-9]+', ' ', 'g')) as key from d")
+def f3_title_key(spark, d):
+    return titled(spark, d).select("doc_id", X.title_key(F.col("title")).alias("key"))
+
+
+@query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')), '') as summary from pages")
+def f5_summary(spark, d):
+    return T(spark, d, "pages").select("page_id", X.summary(F.col("html")).alias("summary"))
+
+
+@query("with e as (select item_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as p from benchmark) select item_id, string_agg(w, ' ' order by p) as text from e group by item_id")
+def f8_from_inverted_index(spark, d):
+    words = F.split("text", " ")
+    e = T(spark, d, "benchmark").select("item_id", F.posexplode(words).alias("p", "w"))
+    idx = e.groupBy("item_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
+    return idx.select("item_id", X.from_inverted(F.col("m")).alias("text"))
+
+
+@query("select p_partkey, lower(replace(p_name, ' ', '-')) as unslugged, case when len(string_split(lower(replace(p_name || ' x', ' ', '-')), '-')) > 2 then replace(lower(replace(p_name || ' x', ' ', '-')), '-', ' ') end as back from part")
+def f10_unslug(spark, d):
+    s = F.lower(F.replace(F.concat("p_name", F.lit(" x")), F.lit(" "), F.lit("-")))
+    return T(spark, d, "part").select("p_partkey", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("unslugged"), X.unslug(s).alias("back"))
+
+
+STEM = "case " + " ".join(f"when ends_with({{w}}, '{e}') and length({{w}}) - {len(e)} >= 4 then {'left({w}, length({w}) - 3) || chr(121)' if e == 'ies' else f'left({{w}}, length({{w}}) - {len(e)})'}" for e in ["ization", "isation", "ics", "ing", "ies", "es", "s"]) + " else {w} end"
+SINGULAR = "case when length({w}) <= 3 or regexp_matches({w}, '(ss|us|is|ics)$') then {w} when ends_with({w}, 'ies') then left({w}, length({w}) - 3) || 'y' when regexp_matches({w}, '(ches|shes|xes|sses)$') then left({w}, length({w}) - 2) when ends_with({w}, 's') then left({w}, length({w}) - 1) else {w} end"
+WORDS = r"w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents)"
+
+
+@query(f"with {WORDS} select word, {STEM.format(w='word')} as stem, {SINGULAR.format(w='word')} as singular from w")
+def f9_f11_stem_and_singular(spark, d):
+    w = T(spark, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("word")).distinct()
+    return w.select("word", X.stem(F.col("word")).alias("stem"), X.singular(F.col("word")).alias("singular"))
+
+
+@query(rf"with {DOCS}, s as (select doc_id, list_filter(regexp_split_to_array(trim(regexp_split_to_array(title, '[:;,.—–()\[\]]')[1]), '\s+'), lambda x: x <> '' and lower(x) not in ({quoted(L.TITLE_STOPS)})) as w from d) select doc_id, array_to_string(w[1:3], ' ') as name from s")
+def f12_name_from_title(spark, d):
+    return titled(spark, d).select("doc_id", X.name_from_title(F.col("title")).alias("name"))
+
+
+NAMES = "n as (select p_partkey, p_name || case p_size % 4 when 0 then ' platform' when 1 then ' Module 3.5' when 2 then ' systems' else '' end as name from part)"
+
+
+def names(spark, d):
+    s = F.col("p_size") % 4
+    return T(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(s == 0, " platform").when(s == 1, " Module 3.5").when(s == 2, " systems").otherwise("")).alias("name"))
+
+
+@query(rf"with {NAMES}, t as (select *, regexp_split_to_array(trim(name), '\s+') as w from n) select p_partkey, case when len(w) >= 3 and lower(w[-1]) in ({quoted(L.GENERIC_TAILS)}) then array_to_string(w[1:len(w) - 1], ' ') end as shorter, lower(regexp_split_to_array(trim(name), '[\s-]+')[-1]) in ({quoted(L.GENERIC_HEADS)}) as generic, regexp_matches(name, '(^|[^\p{{L}}\p{{N}}_-])\d+(\.\d+)?($|[^\p{{L}}\p{{N}}_-])') or regexp_matches(name, '-\d+$') or len(list_filter(w[2:100], lambda x: regexp_matches(x, '^\p{{Lu}}') and x <> upper(x))) > 0 as product from t")
+def p5_p7_f13_names(spark, d):
+    n = F.col("name")
+    return names(spark, d).select("p_partkey", X.without_generic_tail(n).alias("shorter"), X.generic_head(n).alias("generic"), X.looks_like_product(n).alias("product"))
+
+
+@query(rf"with {NAMES}, t as (select *, regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]', '', 'g') as l, regexp_replace(lower(split_part(name, ' ', 1)), '[^\p{{L}}\p{{N}}]', '', 'g') as c from n) select p_partkey, l as letters, length(c) >= 5 and contains(l, c) as own_company from t")
+def p8_f14_own_company(spark, d):
+    n = F.col("name")
+    return names(spark, d).select("p_partkey", X.letters(n).alias("letters"), X.is_own_company(n, F.substring_index(n, " ", 1)).alias("own_company"))
+
+
+@query(f"with {DOCS} select doc_id, regexp_matches(lower(title), '{L.STARTUP_NEWS}') as startup, regexp_matches(title, '[а-яёА-ЯЁ]') as cyrillic, " + " or ".join(f"ends_with(lower(trim(title)), '{t}')" for t in L.FRESH_TAILS) + " as fresh from d")
+def p12_p13_p15_title_predicates(spark, d):
+    t = F.col("title")
+    return titled(spark, d).select("doc_id", F.lower(t).rlike(L.STARTUP_NEWS).alias("startup"), X.has_cyrillic(t).alias("cyrillic"), X.fresh_phrase(t).alias("fresh"))
+
+
+TWIN = rf"with {DOCS}, k as (select doc_id, title, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(trim(title)), '\s+'), lambda x: x <> '' and x not in ({quoted(L.FUNCTION_WORDS)}))), ' ') as key, len(regexp_split_to_array(trim(title), '\s+')) as n from d)"
+
+
+@query(TWIN + f", r as (select *, row_number() over (partition by key order by doc_id) as rn from k where n between 2 and 6 and len(list_intersect(regexp_split_to_array(lower(title), ' '), [{quoted(L.BANNED_WORDS)}])) = 0 and lower(title) not in ({quoted(L.TOO_BROAD_PHRASES)})) select doc_id, key from r where rn = 1")
+def p14_f15_clean_phrases(spark, d):
+    n = F.size(F.split(F.trim("title"), r"\s+"))
+    clean = titled(spark, d).where(n.between(2, 6)).where(F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(*[F.lit(w) for w in L.BANNED_WORDS]))) == 0).where(~F.lower("title").isin(*L.TOO_BROAD_PHRASES))
+    return ranking.first_by_key(clean.select("doc_id", X.twin_key(F.col("title")).alias("key")), "key", "doc_id").select("doc_id", "key")
+
+
+@query(rf"with {DOCS} select count(*) filter (where len(regexp_split_to_array(trim(title), '\s+')) > 5) as long_names, count(*) as n from d")
+def f23_long_names(spark, d):
+    return titled(spark, d).agg(F.count_if(F.size(F.split(F.trim("title"), r"\s+")) > 5).alias("long_names"), F.count("*").alias("n"))
+
+
+@query("select event_id, case when value / 100 > 0.75 then 'high' when value / 100 > 0.5 then 'medium' else 'low' end as confidence, case when regexp_matches(props, '(?i)time[d]?[ -]?out') then 'timeout' else left(props, 80) end as reason from events")
+def f21_f22_levels_and_reasons(spark, d):
+    p = F.col("props")
+    return T(spark, d, "events").select("event_id", X.confidence(F.col("value") / 100).alias("confidence"), F.when(p.rlike("(?i)time[d]?[ -]?out"), "timeout").otherwise(F.substr(p, F.lit(1), F.lit(80))).alias("reason"))
+
+
+@query(f"with {FEATURES} select term, round(ln(1 + total_pubs), 4) as log_pubs, round(ln(1 + pubs_last_year), 4) as log_last, growth_3y, recent_share, (2001 - first_seen_year)::int as age, round(ln(1 + news_total), 4) as log_news, round(ln(1 + news_recent), 4) as log_news_recent, round(ln(1 + 1000 * news_to_science_ratio), 4) as log_ratio, preprint_share from f")
+def f19_model_vector(spark, d):
+    return features.model_vector(table(spark, d), AS_OF)
+
+
+# ---- rules, scores, ranks
+
+@query(f"with {FEATURES} select term, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' else 'ok' end as reason_code, case when total_pubs < 800 then 'publications: ' || total_pubs when total_pubs > 1050 then 'publications: ' || replace(format('{{:,}}', total_pubs), ',', ' ') when news_total >= 200 and news_to_science_ratio >= 0.33 then 'news: ' || news_total end as reason_text from f")
+def p16_rules(spark, d):
+    return rules.decided(table(spark, d), LIMITS).select("term", "reason_code", "reason_text")
+
+
+@query("with s as (select user_id, avg((value > 100)::int) as share from events group by user_id) select event_id, e.user_id from events e join s using (user_id) where value > 100 and share <= 1.0 / 3")
+def p17_flag_share(spark, d):
+    e = T(spark, d, "events").select("event_id", "user_id", (F.col("value") > 100).alias("flag"))
+    return rules.flags_hold(e, "user_id", 1 / 3).select("event_id", "user_id")
+
+
+@query(f"with {SCORED} select term, score from scored")
+def m1_heuristic(spark, d):
+    return ranking.heuristic(table(spark, d), AS_OF).select("term", "score")
+
+
+@query(f"with {SCORED}, u as (select term, unnest([{{'feature': 'growth_3y', 'c': c_growth::double}}, {{'feature': 'total_pubs', 'c': c_pubs::double}}, {{'feature': 'first_seen_year', 'c': c_age::double}}, {{'feature': 'news_to_science_ratio', 'c': c_ratio::double}}], recursive := true) from scored), r as (select *, row_number() over (partition by term order by -abs(c), feature) as rank from u where c <> 0) select term, cast(rank - 1 as int) as place, feature, round(c, 4) as contribution from r where rank <= 3")
+def w8_reasons(spark, d):
+    s = ranking.heuristic(table(spark, d), AS_OF)
+    return s.select("term", F.posexplode("reasons").alias("place", "r")).select("term", "place", "r.feature", "r.contribution")
+
+
+@query("with p as (select vec_id, 1 / (1 + exp(-list_sum(list_transform(embedding, lambda x, i: x::double * (i % 5 - 2) / 4.0)))) as p from embeddings) select vec_id, round(p, 4) as p, round(0.25 * 0.4 + 0.75 * p, 4) as blended from p")
+def m2_m3_name_score_and_blend(spark, d):
+    coef = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 5 - 2) / F.lit(4.0))
+    p = ranking.linear_probability(F.col("embedding"), coef, 0.0)
+    return T(spark, d, "embeddings").select("vec_id", F.round(p, 4).alias("p"), ranking.blended(F.lit(0.4), p).alias("blended"))
+
+
+@query("with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v, ((vec_id % 89) / 100.0)::double as score from embeddings), z as (select v as z from e where vec_id = 0), c as (select vec_id, label, score, list_dot_product(v, z) as closeness from e, z), m as (select label, median(closeness) as mid from c group by label) select vec_id, round(greatest(0.0, least(1.0, score + 0.6 * (closeness - mid)))::double, 4) as adjusted from c join m using (label)")
+def m4_topic_rerank(spark, d):
+    e = T(spark, d, "embeddings")
+    z = e.where("vec_id = 0").select(F.col("embedding").alias("z"))  # the topic's one vector
+    c = e.crossJoin(F.broadcast(z)).select("vec_id", "label", ((F.col("vec_id") % 89) / F.lit(100.0)).alias("score"), ranking.dot(F.col("embedding"), F.col("z")).alias("closeness"))
+    return ranking.topic_adjusted(c, "label", 0.6).select("vec_id", "adjusted")
+
+
+@query(f"with {FEATURES}, m as (select median(news_to_science_ratio) as m from f where total_pubs > 900) select term, coalesce(case when total_pubs > 900 then news_to_science_ratio end, m) as news_to_science_ratio from f, m")
+def m7_imputed(spark, d):
+    f = table(spark, d).withColumn("news_to_science_ratio", F.when(F.col("total_pubs") > 900, F.col("news_to_science_ratio")))
+    return features.imputed(f, "news_to_science_ratio").select("term", "news_to_science_ratio")
+
+
+@query(f"with {LABELLED}, r as (select doc_id, label, score, row_number() over (partition by label order by abs(score - label) desc, doc_id) as rn from l where (score >= 0.5) <> (label = 1)) select doc_id, label, score, cast(rn as int) as rank from r where rn <= 5")
+def m12_mistakes(spark, d):
+    wrong = labelled(spark, d).where((F.col("score") >= 0.5) != (F.col("label") == 1))
+    return ranking.top_k_each(wrong, "label", 5, F.desc(F.abs(F.col("score") - F.col("label"))), F.asc("doc_id")).select("doc_id", "label", "score", "rank")
+
+
+@query(f"with {LABELLED}, b as (select score, sum(label) as p, sum(1 - label) as n from l group by score), u as (select *, sum(p) over (order by score desc) as cp, sum(n) over (order by score desc) as cn from b) select round(sum(n * (cp - p / 2.0::double)) / (sum(p) * sum(n)), 4) as roc_auc, round(sum(p * cp / (cp + cn)) / sum(p), 4) as average_precision from u")
+def w11_curve_areas(spark, d):
+    return ranking.curve_areas(labelled(spark, d))
+
+
+@query(f"with {DOCS}, k as (select doc_id, trim(regexp_replace(lower(title), '[^a-zа-я0-9]+', ' ', 'g')) as key from d) select key, min(doc_id) as doc_id from k group by key")
+def w1_first_by_key(spark, d):
+    k = titled(spark, d).select("doc_id", X.title_key(F.col("title")).alias("key"))
+    return ranking.first_by_key(k, "key", "doc_id").select("key", "doc_id")
+
+
+@query("select doc_id, source, cast(row_number() over (partition by source order by doc_id) as int) as turn from documents")
+def w2_w3_interleave(spark, d):
+    return ranking.interleaved(T(spark, d, "documents"), "source", ["doc_id"]).select("doc_id", "source", "turn")
+
+
+@query("with r as (select l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_suppkey order by l_shipdate desc, l_orderkey, l_linenumber) as rank from lineitem) select l_orderkey, l_linenumber, l_suppkey, cast(rank as int) as rank from r where rank <= 5")
+def w4_w5_latest_per_group(spark, d):
+    return ranking.top_k_each(T(spark, d, "lineitem"), "l_suppkey", 5, F.desc_nulls_last("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber")).select("l_orderkey", "l_linenumber", "l_suppkey", "rank")
+
+
+@query(f"with {SCORED}, r as (select term, score, row_number() over (order by score desc, term) as rank from scored) select term, score, cast(rank as int) as rank from r where rank between 16 and 30")
+def w7_near_misses(spark, d):
+    return ranking.ranked_slice(ranking.heuristic(table(spark, d), AS_OF), 16, 30, F.desc("score"), F.asc("term")).select("term", "score", "rank")
+
+
+@query("with c as (select p_brand, count(*) as n from part group by p_brand) select p_brand, n, cast(row_number() over (order by n desc, p_brand) as int) as rank from c order by n desc, p_brand limit 20")
+def w9_w14_rank_by_documents(spark, d):
+    c = T(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return ranking.ranked_slice(c, 1, 20, F.desc("n"), F.asc("p_brand")).select("p_brand", "n", "rank")
+
+
+@query()
+def w10_folds(spark, d):
+    return ranking.stratified_folds(labelled(spark, d), "label", "doc_id").select("doc_id", "label", "fold")
+
+
+# ---- joins
+
+TRUST = [("example.org", "high"), ("tionsh.example.net", "medium"), ("example.net", "low"), ("spam-farm.example.org", "low")]
+
+
+@query(f"with p as (select page_id, {HOST} as host from pages), r as (select page_id, host, max(case when host = 'example.org' or ends_with(host, '.example.org') then 3 when host = 'tionsh.example.net' or ends_with(host, '.tionsh.example.net') then 2 when host = 'example.net' or ends_with(host, '.example.net') then 1 else 0 end) as k from p group by all) select page_id, case k when 3 then 'high' when 2 then 'medium' when 1 then 'low' else 'medium' end as trust from r")
+def j2_trust_level(spark, d):
+    return stores.with_trust(T(spark, d, "pages").select("page_id", "url", F.lit("news").alias("source_type")), spark.createDataFrame(TRUST, "pattern string, level string")).select("page_id", "trust")
+
+
+@query("select l_orderkey, cast(count(*) as bigint) as n, count(o_custkey) as owned from lineitem left join orders on l_orderkey = o_orderkey and o_totalprice > 150000 group by l_orderkey")
+def j1_j4_own_documents(spark, d):
+    o = T(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return T(spark, d, "lineitem").select("l_orderkey").join(o, "l_orderkey", "left").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count("o_custkey").alias("owned"))
+
+
+@query(f"with {SCORED} select p_partkey, p_name as term, coalesce(score, 0.5) as score from part left join (select * from scored where total_pubs > 900) on p_name = term")
+def j5_neutral_score(spark, d):
+    s = ranking.heuristic(table(spark, d).where("total_pubs > 900"), AS_OF).select("term", "score")
+    return T(spark, d, "part").select("p_partkey", F.col("p_name").alias("term")).join(s, "term", "left").select("p_partkey", "term", F.coalesce("score", F.lit(0.5)).alias("score"))
+
+
+@query(f"with {SCORED}, r as (select *, row_number() over (order by score desc, term) as rk from scored) select term, case when total_pubs < 800 or total_pubs > 1050 then 'excluded' when rk <= 15 then 'top' else 'below' end as status, total_pubs is null or recent_share is null as unplaced from r")
+def j6_j7_signal_map(spark, d):
+    s = ranking.heuristic(table(spark, d), AS_OF)
+    top = ranking.ranked_slice(s, 1, 15, F.desc("score"), F.asc("term")).select("term", F.lit(True).alias("is_top"))
+    j = s.join(top, "term", "left")
+    cut = (F.col("total_pubs") < 800) | (F.col("total_pubs") > 1050)
+    return j.select("term", F.when(cut, "excluded").when(F.col("is_top"), "top").otherwise("below").alias("status"), (F.col("total_pubs").isNull() | F.col("recent_share").isNull()).alias("unplaced"))
+
+
+@query("select o_orderkey, 'kept' as part from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity >= 49) union all select o_orderkey, 'removed' from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
+def j8_u4_split_by_keys(spark, d):
+    o, flagged = T(spark, d, "orders").select("o_orderkey"), T(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return o.join(flagged, "o_orderkey", "left_anti").select("o_orderkey", F.lit("kept").alias("part")).union(o.join(flagged, "o_orderkey", "left_semi").select("o_orderkey", F.lit("removed").alias("part")))
+
+
+@query(f"with {TERM_SQL}, r as (select term, doc_id, row_number() over (partition by term order by doc_id) as rn from hits) select term, doc_id, doc_id not in (select doc_id from labels) as is_new from r where rn <= 8")
+def j9_second_round(spark, d):
+    found = ranking.top_k_each(mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d)), "term", 8, F.asc("doc_id"))
+    known = T(spark, d, "labels").select("doc_id", F.lit(True).alias("known"))
+    return found.join(known, "doc_id", "left").select("term", "doc_id", F.col("known").isNull().alias("is_new"))
+
+
+VARIANT = "v as (select min(p_partkey) as id, min(p_brand) as run, max(p_retailprice) as score, name from (select *, p_name || case p_size % 3 when 0 then ' array' else '' end as name from part) group by name)"
+
+
+def variant_names(spark, d):
+    p = T(spark, d, "part").withColumn("name", F.concat("p_name", F.when(F.col("p_size") % 3 == 0, " array").otherwise("")))
+    return p.groupBy("name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("run"), F.max("p_retailprice").alias("score"))
+
+
+@query(f"with {VARIANT}, k as (select id, list_distinct(list_transform(list_filter(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda x: length(x) > 2 and ({STEM.format(w='lower(x)')}) not in ({quoted(L.KEY_STOPS)})), lambda x: {STEM.format(w='lower(x)')})) as w from v) select a.id as narrow, b.id as broad from k a join k b on a.id <> b.id and len(a.w) >= 2 and len(b.w) >= 2 and list_has_all(a.w, b.w)")
+def j10_name_containment(spark, d):
+    return dedupe.containment_pairs(variant_names(spark, d))
+
+
+TOK = "list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))"
+
+
+@query(f"with a as (select page_id as a, {TOK} as t from (select page_id, {PTITLE} as title from pages)), b as (select doc_id as b, {TOK} as t from (select doc_id, split_part(text, chr(10), 1) as title from documents)) select a, b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 4) as jaccard from a, b where len(a.t) > 0 and len(b.t) > 0 and round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 4) >= 0.6")
+def j11_title_jaccard(spark, d):
+    left = T(spark, d, "pages").select(F.col("page_id").alias("a"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return dedupe.title_matches(left, titled(spark, d).select(F.col("doc_id").alias("b"), "title"))
+
+
+@query("with c as (select conv_id, turn, role, length(text) as n from conversations) select u.conv_id, u.turn, coalesce(nullif(u.role, 'user'), a.role) as area from c u join c a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.n % 2 = 0 and a.n % 2 = 0")
+def j13_two_passes(spark, d):
+    c = T(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n")).where("n % 2 = 0")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"))
+    return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("user")), F.col("next_role")).alias("area"))
+
+
+@query("select d.doc_id, coalesce(l.toxic, s.toxic) as label from documents d left join (select * from labels where quality = 1) l on d.doc_id = l.doc_id left join (select source, max(toxic) as toxic from documents join labels using (doc_id) group by source) s on d.source = s.source")
+def j14_labels_by_id_or_name(spark, d):
+    docs, labels = T(spark, d, "documents").select("doc_id", "source"), T(spark, d, "labels")
+    by_id = labels.where("quality = 1").select("doc_id", F.col("toxic").alias("by_id"))
+    by_name = docs.join(labels, "doc_id").groupBy("source").agg(F.max("toxic").alias("by_name"))
+    return docs.join(by_id, "doc_id", "left").join(by_name, "source", "left").select("doc_id", F.coalesce("by_id", "by_name").alias("label"))
+
+
+@query("select l_orderkey, min(l_linenumber) as pos, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size < 20) group by l_orderkey, l_partkey")
+def j16_known_documents(spark, d):
+    known = T(spark, d, "part").where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"))
+    return T(spark, d, "lineitem").join(known, "l_partkey", "left_semi").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("pos"))
+
+
+@query(f"with {FEATURES}, t as (select term, split_part(term, ' ', 1) || ' ' || split_part((select min(term) from f), ' ', 2) as shorter from f) select f.term, case when f.total_pubs < 920 and s.total_pubs between 920 and 2000 then s.total_pubs else f.total_pubs end as total_pubs, coalesce(f.total_pubs < 920 and s.total_pubs between 920 and 2000, false) as shortened from f left join t using (term) left join f s on s.term = t.shorter")
+def j17_shorter_name(spark, d):
+    f = table(spark, d)
+    least = f.agg(F.min("term").alias("m"))
+    tails = f.select("term").crossJoin(F.broadcast(least)).select("term", F.concat_ws(" ", F.substring_index("term", " ", 1), F.get(F.split("m", " "), F.lit(1))).alias("shorter"))
+    return rules.shorter_name_features(f, tails, rules.Limits(no_research_min=920, mature_min=2000))
+
+
+# ---- sets and stores
+
+@query("select 'p' || doc_id as key, toxic as label from labels where toxic = 1 union all select 'n' || doc_id, 0 from labels where toxic = 0")
+def u1_u2_labelled_set(spark, d):
+    lab = T(spark, d, "labels")
+    part = lambda y, p: lab.where(F.col("toxic") == y).select(F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("key"), F.lit(y).alias("label"))
+    return part(1, "p").unionByName(part(0, "n"))
+
+
+@query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by user_id")
+def s9_s11_upsert(spark, d):
+    return stores.latest(T(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_id", "ts")
+
+
+@query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
+def s10_fetch_by_ids(spark, d):
+    return T(spark, d, "documents").select("doc_id", "source").join(T(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("with l as (select event_type, user_id, max(ts) as ts from events group by all) select event_type, user_id, ts, ts >= timestamp '2024-01-24' as fresh from l")
+def s13_fresh_snapshots(spark, d):
+    return stores.fresh(T(spark, d, "events"), ["event_type", "user_id"], "ts", F.lit("2024-01-31").cast("timestamp"), 7).select("event_type", "user_id", "ts", "fresh")
+
+
+@query(f"with {PUBS}, p as (select term, sum(n) as pubs from pubs group by term), w as (select term, sum(n) as news from news where year > 1999 group by term having sum(n) > 40) select term, cast(pubs as bigint) as pubs, cast(news as bigint) as news, case when news is null then 'news' else '' end as errors from p left join w using (term)")
+def s14_term_statistics(spark, d):
+    p = pubs(spark, d).groupBy("term").agg(F.sum("n").alias("pubs"))
+    w = news(spark, d).where("year > 1999").groupBy("term").agg(F.sum("n").alias("news")).where("news > 40")
+    return stores.assembled(p, {"news": w}, "term").select("term", "pubs", "news", F.array_join("errors", ",").alias("errors"))
+
+
+@query("select doc_id from documents where n_chars >= 1000")
+def p2_recent_documents(spark, d):
+    return T(spark, d, "documents").where("n_chars >= 1000").select("doc_id")
+
+
+@query("select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
+def st2_daily_counts(spark, d):
+    from emberline.streaming.jobs import window_counts
+
+    return window_counts(T(spark, d, "events")).select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# ---- models
+
+@query()
+def m5_m8_name_model(spark, d):
+    return ml.out_of_fold(ml.name_rows(spark, d), ml.name_model())
+
+
+@query()
+def m6_gradient_boosting(spark, d):
+    return ml.out_of_fold(ml.document_rows(spark, d), ml.tree_model(), folds=2)
+
+
+@query()
+def m9_leave_one_domain_out(spark, d):
+    return ml.leave_one_out(ml.name_rows(spark, d), ml.name_model(), "domain")
+
+
+@query()
+def m10_m11_baseline_contributions(spark, d):
+    return ml.contributions(ml.document_rows(spark, d))
+
+
+@query()
+def w12_name_variants(spark, d):
+    return dedupe.without_variants(variant_names(spark, d))
+
+
+@query("with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings) select x.vec_id as a, y.vec_id as b, round(list_dot_product(x.v, y.v), 4) as cosine from e x join e y on x.label = y.label and x.vec_id <> y.vec_id where x.vec_id % 50 = 0 and round(list_dot_product(x.v, y.v), 4) >= 0.3")
+def j12_cosine_search(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    x, y = e.where("vec_id % 50 = 0").alias("x"), e.alias("y")  # the stated query set, against all rows
+    j = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") != F.col("y.vec_id")))
+    return j.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(ranking.dot(F.col("x.embedding"), F.col("y.embedding")), 4).alias("cosine")).where("cosine >= 0.3")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
