@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from emberline.functions import text as X
 from emberline.functions import wordlists as L
-from emberline.operators import dedupe, features, mentions, ml, ranking, rules
+from emberline.operators import dedupe, features, mentions, ml, names as proper, ranking, rules
 from emberline.sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -689,6 +689,30 @@ def j12_cosine_search(spark, d):
     return j.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(ranking.dot(F.col("x.embedding"), F.col("y.embedding")), 4).alias("cosine")).where("cosine >= 0.3")
 
 
+@query()
+def p9_p11_proper_names(spark, d):
+    docs = titled(spark, d).select("doc_id", "title", "text")
+    named = docs.select(F.col("doc_id").alias("id"), X.name_from_title(F.col("title")).alias("name"))
+    return proper.proper_candidates(named, named.select("id", F.col("id").alias("doc_id")), docs).select("id", "name", "is_proper")
+
+
+@query("select page_id, url from pages where regexp_matches(url, '/(en|fr)/')")
+def p19_source_kinds(spark, d):
+    return T(spark, d, "pages").where(F.col("url").rlike("/(en|fr)/")).select("page_id", "url")
+
+
+@query(r"with q as (select distinct source, unnest(['all rights reserved', 'the mit license']) as phrase from documents) select q.source, q.phrase, count(*) as n from q join documents d on q.source = d.source and regexp_matches(lower(d.text), '(^|[^\p{L}\p{N}_-])' || q.phrase || '($|[^\p{L}\p{N}_-])') group by all")
+def p20_denied_mentions(spark, d):
+    docs = T(spark, d, "documents")
+    deny = docs.select("source").distinct().withColumn("phrase", F.explode(F.array(F.lit("all rights reserved"), F.lit("the mit license"))))
+    return docs.join(deny, "source").where(X.mentions(F.col("text"), F.col("phrase"))).groupBy("source", "phrase").agg(F.count("*").alias("n"))
+
+
+@query(f"with {VARIANT}, k as (select id, run, list_distinct(list_transform(list_filter(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda x: length(x) > 2 and ({STEM.format(w='lower(x)')}) not in ({quoted(L.KEY_STOPS)})), lambda x: {STEM.format(w='lower(x)')})) as w from v) select b.id as item, count(*) as cards from k a join k b on a.id <> b.id and len(a.w) >= 2 and len(b.w) >= 2 and list_has_all(a.w, b.w) group by b.id")
+def j15_cards_naming_a_technology(spark, d):
+    return dedupe.containment_pairs(variant_names(spark, d)).groupBy(F.col("broad").alias("item")).agg(F.count("*").alias("cards"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
