@@ -45,7 +45,7 @@ def bounded(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
 
 def lexicon(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float]]:
     """Words and beginnings that go with toxic labels, best first: (feature, log-odds)."""
-    seen = docs.select("doc_id", features_of(text_of()).alias("f")).join(F.broadcast(labels), "doc_id").withColumn("f", F.explode("f"))
+    seen = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("toxic", F.explode(features_of(text_of())).alias("f"))
     totals = labels.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, n = totals.p or 0, (totals.n or 0) - (totals.p or 0)
     if not p or not n:
@@ -202,12 +202,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     spark = docs.sparkSession
     sample = written(bounded(labels))
     learnt = lexicon(docs, sample)
-    text = text_of()
-    rows = docs.select("doc_id", text.alias("text"), features_of(text).alias("f")).where(trains(F.col("doc_id")))
     named = voters(F.col("f"), F.col("text"), learnt)
     bits = sum((F.shiftleft(v.cast("int"), i) for i, v in enumerate(named.values())), F.lit(0))
-    voted = rows.select("doc_id", "f", bits.alias("votes")).join(F.broadcast(sample), "doc_id", "left").select("doc_id", "f", "votes", F.coalesce("toxic", F.lit(-1)).alias("label"))
-    counted = voted.groupBy("votes", "label").agg(F.count("*").alias("n")).orderBy("votes", "label").toPandas()
+    rows = docs.select("doc_id", text_of().alias("text")).where(trains(F.col("doc_id"))).join(F.broadcast(sample), "doc_id", "left").select("doc_id", "text", F.coalesce("toxic", F.lit(-1)).alias("label"))
+
+    def voted(some: DataFrame) -> DataFrame:
+        return some.select("label", "text", features_of(F.col("text")).alias("f")).select("label", "f", bits.alias("votes"))
+
+    counted = voted(rows).groupBy("votes", "label").agg(F.count("*").alias("n")).orderBy("votes", "label").toPandas()
     names = list(named)
     if not len(counted):
         return Scorer(learnt, names, LabelModel(0.1, [], np.empty((0, 2, 2)), np.ones((2, 2))), None)
@@ -218,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     posterior = spark.createDataFrame([(int(v), int(y), float(p)) for v, y, p in zip(counted["votes"], label, q)], "votes int, label int, q double")
     share = TRAINING_ROWS / n.sum()
     bound = int(min(1.0, share) * (1 << 63)) - 1
-    chosen = voted.where((F.col("label") >= 0) | (F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit((1 << 63) - 1)) <= bound))
-    posts = chosen.join(F.broadcast(posterior), ["votes", "label"])
+    chosen = rows.where((F.col("label") >= 0) | (F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit((1 << 63) - 1)) <= bound))
+    posts = voted(chosen).join(F.broadcast(posterior), ["votes", "label"])
     tf = HashingTF(numFeatures=FEATURES, inputCol="f", outputCol="features", binary=True)
     both = written(posts.select("f", F.explode(F.array(F.struct(F.lit(0.0).alias("y"), (1 - F.col("q")).alias("w")), F.struct(F.lit(1.0).alias("y"), F.col("q").alias("w")))).alias("x")).select("f", "x.*").where("w > 0.001"))
     if both.select("y").distinct().count() < 2:
