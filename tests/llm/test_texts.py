@@ -131,7 +131,7 @@ def test_pii_query_leaves_no_entity(spark, sf):
 
 
 def test_licences(spark):
-    rows = [("a/LICENSE", 1, "Released under the MIT License."), ("a/b/x.py", 2, "code"), ("a/c/y.py", 3, "# Licensed under the Apache License, Version 2.0.\ncode code code code code code code code"), ("a/c/z.py", 4, None), ("q/z.py", 5, ""), (None, 6, "x"), ("top", 7, "words"), ("a/b/x.py", 2, "code")]
+    rows = [("a/LICENSE", 1, "Released under the MIT License."), ("a/b/x.py", 2, "code"), ("a/c/y.py", 3, "# Licensed under the Apache License, Version 2.0.\n" + "code " * 30), ("a/c/z.py", 4, None), ("q/z.py", 5, ""), (None, 6, "x"), ("top", 7, "words"), ("a/b/x.py", 2, "code")]
     got = sorted([(r.id, r.license, r.origin, r.source_dir) for r in licenses.scanned(spark.createDataFrame(rows, "path string, id long, text string")).collect()], key=str)
     assert got == [(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, "MIT", "inherited", "a"), (5, None, "none", None), (6, None, "none", None), (7, None, "none", None)]
     assert licenses.scanned(spark.createDataFrame([], "path string, id long, text string")).count() == 0
