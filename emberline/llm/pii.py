@@ -179,8 +179,8 @@ def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     names = [c for c in docs.columns if c != "n_entities"]
     whole = F.struct(*[F.col(c) for c in names]).alias("_row")
-    parts = docs.select(whole, cut(F.col(text_col)).alias("_parts"))
-    found = parts.where(F.size("_parts") > 1).select("_row", "_parts", F.xxhash64(F.col(f"_row.{id_col}"), F.col(f"_row.{text_col}")).alias("_at"))
+    hit = F.coalesce(F.col(text_col).rlike(_ANY), F.lit(False))
+    found = written(docs.where(hit).select(whole, cut(F.col(text_col)).alias("_parts"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_at")))
     here = found.select("_at", F.explode(_odd(F.col("_parts"))).alias("v")).distinct()
     typed = here.withColumn("kind", kind_of(F.col("v"))).withColumn("norm", canonical(F.col("v"), F.col("kind")))
     typed = written(typed)
@@ -190,5 +190,5 @@ def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     joined = found.join(maps, "_at")
     text = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.element_at("_map", x), x)).otherwise(x)), "")
     changed = joined.select("_row", text.alias("_text"), ((F.size("_parts") - 1) / 2).cast("int").alias("n_entities"))
-    same = parts.where((F.size("_parts") <= 1) | F.col("_parts").isNull()).select("_row", F.col(f"_row.{text_col}").alias("_text"), F.lit(0).alias("n_entities"))
-    return changed.union(same).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], "n_entities")
+    changed = changed.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], "n_entities")
+    return changed.union(docs.where(~hit).select(*names, F.lit(0).alias("n_entities")))
