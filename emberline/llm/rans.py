@@ -25,7 +25,7 @@ SCALE, LOW = 20, 1 << 31
 #: Symbols coded side by side, steps between two checkpoints, and ids after which a block ends (with a document).
 LANES, CHECK_STEPS, BLOCK_IDS = 1024, 256, 1 << 20
 #: Words whose ids are kept at hand in a worker.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_600_000
 #: Marks that may follow a word's letters: neither letters, digits nor white space, and no apostrophe.
 MARKS = '.,!?;:%$&*#"()-'
 MAGIC = b"RNS1"
