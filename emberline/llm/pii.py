@@ -29,6 +29,9 @@ PATTERNS = {
 }
 # Between a mark and its escape there is no character that a pattern takes for part of a word.
 _MARK, _ESCAPE = "\x01\x02", "\x01\x03"
+#: What every entity holds: a digit, an at sign, two capitalised words in a row, a short title, a key's prefix or an assigned
+#: value. A text without any of these has no entity, and the costly patterns don't run on it.
+_NEEDED = r"[0-9@]|\p{Lu}\p{Ll}{1,30} \p{Lu}\p{Ll}|(?:Mr|Mrs|Ms|Dr|Sr|Sra)\.? \p{Lu}|AKIA|ASIA|gh[pousr]_|sk-|[=:]\s{0,3}[\"']?[A-Za-z0-9_/+\-]{6}"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -179,7 +182,7 @@ def pseudonymized(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     names = [c for c in docs.columns if c != "n_entities"]
     whole = F.struct(*[F.col(c) for c in names]).alias("_row")
-    hit = F.coalesce(F.col(text_col).rlike(_ANY), F.lit(False))
+    hit = F.coalesce(F.col(text_col).rlike(_NEEDED) & F.col(text_col).rlike(_ANY), F.lit(False))
     found = written(docs.where(hit).select(whole, cut(F.col(text_col)).alias("_parts"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_at")))
     here = found.select("_at", F.explode(_odd(F.col("_parts"))).alias("v")).distinct()
     typed = here.withColumn("kind", kind_of(F.col("v"))).withColumn("norm", canonical(F.col("v"), F.col("kind")))
