@@ -112,6 +112,35 @@ def test_line_recall_of_small_edits(spark):
     assert all(out[2 * i] for i in range(200)) and caught >= 0.4 * 200
 
 
+def test_line_recall_at_the_threshold(spark):
+    """Pairs at edit similarity 0.8 to 0.85, on short and long lines, against what the rule asks: all of them."""
+    r = random.Random(8)
+    pairs = {n: [] for n in (5, 10, 20, 50)}
+    for n in pairs:
+        for _ in range(100):
+            a = [lettered(r.randrange(10**6)) for _ in range(n)]
+            b = list(a)
+            for i in r.sample(range(n), n // 5):
+                b[i] = lettered(r.randrange(10**6)) + "y"
+            pairs[n].append((a, b))
+    rows = [(k, " ".join(t)) for k, t in enumerate(t for n in pairs for p in pairs[n] for t in p)]
+    out = {x.doc_id: x.text for x in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for m, n in enumerate(pairs):
+        assert all(similarity(a, b) >= 0.8 for a, b in pairs[n])
+        assert sum(out[200 * m + 2 * i + 1] == "" for i in range(100)) >= 90 and all(out[200 * m + 2 * i] for i in range(100))
+
+
+def test_large_line_family(spark):
+    """Lines of one repeated word, whose lengths chain up although the ends are far apart, and one line with ever more words changed."""
+    rows = [(n, "la " * n) for n in range(40, 440)]
+    base = [lettered(i) for i in range(100)]
+    for i in range(300):
+        base[(i * 7) % 70] = lettered(1000 + i)  # the last 30 words stay, so keys that lie there are shared by all
+        rows.append((1000 + i, " ".join(base)))
+    out = {x.doc_id: x.text for x in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(i for i, t in out.items() if t) == [40, 1000]
+
+
 def test_line_odd_rows(spark):
     docs = spark.createDataFrame(ODD_DOCS, ODD_SCHEMA)
     got = lines.deduplicated(docs)
