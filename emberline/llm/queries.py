@@ -94,7 +94,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated lines: doc_id, text, n_lines, n_kept."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
-    return lines.deduplicated(docs).withColumn("n_kept", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))))
+    return lines.deduplicated(docs, exact_words=1).withColumn("n_kept", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
