@@ -48,6 +48,27 @@ def test_large_group_and_passage(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[i] == i for i in range(300, 500))
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs of long texts at edit similarity 0.8 to 0.82, one pair a group, against what the rule asks: all of them."""
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        a = [f"w{r.randrange(10**6)}" for _ in range(r.choice((60, 100, 250)))]
+        b = list(a)
+        for k in r.sample(range(len(a)), len(a) // 5):
+            b[k] = f"z{r.randrange(10**6)}"
+        assert 0.8 <= similarity(a, b) <= 0.82
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {x.doc_id: x.class_id for x in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(200)) >= 0.95 * 200
+
+
+def test_texts_of_one_word(spark):
+    """Lengths chain up to one class although the ends are far apart."""
+    rows = [(n, "word " * n) for n in range(60, 460)]
+    assert {x.class_id for x in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {60}
+
+
 def test_near_duplicate_odd_rows(spark):
     docs = spark.createDataFrame(ODD_DOCS, ODD_SCHEMA)
     got = omh.near_duplicates(docs).collect()
