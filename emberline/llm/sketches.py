@@ -20,14 +20,14 @@ def sketch(text: Column, k: int = K, scale: int = SCALE) -> Column:
     Retaining depends on the hash alone, so sketches of parts merge by union and sketches of very unequal texts compare.
     A text of fewer than k words has one shingle, all its words; a text without words has its characters as one.
     """
-    bound = (1 << 63) // scale
+    bound = (1 << 64) // scale - (1 << 63)  # of the signed range
 
     def shingles(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0)))
         return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
 
     hashes = let(words_of(text), lambda w: F.when(F.size(w) > 0, hashes_of(w)).otherwise(F.array(F.xxhash64(text))))
-    kept = F.filter(let(hashes, shingles), lambda x: (x >= 0) & (x < bound))
+    kept = F.filter(let(hashes, shingles), lambda x: x < bound if scale > 1 else F.lit(True))
     return F.array_sort(F.array_distinct(kept))
 
 

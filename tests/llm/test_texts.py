@@ -58,6 +58,13 @@ def test_sketch_query(spark, sf):
         assert by_text.setdefault(d.text, got[d.doc_id].fingerprint) == got[d.doc_id].fingerprint
 
 
+def test_sketch_retains_its_share(spark):
+    d = spark.createDataFrame([(" ".join(f"w{i}" for i in range(8004)),)], "text string")
+    for scale in (1, 2, 4, 8):
+        n = d.select(F.size(sketches.sketch(F.col("text"), scale=scale)).alias("n")).first().n
+        assert abs(n / 8000 - 1 / scale) < 0.03
+
+
 def test_sketches_merge_and_ranges(spark):
     a, b = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(400))
     d = spark.createDataFrame([(1, a), (1, b)], "g int, text string").select("g", sketches.sketch(F.col("text")).alias("s"))
