@@ -12,9 +12,11 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -28,12 +30,14 @@ LANES, CHECK_STEPS, BLOCK_IDS = 1024, 256, 1 << 20
 CACHED_WORDS = 1_600_000
 #: Marks that may follow a word's letters: neither letters, digits nor white space, and no apostrophe.
 MARKS = '.,!?;:%$&*#"()-'
+#: Bytes of text whose words are made distinct together.
+_CHUNK = 16 << 20
 MAGIC = b"RNS1"
 BLOCKS = "part int, block int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 _U = np.uint64
 _LONGS = pa.list_(pa.int64())
-_TOKENIZED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", _LONGS), ("lengths", _LONGS), ("ids", pa.binary()), ("seen", _LONGS), ("n", _LONGS)])
+_BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", _LONGS), ("lengths", _LONGS), ("payload", pa.binary())])
 
 
 class Table:
@@ -146,18 +150,27 @@ class Words:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def packed(self, texts: list[str], end_id: int) -> list[bytes]:
-        """The ids of each text with end_id behind, as packed integers of self.kind."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def packed(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, one after another, each with end_id behind; how many each text has).
+
+        The words of many texts are made distinct first, so that each is looked up once and its ids are laid out by number.
+        """
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > CACHED_WORDS:
             self.known = {}
-        end = np.array([end_id], self.kind).tobytes()
-        found = [[*map(self.known.get, words)] for words in split]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        self.learn({w for k in lacking for w, ids in zip(split[k], found[k]) if ids is None})
-        for k in lacking:
-            found[k] = [*map(self.known.__getitem__, split[k])]
-        return [b"".join(ids) + end for ids in found]
+        ids = [*map(self.known.get, distinct)]
+        if None in ids:
+            self.learn({w for w, x in zip(distinct, ids) if x is None})
+            ids = [*map(self.known.__getitem__, distinct)]
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+        first, n = (np.cumsum(size) - size)[index], size[index]
+        upto = np.r_[0, np.cumsum(n)]
+        plain = flat[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))]
+        return np.insert(plain, ends, np.array(end_id, self.kind)), np.diff(np.r_[0, ends]) + 1
 
     def learn(self, words: set[str]) -> None:
         parts, odd, bases = {}, set(), set()
@@ -194,74 +207,86 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Blocks of packed ids (part, block, doc_ids, lengths, ids) in ascending doc_id order, and after each part's last
-    block a row (block -1) with the part's counts of ids (seen, n)."""
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (doc_id, text) with some _CHUNK bytes of text each, one row at least."""
+    done = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + _CHUNK)))
+        yield batch.slice(a, b - a)
+        a = b
 
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, block, total = words(tokenizer_path), TaskContext.get().partitionId(), 0, np.zeros(end_id + 1, np.int64)
-        width = np.dtype(encode.kind).itemsize
-        doc_ids: list = []
-        held: list[bytes] = []
 
-        def row(block: int, ids: bytes = b"") -> pa.RecordBatch:
-            seen = np.flatnonzero(total) if block < 0 else np.empty(0, np.int64)
-            columns = ([part], [block], [doc_ids], [[len(h) // width for h in held]], [ids], [seen], [total[seen]])
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENIZED)], schema=_TOKENIZED)
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """(doc_id, ids) per document, ids packed; and after each part of the input a row without ids, with the part's counts
+    of ids (seen, n)."""
 
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total = words(tokenizer_path), np.zeros(end_id + 1, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                piece = batch.slice(a, 256)
-                for i, ids in zip(piece.column(0).to_pylist(), encode.packed(piece.column(1).to_pylist(), end_id)):
-                    doc_ids.append(i)
-                    held.append(ids)
-                if sum(map(len, held)) >= BLOCK_IDS * width:
-                    whole = b"".join(held)
-                    got = np.bincount(np.frombuffer(whole, encode.kind), minlength=len(total))
-                    total = got + np.r_[total, np.zeros(len(got) - len(total), np.int64)]
-                    yield row(block, whole)
-                    doc_ids, held, block = [], [], block + 1
-        if held:
-            whole = b"".join(held)
-            got = np.bincount(np.frombuffer(whole, encode.kind), minlength=len(total))
-            total = got + np.r_[total, np.zeros(len(got) - len(total), np.int64)]
-            yield row(block, whole)
-        doc_ids, held = [], []
-        if total.any():
-            yield row(-1)
-
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(tokenize, "part int, block int, doc_ids array<bigint>, lengths array<bigint>, ids binary, seen array<bigint>, n array<bigint>")
+            for piece in _pieces(batch):
+                ids, lengths = encode.packed(piece.column(1), end_id)
+                got = np.bincount(ids, minlength=len(total))
+                total = got + np.r_[total, np.zeros(len(got) - len(total), np.int64)]
+                ends = np.r_[0, np.cumsum(lengths)] * ids.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                none = pa.nulls(piece.num_rows, _LONGS)
+                yield pa.RecordBatch.from_arrays([piece.column(0), packed, none, none], ["doc_id", "ids", "seen", "n"])
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], _LONGS), pa.array([total[seen]], _LONGS)], ["doc_id", "ids", "seen", "n"])
+
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise ValueError("documents are written in the order of integer ids: doc_id has to be of an integer type")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(tokenize, "doc_id bigint, ids binary, seen array<bigint>, n array<bigint>")
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Write the ids of docs (doc_id, text), each document's followed by end_id, in ascending doc_id order, under `path`.
 
     path/table holds the shared frequencies (id, freq), counted over all documents; path/blocks the blocks: part and block
-    in order, doc_ids and lengths of the documents in it, and the payload of pack(). Documents are dealt out by ranges of
-    doc_id (nulls first), so parts follow each other in order, and a block ends at a document's end. The texts are
-    tokenized once: packed ids are written down before they are coded, since the table needs them all. The table has a
-    row for each id of the vocabulary at most, and goes to the tasks with them. Null and empty texts have the end id
-    alone. Rows with equal doc_id are documents of their own, in the order of their texts. An empty table writes no blocks.
+    in order, doc_ids and lengths of the documents in it, and the payload of pack(). The texts are tokenized once, where they
+    lie: packed ids are written down, and they, not the texts, are dealt out by ranges of doc_id (nulls first), so parts
+    follow each other in order; a block ends at a document's end. The table has a row for each id of the vocabulary at most,
+    and goes to the tasks. Null and empty texts have the end id alone. Rows with equal or null doc_id are documents of their
+    own, in the order of a hash of their ids, by which they are dealt out too, so that no id fills a task. Ids have to be of
+    an integer type, else ValueError. Other columns aren't read. An empty table writes no blocks.
     """
     spark = docs.sparkSession
     plain = f"{path}/plain"
-    tokenized(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(plain)
-    rows = spark.read.parquet(plain)
-    counts = rows.where("block < 0").select(F.explode(F.arrays_zip("seen", "n")).alias("x")).groupBy("x.seen").agg(F.sum("x.n").alias("n")).orderBy("seen").toPandas()
+    tokenized(docs, tokenizer_path, end_id).write.parquet(plain)
+    rows = spark.read.schema("doc_id bigint, ids binary, seen array<bigint>, n array<bigint>").parquet(plain)
+    counts = rows.where("ids is null").select(F.explode(F.arrays_zip("seen", "n")).alias("x")).groupBy("x.seen").agg(F.sum("x.n").alias("n")).orderBy("seen").toPandas()
     ids, freq = counts["seen"].to_numpy(np.int64), Table.frequencies(counts["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(i), int(f)) for i, f in zip(ids, freq)], "id bigint, freq bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast((ids, freq))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kind = Table(*shared.value), words(tokenizer_path).kind
+        table, kind, part, block = Table(*shared.value), words(tokenizer_path).kind, TaskContext.get().partitionId(), 0
+        width = np.dtype(kind).itemsize
+        held: list[bytes] = []
+        doc_ids: list[int | None] = []
+        n = 0
+
+        def row() -> pa.RecordBatch:
+            got = np.frombuffer(b"".join(held), kind).astype(np.uint32)
+            columns = ([part], [block], [len(got)], [doc_ids], [[len(h) // width for h in held]], [pack(got, table)])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCKS)], schema=_BLOCKS)
+
         for batch in batches:
-            for r in range(batch.num_rows):
-                got = np.frombuffer(batch.column(4)[r].as_buffer(), kind).astype(np.uint32)
-                columns = [batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([len(got)], pa.int64()), batch.column(2).slice(r, 1), batch.column(3).slice(r, 1), pa.array([pack(got, table)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "block", "n_ids", "doc_ids", "lengths", "payload"])
+            for i, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                doc_ids.append(i)
+                held.append(packed)
+                n += len(packed) // width
+                if n >= BLOCK_IDS:
+                    yield row()
+                    held, doc_ids, n, block = [], [], 0, block + 1
+        if held:
+            yield row()
 
-    rows.where("block >= 0").select("part", "block", "doc_ids", "lengths", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    by = ["doc_id", "h"]
+    dealt = rows.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(*by).sortWithinPartitions(*by, "ids")
+    dealt.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     rows.written_path = plain
     unlink(rows)
 
