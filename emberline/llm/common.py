@@ -16,9 +16,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of
+    its own; on a cluster it is an error, since executors don't see one another's local folders."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -28,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
