@@ -28,12 +28,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing.
+
+    The shuffle files behind df are of no more use then. Spark deletes them once the driver's collector has found their plan
+    unreferenced, which it is asked to do here, lest they fill the disks until it runs by itself."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    spark._jvm.java.lang.System.gc()
     return out
 
 
