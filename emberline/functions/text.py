@@ -136,9 +136,29 @@ def twin_key(phrase: Column) -> Column:
 
 def companies(cell: Column) -> Column:
     """Names of a company cell: four letters at least, none in Cyrillic."""
-    parts = F.flatten(F.transform(F.split(cell, r"[,;/+]|\s[—–-]\s"), lambda x: F.split(x, "[()]")))
-    names = F.transform(parts, lambda x: F.regexp_replace(x, "^[ .«»\"']+|[ .«»\"']+$", ""))
-    return F.filter(names, lambda x: (F.length(x) >= 4) & ~x.rlike("[а-яёА-ЯЁ]"))
+    names = F.transform(F.split(cell, r"[,;/+()]|\s[-–—]\s"), lambda x: F.btrim(x, F.lit(" .'\"«»")))
+    return F.filter(names, lambda x: (F.length(x) > 3) & ~has_cyrillic(x))
+
+
+def is_big_company(name: Column) -> Column:
+    """The name is, or begins with, one of the big companies."""
+    n = F.concat(F.lower(name), F.lit(" "))
+    return F.exists(F.array(*[F.lit(b + " ") for b in L.BIG_COMPANIES]), lambda b: F.startswith(n, b))
+
+
+def within_years(published: Column, as_of: Column, years: int) -> Column:
+    """Published in the last years; pushed down to the scan where both are plain columns."""
+    return published >= F.date_sub(as_of, 365 * years)
+
+
+def display_name(name: Column, local: Column) -> Column:
+    """The name in the reader's language, if there is one."""
+    return F.coalesce(F.nullif(F.trim(local), F.lit("")), name)
+
+
+def has_placeholder(phrase: Column) -> Column:
+    """The phrase has an angle bracket or a numbered stand-in such as "phrase 1"."""
+    return F.contains(phrase, F.lit("<")) | F.contains(phrase, F.lit(">")) | F.lower(phrase).rlike(L.PLACEHOLDER)
 
 
 def stage(text: Column) -> Column:

@@ -15,3 +15,5 @@ TRUST_BY_TYPE = {"paper": "high", "patent": "high", "gov": "high", "preprint": "
 BIG_COMPANIES = ["google", "microsoft", "nvidia", "amazon", "meta", "apple", "samsung", "intel", "amd", "cisco", "ibm", "qualcomm", "hp", "palo alto", "siemens", "visa", "stripe", "coinbase", "j.p. morgan", "jpmorgan", "openai", "anthropic", "claude", "check point", "dell", "arm", "sony", "huawei", "bosch", "honda", "akamai", "cloudflare", "swift", "google cloud"]
 STARTUP_NEWS = r"\b(raises?|raised|funding|seed|series [a-d]|pre-seed|emerges? from stealth|stealth|startup|start-up|launch(es|ed)?|unveils?|debuts?|introduces?|spin-?out|backed|investors?)\b"
 STAGES = {"research": ["концепц", "исследован"], "prototype": ["прототип", "poc", "пилот"], "product": ["раннее внедрение", "ранние внедрения", "ранняя серия", "серийн"], "mass": ["массов"]}
+PLACEHOLDER = r"\b(?:фраза|phrase|name|название)\s*\d"
+ANALYTICAL_TYPES = ["report", "gov"]

@@ -1,12 +1,13 @@
-"""Name variants and near-duplicates: pairs by inverted indexes, greedy decisions in bounded groups."""
+"""Name variants and near-duplicates: pairs by inverted indexes, greedy decisions in rounds of joins."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from emberline.functions.text import key_words
+from emberline.functions.text import key_words, slug
+from emberline.sources.stores import checkpointed
 
 
 def containment_pairs(names: DataFrame) -> DataFrame:
@@ -26,50 +27,94 @@ def containment_pairs(names: DataFrame) -> DataFrame:
 def title_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, jaccard) of (a, title) and (b, title) with a token Jaccard of at least `least`, by shared rare tokens.
 
-    A pair of that Jaccard shares one of the left title's rarest size - ceil(least * size) + 1 tokens (prefix filter).
+    A pair of that Jaccard shares one of the size - ceil(least * size) + 1 rarest tokens of both titles (prefix filter), and
+    neither has less than `least` of the other's tokens. Only ids and sizes pass through the join by token.
     """
     toks = lambda d, n: d.select(n, F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), 0)).alias("t")).where(F.size("t") > 0)
     a, b = toks(left, "a"), toks(right, "b")
-    freq = b.select(F.explode("t").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    ordered = a.select("a", "t", F.explode("t").alias("k")).join(freq, "k", "left").groupBy("a", "t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))).alias("o"))
-    head = F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1
-    probe = ordered.select("a", F.col("t").alias("ta"), F.explode(F.slice("o", F.lit(1), head)).alias("x")).select("a", "ta", "x.k")
-    j = probe.join(b.select("b", F.col("t").alias("tb"), F.explode("t").alias("k")), "k").select("a", "b", "ta", "tb").distinct()
+    freq = a.select(F.explode("t").alias("k")).union(b.select(F.explode("t").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
+
+    def heads(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key, F.size("t").alias(f"n{key}"), F.explode("t").alias("k")).join(freq, "k")
+        rare = each.groupBy(key, f"n{key}").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("o"))
+        return rare.select(key, f"n{key}", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("x")).select(key, f"n{key}", "x.k")
+
+    sized = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = heads(a, "a").join(heads(b, "b"), "k").where(sized).select("a", "b").distinct()
+    j = pairs.join(a.select("a", F.col("t").alias("ta")), "a").join(b.select("b", F.col("t").alias("tb")), "b")
     score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return j.select("a", "b", F.round(score, 4).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def without_variants(scored: DataFrame) -> DataFrame:
-    """(run, id, name, score) with name variants merged: the narrower name takes the earlier one's place.
+    """(run, id, name, score, place) of (run, id, name, score) with name variants merged. The rule: names are read by falling
+    score; one whose key words hold all those of a name that has a place, or are all held by them, has no place of its own, but
+    takes that place, the first such, if it is the narrower of the two. Names of less than two key words have no variants.
 
-    Greedy in score order within a run; a run's scored list is bounded by the candidate cap, so it is one small group.
+    Names that no chain of variants joins don't touch each other, so each round decides the next name of every chain of every
+    run at once; there are as many rounds as the longest chain has names. Places are numbered within the run at the end.
     """
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for row in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples(index=False):
-            words = set(row.w)
-            at = next((i for i, (k, _) in enumerate(kept) if len(words) >= 2 and len(k) >= 2 and (words <= k or k <= words)), None)
-            if at is None:
-                kept.append((words, row))
-            elif len(words) > len(kept[at][0]):
-                kept[at] = (words, row)
-        return pd.DataFrame([{"run": r.run, "id": r.id, "name": r.name, "score": r.score, "place": i} for i, (_, r) in enumerate(kept)], columns=["run", "id", "name", "score", "place"])
-
-    w = scored.select("run", "id", "name", "score", key_words(F.col("name")).alias("w"))
-    return w.groupBy("run").applyInPandas(merge, "run string, id bigint, name string, score double, place int")
+    ids = scored.select("run", "id", "name", "score", F.size(key_words(F.col("name"))).alias("n"))
+    near = containment_pairs(scored.select("id", "name"))
+    both = near.select(F.col("narrow").alias("id"), F.col("broad").alias("other")).union(near.select(F.col("broad").alias("id"), F.col("narrow").alias("other"))).distinct()
+    of_run = scored.select("id", "run")
+    both = checkpointed(both.join(of_run, "id").join(of_run.select(F.col("id").alias("other"), F.col("run").alias("run2")), "other").where("run = run2").select("id", "other"))
+    chain = checkpointed(_chains(ids.select("id"), both))
+    order = W.partitionBy("run", "chain").orderBy(F.desc("score"), "id")
+    left = checkpointed(ids.join(chain, "id").withColumn("step", F.row_number().over(order)))
+    steps = left.agg(F.max("step")).first()[0] or 0
+    # a place: who had it first, and who has it now
+    held = left.where("step = 1").select("run", "chain", F.col("score").alias("at"), F.col("id").alias("first"), "id", "n")
+    for step in range(2, steps + 1):
+        new = left.where(F.col("step") == step).select(F.col("run").alias("r"), F.col("chain").alias("c"), F.col("id").alias("new"), F.col("score").alias("s"), F.col("n").alias("m"))
+        met = held.join(both, "id").join(new, (F.col("other") == F.col("new")) & (F.col("chain") == F.col("c")))
+        first = met.groupBy("new", "m").agg(F.max_by(F.struct("first", "n"), F.struct("at", -F.col("first"))).alias("place"))
+        moved = first.where("m > place.n").select(F.col("place.first").alias("first"), "new", "m")
+        kept = held.join(moved, "first", "left").select("run", "chain", "at", "first", F.coalesce("new", "id").alias("id"), F.coalesce("m", "n").alias("n"))
+        alone = new.join(first.select("new"), "new", "left_anti").select("r", "c", "s", F.col("new").alias("first"), "new", "m")
+        held = checkpointed(kept.union(alone))
+    named = held.join(ids.select("id", "name", "score"), "id").withColumn("place", F.row_number().over(W.partitionBy("run").orderBy(F.desc("at"), "first")) - 1)
+    return named.select("run", "id", "name", "score", "place")
+
+
+def _chains(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, chain): the least id that pairs (id, other), each both ways, lead to. Labels double their reach each round."""
+    chain = ids.select("id", F.col("id").alias("chain"))
+    while True:
+        near = pairs.join(chain.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("chain").alias("least"))
+        lower = chain.join(near, "id", "left").select("id", F.least("chain", "least").alias("chain"))
+        jump = lower.join(lower.select(F.col("id").alias("chain"), F.col("chain").alias("root")), "chain").select("id", "root")
+        new = checkpointed(jump.select("id", F.col("root").alias("chain")))
+        if new.agg(F.sum("chain")).first()[0] == chain.agg(F.sum("chain")).first()[0]:
+            return new
+        chain = new
 
 
 def greedy_suppressed(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ranked (run, id, rank) without rows that pair with a kept row above: pairs (a, b) either way, decided in rank order."""
-    def suppress(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        out = []
-        for row in pdf.sort_values("rank").itertuples(index=False):
-            if not kept.intersection(row.near):
-                kept.add(row.id)
-                out.append({"run": row.run, "id": row.id, "rank": row.rank})
-        return pd.DataFrame(out, columns=["run", "id", "rank"])
-
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
-    rows = ranked.join(both, "id", "left").select("run", "id", "rank", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
-    return rows.groupBy("run").applyInPandas(suppress, "run string, id bigint, rank int")
+    """ranked (run, id, rank) without rows that pair with a kept row above in their run: pairs (a, b) either way.
+
+    Each round keeps the rows that have no undecided partner above and drops the partners of kept rows below them, until all
+    are decided; no run is brought together.
+    """
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
+    a = ranked.select("run", F.col("id").alias("a"), F.col("rank").alias("ra"))
+    above = checkpointed(both.join(a, "a").join(ranked.select("run", F.col("id").alias("b"), F.col("rank").alias("rb")), ["run", "b"]).where("ra < rb").select("run", "a", "b"))
+    kept, left = None, ranked.select("run", "id", "rank")
+    while True:
+        open_above = above.join(left.select("run", F.col("id").alias("a")), ["run", "a"], "left_semi").select("run", F.col("b").alias("id")).distinct()
+        now = checkpointed(left.join(open_above, ["run", "id"], "left_anti"))
+        if now.isEmpty():
+            return kept if kept is not None else now
+        kept = now if kept is None else kept.union(now)
+        beaten = above.join(now.select("run", F.col("id").alias("a")), ["run", "a"], "left_semi").select("run", F.col("b").alias("id")).distinct()
+        left = checkpointed(left.join(now.select("run", "id"), ["run", "id"], "left_anti").join(beaten, ["run", "id"], "left_anti"))
+
+
+def merged_by_slug(candidates: DataFrame) -> DataFrame:
+    """(slug, name, document_ids) of (seq, name, document_ids): the first name of a slug, and all documents, each once, in the
+    order in which they come."""
+    named = candidates.select("seq", "name", slug(F.col("name")).alias("slug"), "document_ids")
+    first = named.groupBy("slug").agg(F.min_by("name", "seq").alias("name"))
+    each = named.select("slug", "seq", F.posexplode("document_ids").alias("pos", "doc")).groupBy("slug", "doc").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    docs = each.groupBy("slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc"))), lambda x: x["doc"]).alias("document_ids"))
+    return first.join(docs, "slug", "left")

@@ -73,6 +73,31 @@ def feature_table(pubs: DataFrame, types: DataFrame, news: DataFrame, as_of_year
     return both.withColumn("news_to_science_ratio", F.round(F.when(F.col("total_pubs") > 0, F.col("news_total") / F.col("total_pubs")), 4))
 
 
+def candidate_features(candidates: DataFrame, table: DataFrame, links: DataFrame, flags: DataFrame) -> DataFrame:
+    """candidates (candidate, term) with the term's features, those of their own documents (own_document_features(links)),
+    the three-valued is_flagged of flags (candidate, flag), and the media-to-science ratio, which falls back to the own
+    documents where the term has no statistics. Each input is one aggregation on the key it is joined by."""
+    any_flag = flags.groupBy("candidate").agg(F.bool_or("flag").alias("is_flagged"))
+    both = candidates.join(table, "term", "left").join(own_document_features(links), "candidate", "left").join(any_flag, "candidate", "left")
+    ratio = news_ratio(F.col("news_total"), F.col("total_pubs"), F.col("own_news"), F.col("own_science"))
+    return both.withColumn("news_to_science_ratio", ratio)
+
+
+def totals(**sources: DataFrame) -> DataFrame:
+    """Per term the sum of each source (term, year, n) as <name>_total; null where the source has nothing for the term."""
+    every = None
+    for name, rows in sources.items():
+        part = rows.select("term", F.lit(name).alias("kind"), "n")
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("term").agg(*[F.sum(F.when(F.col("kind") == name, F.col("n"))).alias(f"{name}_total") for name in sources])
+
+
+def peak_year(series: DataFrame) -> DataFrame:
+    """(term, peak_year, peak): the year with the most, the earlier one if two have as many."""
+    top = series.groupBy("term").agg(F.max(F.struct("n", (-F.col("year")).alias("y"))).alias("m"))
+    return top.select("term", (-F.col("m.y")).alias("peak_year"), F.col("m.n").alias("peak"))
+
+
 def model_vector(f: DataFrame, as_of_year: int) -> DataFrame:
     """Nullable model inputs: logarithms, age, ratio in thousandths."""
     log = lambda c: F.round(F.log1p(c), 4)

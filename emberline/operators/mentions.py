@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.text import let
+from emberline.functions.text import companies as companies_of
+from emberline.functions.text import is_big_company, let, mentions
 
 TOKEN = r"[\p{L}\p{N}_-]+"
 
@@ -18,26 +19,44 @@ def phrase_key(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
-def n_grams(t: Column, k: int) -> Column:
-    if k == 1:
-        return t
-    at = F.when(F.size(t) >= k, F.sequence(F.lit(1), F.size(t) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(t, i, F.lit(k)), " "))
-
-
 def term_mentions(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, doc_id): documents in which all of a term's tokens occur in a row.
 
-    Terms become keys of their tokens; documents give the n-grams of the lengths that terms have. The join is on the
-    n-gram, so Spark spreads it by key and splits a frequent one; n-grams are distinct a document, so one pair comes once.
+    Terms are keyed by their first two tokens (or one), documents give the pairs of neighbours they have: the join is by
+    equality on hashes, one row for a distinct pair, and no phrase is built. Whether the whole phrase occurs is then looked up in
+    the document's tokens; a document's tokens are joined to its found heads only.
     """
-    keyed = terms.select("term", phrase_key(F.col("term")).alias("gram"), F.size(tokens(F.col("term"))).alias("k")).where("k > 0")
-    lengths = sorted(r.k for r in keyed.select("k").distinct().collect())  # a handful: words in a term
-    if not lengths:
-        return docs.select(F.lit("").alias("term"), doc_id).where("false")
-    grams = let(tokens(F.col(text)), lambda t: F.array_distinct(F.concat(*[n_grams(t, k) for k in lengths])))
-    each = docs.select(doc_id, F.explode(grams).alias("gram"))
-    return each.join(keyed.select("term", "gram"), "gram").select("term", doc_id)
+    keyed = terms.select("term", tokens(F.col("term")).alias("w")).where(F.size("w") > 0)
+    heads = keyed.select("term", F.array_join("w", " ").alias("gram"), F.size("w").alias("k"), F.xxhash64(F.get("w", F.lit(0)), F.coalesce(F.get("w", F.lit(1)), F.lit(""))).alias("head"))
+    text_tokens = let(tokens(F.col(text)), lambda t: F.concat(F.transform(t, lambda x: F.xxhash64(x, F.lit(""))), F.zip_with(t, F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))))
+    each = docs.select(doc_id, F.explode(F.array_distinct(text_tokens)).alias("head"))
+    found = each.join(heads, "head").select(doc_id, "term", "gram", "k")
+    short = found.where("k <= 2").select("term", doc_id)
+    asked = found.where("k > 2").groupBy(doc_id).agg(F.collect_set(F.struct("term", "gram")).alias("asked"))
+    padded = docs.join(asked, doc_id).select(doc_id, F.concat(F.lit(" "), phrase_key(F.col(text)), F.lit(" ")).alias("_t"), "asked")
+    whole = padded.select(doc_id, F.explode(F.filter("asked", lambda x: F.contains(F.col("_t"), F.concat(F.lit(" "), x["gram"], F.lit(" "))))).alias("x"))
+    return short.union(whole.select("x.term", doc_id))
+
+
+def item_mentions(docs: DataFrame, items: DataFrame, companies: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(item, doc_id, matched_by): which items documents mention, by their company, and if not, by their term. items: (item, term),
+    companies: (item, name)."""
+    named = companies.select("item", F.col("name").alias("term"), F.lit("company").alias("matched_by")).union(items.select("item", "term", F.lit("term").alias("matched_by")))
+    hits = term_mentions(docs, named.select("term").distinct(), doc_id, text)
+    return hits.join(named, "term").groupBy("item", doc_id).agg(F.min("matched_by").alias("matched_by"))  # company before term
+
+
+def unique_companies(cells: DataFrame) -> DataFrame:
+    """(name, item): companies of cells (item, cell) that occur for exactly one item, big ones left out."""
+    each = cells.select("item", F.explode(companies_of(F.col("cell"))).alias("name")).select("item", F.lower("name").alias("name"))
+    small = each.where(~is_big_company(F.col("name")))
+    one = small.groupBy("name").agg(F.min("item").alias("item"), F.max("item").alias("other"))
+    return one.where("item = other").select("name", "item")
+
+
+def denied_in_top(top: DataFrame, deny: DataFrame) -> DataFrame:
+    """(query, name, phrase): names of a top list (query, name) that hold a phrase which their query denies (query, phrase)."""
+    return top.join(deny, "query").where(mentions(F.col("name"), F.col("phrase"))).select("query", "name", "phrase")
 
 
 def loose_mentions(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

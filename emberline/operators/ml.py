@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.ranking import stratified_folds
+from emberline.sources.stores import checkpointed
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def document_rows(spark, d: str) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, model, folds: int = 5) -> DataFrame:
     """(key, label, fold, score): each row scored by a model fitted to the other folds."""
-    dealt = stratified_folds(balanced(rows), "label", "key", folds).persist()
+    dealt = checkpointed(stratified_folds(balanced(rows), "label", "key", folds))
     out = None
     for k in range(folds):
         fitted = model.fit(dealt.where(F.col("fold") != k))
@@ -56,7 +57,7 @@ def out_of_fold(rows: DataFrame, model, folds: int = 5) -> DataFrame:
 
 def leave_one_out(rows: DataFrame, model, by: str) -> DataFrame:
     """(key, label, by, score): each value's rows scored by a model fitted to the others."""
-    weighted = balanced(rows).persist()
+    weighted = checkpointed(balanced(rows))
     out = None
     for v in sorted(r[0] for r in weighted.select(by).distinct().collect()):  # a handful of domains
         part = model.fit(weighted.where(F.col(by) != v)).transform(weighted.where(F.col(by) == v)).select("key", "label", by, F.round(vector_to_array("probability")[1], 6).alias("score"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from emberline.sources.stores import checkpointed
+
 
 def contributions(as_of_year: int) -> Column:
     """array<struct<feature, c>> of the heuristic score; features that are null give none."""
@@ -40,9 +42,49 @@ def first_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """rows with their number, from 1, in an order that leaves no ties. Rows are dealt out by ranges of the order, numbered
+    in each and moved on by the sizes of the ranges before (a row a partition), so no task sees them all."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + own).drop("_part", "_before")
+
+
+def numbered_each(rows: DataFrame, group: str, *order: Column | str, name: str = "turn") -> DataFrame:
+    """rows with their number, from 1, within their group: the overall number less the group's least. A group that holds most
+    rows is spread like the others."""
+    every = checkpointed(numbered(rows, group, *order, name="_place"))
+    first = every.groupBy(group).agg(F.min("_place").alias("_first"))
+    return every.join(first.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, (F.col("_place") - F.col("_first") + 1).cast("int")).drop("_place", "_first", "_group")
+
+
 def interleaved(rows: DataFrame, group: str, order: list, name: str = "turn") -> DataFrame:
     """rows with the number of the turn in which their group gives them; order by (turn, group) for the queue."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    return numbered_each(rows, group, *order, name=name)
+
+
+def capped_round_robin(rows: DataFrame, run: str, batch: str, seq: str, score: str, cap: int) -> DataFrame:
+    """At most `cap` rows a run with their place: batches give one row each in turn; a run of more rows than that is taken in
+    the order of the score instead. A run is one query's candidates."""
+    turned = rows.withColumn("_turn", F.row_number().over(W.partitionBy(run, batch).orderBy(seq)))
+    sized = turned.join(rows.groupBy(run).agg(F.count("*").alias("_n")), run)
+    by_score = F.when(F.col("_n") > cap, -F.col(score)).otherwise(F.lit(0.0))
+    return sized.withColumn("place", F.row_number().over(W.partitionBy(run).orderBy(by_score, "_turn", batch, seq))).where(F.col("place") <= cap).drop("_turn", "_n")
+
+
+def reading_order(docs: DataFrame, is_news: Column, is_startup: Column, published: str, key: str) -> DataFrame:
+    """docs with their place in the reading queue: news, startup news first, and papers alternate, each by falling date, the
+    undated last, ties by key."""
+    lined = docs.withColumn("_paper", (~is_news).cast("int")).withColumn("_late", (is_news & ~is_startup).cast("int"))
+    turns = numbered_each(lined, "_paper", "_late", F.desc_nulls_last(published), key, name="_turn")
+    return numbered(turns, "_turn", "_paper").drop("_paper", "_late", "_turn")
+
+
+def with_backfill(ranked: DataFrame, documents: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
+    """The first n rows that have documents: those without are passed over before ranks are given, so the next move up."""
+    return ranked_slice(ranked.join(documents.select(key), key, "left_semi"), 1, n, *order)
 
 
 def top_k_each(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
@@ -55,6 +97,11 @@ def ranked_slice(rows: DataFrame, first: int, last: int, *order: Column) -> Data
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order))).where(F.col("rank") >= first)
 
 
+def blend_reason(p: Column) -> Column:
+    """What the name model moves a score by, from the undecided 0.5."""
+    return F.struct(F.lit("name").alias("feature"), F.round(p - 0.5, 4).alias("contribution"))
+
+
 def blended(score: Column, p: Column, weight: float = 0.75) -> Column:
     return F.round((1 - weight) * score + weight * p, 4)
 
@@ -77,6 +124,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine_search(asked: DataFrame, rows: DataFrame, key: str, vector: str, least: float, blocks: int = 64) -> DataFrame:
+    """(a, b, cosine) of unit vectors: every pair of a query and a row, but itself, with a cosine of at least `least`. Rows are
+    dealt out to blocks by a hash, and each block meets all queries, whose number has to be small against that of the rows."""
+    q = asked.select(F.col(key).alias("a"), F.col(vector).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    r = rows.select(F.col(key).alias("b"), F.col(vector).alias("_y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
+    return q.join(r, "_block").where("a <> b").select("a", "b", F.round(dot(F.col("_x"), F.col("_y")), 4).alias("cosine")).where(F.col("cosine") >= least)
+
+
 def topic_adjusted(rows: DataFrame, group: str, weight: float) -> DataFrame:
     """rows (group, score, closeness) with the score moved by weight * (closeness - the group's median), within [0, 1]."""
     mid = rows.groupBy(group).agg(F.median("closeness").alias("mid"), F.count("*").alias("size"))
@@ -93,15 +148,22 @@ def confusion(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", div(tp + tn, tp + fp + fn + tn).alias("accuracy"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def curve_areas(rows: DataFrame) -> DataFrame:
-    """roc_auc and average precision (a sum of steps) of (label, score). Rows are folded to distinct scores first."""
-    by = rows.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    w = W.orderBy(F.desc("score"))
-    up = by.select("p", "n", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn"))
-    t = up.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2)).alias("a"), F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("s"))
-    return t.select(F.round(F.try_divide("a", F.col("P") * F.col("N")), 4).alias("roc_auc"), F.round(F.try_divide("s", "P"), 4).alias("average_precision"))
+def curve_areas(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """roc_auc and average precision (a sum of steps) of (label, score), for each value of `by` if given. Rows are folded to
+    distinct scores, which are dealt out by ranges; sums run within a range and start at the ranges before."""
+    group = [by] if by else []
+    folded = rows.groupBy(*group, "score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
+    order = [*group, F.desc("score")]
+    dealt = checkpointed(folded.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*group, "_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_q"))
+    up_to = W.partitionBy(*group).orderBy("_part")
+    before = sums.select(*group, "_part", (F.sum("_p").over(up_to) - F.col("_p")).alias("_bp"), (F.sum("_q").over(up_to) - F.col("_q")).alias("_bq"))
+    w = W.partitionBy(*group, "_part").orderBy(F.desc("score"))
+    up = dealt.join(before, [*group, "_part"]).select(*group, "p", "n", (F.col("_bp") + F.sum("p").over(w)).alias("cp"), (F.col("_bq") + F.sum("n").over(w)).alias("cn"))
+    t = up.groupBy(*group).agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2)).alias("a"), F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("s"))
+    return t.select(*group, F.round(F.try_divide("a", F.col("P") * F.col("N")), 4).alias("roc_auc"), F.round(F.try_divide("s", "P"), 4).alias("average_precision"))
 
 
 def stratified_folds(rows: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """A fold number a row: keys in order within each label, dealt out in turn."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(key), key)), F.lit(k)).cast("int"))
+    """A fold number a row: keys in the order of their hash within each label, dealt out in turn."""
+    return numbered_each(rows.withColumn("_h", F.xxhash64(key)), label, "_h", key, name="fold").withColumn("fold", F.pmod("fold", F.lit(k)).cast("int")).drop("_h")

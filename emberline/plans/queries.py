@@ -14,8 +14,8 @@ from pyspark.sql.window import Window as W
 
 from emberline.functions import text as X
 from emberline.functions import wordlists as L
-from emberline.operators import dedupe, features, mentions, ml, names as proper, ranking, rules
-from emberline.sources import stores
+from emberline.operators import dedupe, evidence, features, mentions, ml, names as proper, ranking, rules
+from emberline.sources import readers, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +89,8 @@ DOCS = "d as (select doc_id, source, lang, text, split_part(text, chr(10), 1) as
 HOST = r"nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', ''), '')"
 PTITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
+STEM = "case " + " ".join(f"when ends_with({{w}}, '{e}') and length({{w}}) - {len(e)} >= 4 then {'left({w}, length({w}) - 3) || chr(121)' if e == 'ies' else f'left({{w}}, length({{w}}) - {len(e)})'}" for e in ["ization", "isation", "ics", "ing", "ies", "es", "s"]) + " else {w} end"
+SINGULAR = "case when length({w}) <= 3 or regexp_matches({w}, '(ss|us|is|ics)$') then {w} when ends_with({w}, 'ies') then left({w}, length({w}) - 3) || 'y' when regexp_matches({w}, '(ches|shes|xes|sses)$') then left({w}, length({w}) - 2) when ends_with({w}, 's') then left({w}, length({w}) - 1) else {w} end"
 
 def quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -96,10 +98,11 @@ def quoted(values) -> str:
 
 # ---- flagship
 
-@query(f"with {SCORED}, k as (select *, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' else 'ok' end as reason_code from scored) select term, total_pubs, growth_3y, score, cast(row_number() over (order by score desc, term) as int) as rank from k where reason_code = 'ok' order by score desc, term limit 15")
+@query(f"with {SCORED}, k as (select *, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' else 'ok' end as reason_code from scored) select term, total_pubs, growth_3y, score, cast(row_number() over (order by score desc, term) as int) as rank from k where reason_code = 'ok' and term in (select term from items where l_quantity = 50 and l_shipdate < date '1992-05-01') order by score desc, term limit 15")
 def w6_top_signals(spark, d):
     kept = ranking.heuristic(rules.decided(table(spark, d), LIMITS).where("not excluded"), AS_OF)
-    return ranking.ranked_slice(kept, 1, 15, F.desc("score"), F.asc("term")).select("term", "total_pubs", "growth_3y", "score", "rank")
+    documents = items(spark, d).where("l_quantity = 50 and l_shipdate < date '1992-05-01'").select("term")
+    return ranking.with_backfill(kept, documents, "term", 15, F.desc("score"), F.asc("term")).select("term", "total_pubs", "growth_3y", "score", "rank")
 
 
 def entry_top_signals(spark, d):
@@ -120,25 +123,27 @@ def a2_type_counts(spark, d):
     return types(spark, d)
 
 
-@query(f"with {ITEMS} select term, least(count(distinct l_suppkey), 200) as distinct_orgs from items group by term")
+@query(f"with {ITEMS} select term, least(count(distinct l_suppkey), 200) as distinct_orgs, abs(count(distinct l_suppkey) - count(distinct l_suppkey)) = 0 as near from items group by term")
 def a3_distinct_orgs(spark, d):
-    return items(spark, d).groupBy("term").agg(F.least(F.count_distinct("l_suppkey"), F.lit(200)).alias("distinct_orgs"))
+    return items(spark, d).groupBy("term").agg(F.least(F.count_distinct("l_suppkey"), F.lit(200)).alias("distinct_orgs"), (F.abs(F.approx_count_distinct("l_suppkey", 0.02) - F.count_distinct("l_suppkey")) <= 0.1 * F.count_distinct("l_suppkey")).alias("near"))
 
 
-@query("select event_type, (case when 2000 + hour(ts) < 2012 then 2016 else 2000 + hour(ts) end)::int as bucket, count(*) as n from (select event_type, ts from events) group by all")
+@query("select p_name as term, (case when year(l_shipdate) + 26 < 2023 then 2016 else year(l_shipdate) + 26 end)::int as bucket, count(*) as n from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by all")
 def a4_media_buckets(spark, d):
-    year = 2000 + F.hour("ts")
-    return T(spark, d, "events").groupBy("event_type", F.when(year < 2012, 2016).otherwise(year).alias("bucket")).agg(F.count("*").alias("n"))
+    media = items(spark, d).where("l_returnflag = 'R'")  # years moved on by 26, into the span of the buckets
+    return media.groupBy("term", features.media_buckets(F.year("l_shipdate") + 26).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("select event_type, count(*) as mentions, round(sum(value), 2) as views from events group by event_type")
+@query("select event_type, month(ts)::int as period, count(*) as mentions, round(sum(value), 2) as views from events group by rollup (event_type, month(ts))")
 def a5_attention(spark, d):
-    return T(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("mentions"), F.round(F.sum("value"), 2).alias("views"))
+    e = T(spark, d, "events").select("event_type", F.month("ts").alias("period"), "value")  # months stand for years, of which there is one
+    return e.rollup("event_type", "period").agg(F.count("*").alias("mentions"), F.round(F.sum("value"), 2).alias("views"))
 
 
-@query(f"with {PUBS} select p.term, cast(sum(p.n) as bigint) as pubs_total, cast((select sum(n) from news w where w.term = p.term) as bigint) as news_total from pubs p group by p.term")
+@query(f"with {PUBS}, pat as (select term, count(*) as n from items where l_returnflag = 'N' and l_quantity > 48 group by term) select p.term, cast(sum(p.n) as bigint) as pubs_total, cast((select sum(n) from news w where w.term = p.term) as bigint) as news_total, cast((select n from pat where pat.term = p.term) as bigint) as patents_total from pubs p group by p.term")
 def a6_totals(spark, d):
-    return pubs(spark, d).groupBy("term").agg(F.sum("n").alias("pubs_total")).join(news(spark, d).groupBy("term").agg(F.sum("n").alias("news_total")), "term", "left")
+    patents = features.yearly_counts(items(spark, d).where("l_returnflag = 'N' and l_quantity > 48"), "term", "l_shipdate")
+    return features.totals(pubs=pubs(spark, d), news=news(spark, d), patents=patents)
 
 
 @query(f"with {FEATURES} select term, growth_3y from f")
@@ -194,16 +199,23 @@ def a15_feature_table(spark, d):
     return table(spark, d)
 
 
-@query("select lower(replace(p_name, ' ', '-')) as slug, arg_min(p_name, p_partkey) as name, list_aggregate(list_sort(list(p_partkey)), 'string_agg', ',') as ids from part group by 1")
+MERGED = "c as (select p_partkey as seq, p_name || case when p_size % 2 = 0 then 's' else '' end as name, [p_size, p_partkey % 7] as ids from part), w as (select *, string_split(lower(name), ' ') as w from c), z as (select *, w[-1] as last from w), g as (select seq, name, ids, array_to_string(list_append(w[1:len(w) - 1], " + SINGULAR.format(w="last") + "), '-') as slug from z)"
+
+
+@query(f"with {MERGED}, e as (select slug, seq, unnest(ids) as doc, generate_subscripts(ids, 1) as pos from g), f as (select slug, doc, min((seq, pos)) as place from e group by all) select slug, (select arg_min(name, seq) from g where g.slug = f.slug) as name, string_agg(doc, ',' order by place) as ids from f group by slug")
 def a16_merge_by_slug(spark, d):
-    p = T(spark, d, "part").select("p_partkey", "p_name", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("slug"))
-    return p.groupBy("slug").agg(F.min_by("p_name", "p_partkey").alias("name"), F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("ids"))
+    p = T(spark, d, "part")
+    named = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "s").otherwise(""))
+    c = p.select(F.col("p_partkey").alias("seq"), named.alias("name"), F.array(F.col("p_size").cast("bigint"), (F.col("p_partkey") % 7).cast("bigint")).alias("document_ids"))
+    return dedupe.merged_by_slug(c).select("slug", "name", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("ids"))
+
 
+CELL = "p_brand as item, p_name || ' ' || p_size || case p_partkey % 4 when 0 then ', Intel Labs' when 1 then ' / Завод (' || p_type || ')' else '; abc' end as cell"
 
-@query("with o as (select distinct p_brand as item, p_name || p_size as name from part) select name, min(item) as item from o group by name having count(*) = 1")
+
+@query(f"with c as (select {CELL} from part), n as (select item, lower(trim(unnest(regexp_split_to_array(cell, '[,;/+()]')), ' .')) as name from c) select name, min(item) as item from n where length(name) > 3 and not regexp_matches(name, '[а-яё]') and name not like 'intel %' group by name having count(distinct item) = 1")
 def a17_unique_companies(spark, d):
-    o = T(spark, d, "part").select(F.col("p_brand").alias("item"), F.concat("p_name", F.col("p_size").cast("string")).alias("name"))
-    return o.distinct().groupBy("name").agg(F.min("item").alias("item"), F.count("*").alias("n")).where("n = 1").select("name", "item")
+    return mentions.unique_companies(T(spark, d, "part").selectExpr("p_brand as item", CELL.split(" as item, ", 1)[1]))
 
 
 @query(f"with {FEATURES}, k as (select term, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' end as reason_code from f) select reason_code, case reason_code when 'no_research' then 2 when 'mature' then 3 else 4 end as place, count(*) as n, string_agg(term, ';' order by term) as terms from k where reason_code is not null group by reason_code")
@@ -224,12 +236,13 @@ def a20_call_journal(spark, d):
     return e.rollup("step", "model").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("seconds"))
 
 
-@query(f"with {SCORED}, k as (select *, not (total_pubs < 800 or total_pubs > 1050) as kept from scored) select stage, n from (select unnest([{{'stage': 'candidates', 'n': count(*)}}, {{'stage': 'kept', 'n': count(*) filter (where kept)}}, {{'stage': 'confident', 'n': count(*) filter (where kept and score > 0.75)}}], recursive := true) from k)")
+@query(f"with {SCORED}, k as (select *, not (total_pubs < 800 or total_pubs > 1050) as kept from scored), sizes as (select (select count(*) from lineitem) as n1, count(*) as n2, count(*) filter (where kept) as n3, count(*) filter (where kept and score > 0.75) as n4 from k) select unnest(['documents', 'candidates', 'kept', 'confident']) as stage, unnest([n1, n2, n3, n4]) as n, unnest([0, n1 - n2, n2 - n3, n3 - n4]) as dropped from sizes")
 def a21_funnel(spark, d):
     k = ranking.heuristic(table(spark, d), AS_OF)
     kept = ~((F.col("total_pubs") < 800) | (F.col("total_pubs") > 1050))
-    c = k.agg(F.count("*").alias("a"), F.count_if(kept).alias("b"), F.count_if(kept & (F.col("score") > 0.75)).alias("c"))
-    return c.select(F.expr("stack(3, 'candidates', a, 'kept', b, 'confident', c) as (stage, n)"))
+    c = k.agg(F.count("*").alias("n2"), F.count_if(kept).alias("n3"), F.count_if(kept & (F.col("score") > 0.75)).alias("n4"))
+    whole = c.crossJoin(F.broadcast(T(spark, d, "lineitem").agg(F.count("*").alias("n1"))))  # one row each
+    return whole.select(F.expr("stack(4, 'documents', n1, 0L, 'candidates', n2, n1 - n2, 'kept', n3, n2 - n3, 'confident', n4, n3 - n4) as (stage, n, dropped)")).select("stage", "n", F.col("dropped").cast("bigint").alias("dropped"))
 
 
 @query("select coalesce(lang, 'total') as domain, count(distinct doc_id) as documents, count(distinct case when toxic = 1 then doc_id end) as found, round(count(distinct case when toxic = 1 then doc_id end) / count(distinct doc_id), 4) as recall from documents join labels using (doc_id) group by rollup (lang)")
@@ -313,9 +326,24 @@ def p4_loose_mentions(spark, d):
     return mentions.loose_mentions(T(spark, d, "documents"), benchmark_terms(spark, d))
 
 
-@query(f"with {TERM_SQL} select term, min(doc_id) as first_rank, count(*) filter (where doc_id > 500) as beyond from hits group by term")
+QUEUE = "q0 as (select doc_id, case when doc_id % 10 <> 0 then date '2024-01-01' + (doc_id % 97)::int end as published, source in ('src0', 'src1', 'src2') as news, regexp_matches(lower(split_part(text, chr(10), 1)), '" + L.STARTUP_NEWS + "') as startup from documents), q1 as (select doc_id, (not news)::int as paper, row_number() over (partition by news order by (news and not startup)::int, published desc nulls last, doc_id) as turn from q0), queue as (select doc_id, row_number() over (order by turn, paper) as place from q1)"
+
+
+def queue(spark, d):
+    """Documents in the order in which they are read; the first line is the title, the date goes by the id."""
+    dated = titled(spark, d).withColumn("published", F.when(F.col("doc_id") % 10 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 97).cast("int"))))
+    short = dated.select("doc_id", "published", F.col("source").isin("src0", "src1", "src2").alias("news"), X.startup_news(F.col("title")).alias("startup"))
+    return ranking.reading_order(short, F.col("news"), F.col("startup"), "published", "doc_id").select("doc_id", "place")
+
+
+@query(f"with {QUEUE} select * from queue")
+def w4_reading_order(spark, d):
+    return queue(spark, d)
+
+
+@query(f"with {TERM_SQL}, {QUEUE} select term, min(place) as first_rank, count(*) filter (where place > 500) as beyond from hits join queue using (doc_id) group by term")
 def a34_depth_of_mention(spark, d):
-    return mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d)).groupBy("term").agg(F.min("doc_id").alias("first_rank"), F.count_if(F.col("doc_id") > 500).alias("beyond"))
+    return mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d)).join(queue(spark, d), "doc_id").groupBy("term").agg(F.min("place").alias("first_rank"), F.count_if(F.col("place") > 500).alias("beyond"))
 
 
 @query(r"select doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_-])all rights reserved($|[^\p{L}\p{N}_-])') as hit from documents")
@@ -330,10 +358,10 @@ def f4_url_id(spark, d):
     return T(spark, d, "pages").select("page_id", X.url_id(F.col("url")).alias("id"))
 
 
-@query(f"select page_id, {HOST} as host, coalesce({HOST} in ('zenodo.org') or {HOST} like '%.example.org', false) as own_hosted from pages")
+@query(f"select page_id, {HOST} as host, coalesce({HOST} = 'zenodo.org' or {HOST} like '%.zenodo.org' or {HOST} = 'researchgate.net' or {HOST} like '%.researchgate.net' or {HOST} = 'figshare.com' or {HOST} like '%.figshare.com', false) as own_hosted from pages")
 def f1_host(spark, d):
     h = X.host(F.col("url"))
-    return T(spark, d, "pages").select("page_id", h.alias("host"), F.coalesce(h.isin("zenodo.org") | h.endswith(".example.org"), F.lit(False)).alias("own_hosted"))
+    return T(spark, d, "pages").select("page_id", h.alias("host"), X.self_published(F.col("url")).alias("own_hosted"))
 
 
 @query(f"with {DOCS} select doc_id, trim(regexp_replace(lower(title), '[^a-zа-я0-9]+', ' ', 'g')) as key from d")
@@ -360,8 +388,6 @@ def f10_unslug(spark, d):
     return T(spark, d, "part").select("p_partkey", F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("unslugged"), X.unslug(s).alias("back"))
 
 
-STEM = "case " + " ".join(f"when ends_with({{w}}, '{e}') and length({{w}}) - {len(e)} >= 4 then {'left({w}, length({w}) - 3) || chr(121)' if e == 'ies' else f'left({{w}}, length({{w}}) - {len(e)})'}" for e in ["ization", "isation", "ics", "ing", "ies", "es", "s"]) + " else {w} end"
-SINGULAR = "case when length({w}) <= 3 or regexp_matches({w}, '(ss|us|is|ics)$') then {w} when ends_with({w}, 'ies') then left({w}, length({w}) - 3) || 'y' when regexp_matches({w}, '(ches|shes|xes|sses)$') then left({w}, length({w}) - 2) when ends_with({w}, 's') then left({w}, length({w}) - 1) else {w} end"
 WORDS = r"w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents)"
 
 
@@ -384,10 +410,10 @@ def names(spark, d):
     return T(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(s == 0, " platform").when(s == 1, " Module 3.5").when(s == 2, " systems").otherwise("")).alias("name"))
 
 
-@query(rf"with {NAMES}, t as (select *, regexp_split_to_array(trim(name), '\s+') as w from n) select p_partkey, case when len(w) >= 3 and lower(w[-1]) in ({quoted(L.GENERIC_TAILS)}) then array_to_string(w[1:len(w) - 1], ' ') end as shorter, lower(regexp_split_to_array(trim(name), '[\s-]+')[-1]) in ({quoted(L.GENERIC_HEADS)}) as generic, regexp_matches(name, '(^|[^\p{{L}}\p{{N}}_-])\d+(\.\d+)?($|[^\p{{L}}\p{{N}}_-])') or regexp_matches(name, '-\d+$') or len(list_filter(w[2:100], lambda x: regexp_matches(x, '^\p{{Lu}}') and x <> upper(x))) > 0 as product from t")
+@query(rf"with {NAMES}, t as (select *, regexp_split_to_array(trim(name), '\s+') as w from n) select p_partkey, case when len(w) >= 3 and lower(w[-1]) in ({quoted(L.GENERIC_TAILS)}) then array_to_string(w[1:len(w) - 1], ' ') end as shorter, lower(regexp_split_to_array(trim(name), '[\s-]+')[-1]) in ({quoted(L.GENERIC_HEADS)}) as generic, regexp_matches(name, '(^|[^\p{{L}}\p{{N}}_-])\d+(\.\d+)?($|[^\p{{L}}\p{{N}}_-])') or regexp_matches(name, '-\d+$') or len(list_filter(w[2:100], lambda x: regexp_matches(x, '^\p{{Lu}}') and x <> upper(x))) > 0 as product, len(w) between 1 and 4 and replace(lower(trim(name)), '-', ' ') not in ({quoted(L.TOO_BROAD_NAMES)}) and not product and not generic and regexp_matches(name, '\p{{L}}') as usable from t")
 def p5_p7_f13_names(spark, d):
     n = F.col("name")
-    return names(spark, d).select("p_partkey", X.without_generic_tail(n).alias("shorter"), X.generic_head(n).alias("generic"), X.looks_like_product(n).alias("product"))
+    return names(spark, d).select("p_partkey", X.without_generic_tail(n).alias("shorter"), X.generic_head(n).alias("generic"), X.looks_like_product(n).alias("product"), X.usable_name(n).alias("usable"))
 
 
 @query(rf"with {NAMES}, t as (select *, regexp_replace(lower(name), '[^\p{{L}}\p{{N}}]', '', 'g') as l, regexp_replace(lower(split_part(name, ' ', 1)), '[^\p{{L}}\p{{N}}]', '', 'g') as c from n) select p_partkey, l as letters, length(c) >= 5 and contains(l, c) as own_company from t")
@@ -399,16 +425,16 @@ def p8_f14_own_company(spark, d):
 @query(f"with {DOCS} select doc_id, regexp_matches(lower(title), '{L.STARTUP_NEWS}') as startup, regexp_matches(title, '[а-яёА-ЯЁ]') as cyrillic, " + " or ".join(f"ends_with(lower(trim(title)), '{t}')" for t in L.FRESH_TAILS) + " as fresh from d")
 def p12_p13_p15_title_predicates(spark, d):
     t = F.col("title")
-    return titled(spark, d).select("doc_id", F.lower(t).rlike(L.STARTUP_NEWS).alias("startup"), X.has_cyrillic(t).alias("cyrillic"), X.fresh_phrase(t).alias("fresh"))
+    return titled(spark, d).select("doc_id", X.startup_news(t).alias("startup"), X.has_cyrillic(t).alias("cyrillic"), X.fresh_phrase(t).alias("fresh"))
 
 
 TWIN = rf"with {DOCS}, k as (select doc_id, title, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(trim(title)), '\s+'), lambda x: x <> '' and x not in ({quoted(L.FUNCTION_WORDS)}))), ' ') as key, len(regexp_split_to_array(trim(title), '\s+')) as n from d)"
 
 
-@query(TWIN + f", r as (select *, row_number() over (partition by key order by doc_id) as rn from k where n between 2 and 6 and len(list_intersect(regexp_split_to_array(lower(title), ' '), [{quoted(L.BANNED_WORDS)}])) = 0 and lower(title) not in ({quoted(L.TOO_BROAD_PHRASES)})) select doc_id, key from r where rn = 1")
+@query(TWIN + f", r as (select *, row_number() over (partition by key order by doc_id) as rn from k where n between 2 and 6 and not regexp_matches(lower(title), '[<>]|{L.PLACEHOLDER}') and len(list_intersect(regexp_split_to_array(lower(title), ' '), [{quoted(L.BANNED_WORDS)}])) = 0 and lower(title) not in ({quoted(L.TOO_BROAD_PHRASES)})) select doc_id, key from r where rn = 1")
 def p14_f15_clean_phrases(spark, d):
     n = F.size(F.split(F.trim("title"), r"\s+"))
-    clean = titled(spark, d).where(n.between(2, 6)).where(F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(*[F.lit(w) for w in L.BANNED_WORDS]))) == 0).where(~F.lower("title").isin(*L.TOO_BROAD_PHRASES))
+    clean = titled(spark, d).where(n.between(2, 6)).where(F.size(F.array_intersect(F.split(F.lower("title"), " "), F.array(*[F.lit(w) for w in L.BANNED_WORDS]))) == 0).where(~F.lower("title").isin(*L.TOO_BROAD_PHRASES) & ~X.has_placeholder(F.col("title")))
     return ranking.first_by_key(clean.select("doc_id", X.twin_key(F.col("title")).alias("key")), "key", "doc_id").select("doc_id", "key")
 
 
@@ -417,10 +443,12 @@ def f23_long_names(spark, d):
     return titled(spark, d).agg(F.count_if(F.size(F.split(F.trim("title"), r"\s+")) > 5).alias("long_names"), F.count("*").alias("n"))
 
 
-@query("select event_id, case when value / 100 > 0.75 then 'high' when value / 100 > 0.5 then 'medium' else 'low' end as confidence, case when regexp_matches(props, '(?i)time[d]?[ -]?out') then 'timeout' else left(props, 80) end as reason from events")
+@query(r"select event_id, case when value / 100 > 0.75 then 'high' when value / 100 > 0.5 then 'medium' else 'low' end as confidence, case when d <> '' then 'HTTP ' || d when regexp_matches(t, '(?i)time[d]?[ -]?out') then 'timeout' else left(t, 80) end as reason, case when value / 100 > 0.75 then 1 when value / 100 > 0.5 then 2 else 3 end as rank, coalesce(nullif(trim(case when user_id % 2 = 0 then ' ' else props end), ''), event_type) as shown from (select *, event_type || ' ' || case user_id % 3 when 0 then 'status 50' || user_id % 7 when 1 then 'timed out' else props end as t, regexp_extract(t, '\b([45]\d\d)\b', 1) as d from events)")
 def f21_f22_levels_and_reasons(spark, d):
-    p = F.col("props")
-    return T(spark, d, "events").select("event_id", X.confidence(F.col("value") / 100).alias("confidence"), F.when(p.rlike("(?i)time[d]?[ -]?out"), "timeout").otherwise(F.substr(p, F.lit(1), F.lit(80))).alias("reason"))
+    detail = F.concat("event_type", F.lit(" "), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("status 50"), (F.col("user_id") % 7).cast("string"))).when(F.col("user_id") % 3 == 1, "timed out").otherwise(F.col("props")))
+    level = X.confidence(F.col("value") / 100)
+    local = F.when(F.col("user_id") % 2 == 0, " ").otherwise(F.col("props"))
+    return T(spark, d, "events").select("event_id", level.alias("confidence"), X.failure_reason(detail).alias("reason"), X.trust_rank(level).alias("rank"), X.display_name(F.col("event_type"), local).alias("shown"))
 
 
 @query(f"with {FEATURES} select term, round(ln(1 + total_pubs), 4) as log_pubs, round(ln(1 + pubs_last_year), 4) as log_last, growth_3y, recent_share, (2001 - first_seen_year)::int as age, round(ln(1 + news_total), 4) as log_news, round(ln(1 + news_recent), 4) as log_news_recent, round(ln(1 + 1000 * news_to_science_ratio), 4) as log_ratio, preprint_share from f")
@@ -452,11 +480,11 @@ def w8_reasons(spark, d):
     return s.select("term", F.posexplode("reasons").alias("place", "r")).select("term", "place", "r.feature", "r.contribution")
 
 
-@query("with p as (select vec_id, 1 / (1 + exp(-list_sum(list_transform(embedding, lambda x, i: x::double * (i % 5 - 2) / 4.0)))) as p from embeddings) select vec_id, round(p, 4) as p, round(0.25 * 0.4 + 0.75 * p, 4) as blended from p")
+@query("with p as (select vec_id, 1 / (1 + exp(-list_sum(list_transform(embedding, lambda x, i: x::double * (i % 5 - 2) / 4.0)))) as p from embeddings) select vec_id, round(p, 4) as p, round(0.25 * 0.4 + 0.75 * p, 4) as blended, round(p - 0.5, 4) as moved from p")
 def m2_m3_name_score_and_blend(spark, d):
     coef = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 5 - 2) / F.lit(4.0))
     p = ranking.linear_probability(F.col("embedding"), coef, 0.0)
-    return T(spark, d, "embeddings").select("vec_id", F.round(p, 4).alias("p"), ranking.blended(F.lit(0.4), p).alias("blended"))
+    return T(spark, d, "embeddings").select("vec_id", F.round(p, 4).alias("p"), ranking.blended(F.lit(0.4), p).alias("blended"), ranking.blend_reason(p)["contribution"].alias("moved"))
 
 
 @query("with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v, ((vec_id % 89) / 100.0)::double as score from embeddings), z as (select v as z from e where vec_id = 0), c as (select vec_id, label, score, list_dot_product(v, z) as closeness from e, z), m as (select label, median(closeness) as mid from c group by label) select vec_id, round(greatest(0.0, least(1.0, score + 0.6 * (closeness - mid)))::double, 4) as adjusted from c join m using (label)")
@@ -492,7 +520,13 @@ def w1_first_by_key(spark, d):
 
 @query("select doc_id, source, cast(row_number() over (partition by source order by doc_id) as int) as turn from documents")
 def w2_w3_interleave(spark, d):
-    return ranking.interleaved(T(spark, d, "documents"), "source", ["doc_id"]).select("doc_id", "source", "turn")
+    return ranking.interleaved(T(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", "source", "turn")
+
+
+@query("with c as (select p_size as run, p_brand as batch, p_partkey as id, p_retailprice as score from part), t as (select *, row_number() over (partition by run, batch order by id) as turn, count(*) over (partition by run) as n from c), r as (select run, id, row_number() over (partition by run order by case when n > 40 then -score else 0 end, turn, batch, id) as place from t) select run, id, cast(place as int) as place from r where place <= 40")
+def w3_capped_round_robin(spark, d):
+    c = T(spark, d, "part").select(F.col("p_size").alias("run"), F.col("p_brand").alias("batch"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    return ranking.capped_round_robin(c, "run", "batch", "id", "score", 40).select("run", "id", "place")
 
 
 @query("with r as (select l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_suppkey order by l_shipdate desc, l_orderkey, l_linenumber) as rank from lineitem) select l_orderkey, l_linenumber, l_suppkey, cast(rank as int) as rank from r where rank <= 5")
@@ -526,10 +560,17 @@ def j2_trust_level(spark, d):
     return stores.with_trust(T(spark, d, "pages").select("page_id", "url", F.lit("news").alias("source_type")), spark.createDataFrame(TRUST, "pattern string, level string")).select("page_id", "trust")
 
 
-@query("select l_orderkey, cast(count(*) as bigint) as n, count(o_custkey) as owned from lineitem left join orders on l_orderkey = o_orderkey and o_totalprice > 150000 group by l_orderkey")
+@query("with c as (select p_partkey as candidate, [p_partkey, p_size, p_partkey + 100000000] as ids from part), e as (select candidate, unnest(ids) as doc_id, generate_subscripts(ids, 1) - 1 as pos from c) select candidate, cast(pos as int) as pos, doc_id, source from e join documents using (doc_id)")
 def j1_j4_own_documents(spark, d):
-    o = T(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return T(spark, d, "lineitem").select("l_orderkey").join(o, "l_orderkey", "left").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count("o_custkey").alias("owned"))
+    ids = F.array(*[x.cast("bigint") for x in (F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") + 100000000)])
+    c = T(spark, d, "part").select(F.col("p_partkey").alias("candidate"), ids.alias("document_ids"))
+    return evidence.own_documents(c, T(spark, d, "documents").select("doc_id", "source")).select("candidate", "pos", "doc_id", "source")
+
+
+@query("select count(*) as n, count(*) filter (where d.doc_id is null) as unmatched from labels l left join (select doc_id from documents where n_chars > 500) d on l.doc_id = d.doc_id")
+def j4_unmatched(spark, d):
+    long = T(spark, d, "documents").where("n_chars > 500").select("doc_id", F.lit("x").alias("term_en"))
+    return readers.match_counts(T(spark, d, "labels").join(long, "doc_id", "left"))
 
 
 @query(f"with {SCORED} select p_partkey, p_name as term, coalesce(score, 0.5) as score from part left join (select * from scored where total_pubs > 900) on p_name = term")
@@ -538,13 +579,15 @@ def j5_neutral_score(spark, d):
     return T(spark, d, "part").select("p_partkey", F.col("p_name").alias("term")).join(s, "term", "left").select("p_partkey", "term", F.coalesce("score", F.lit(0.5)).alias("score"))
 
 
-@query(f"with {SCORED}, r as (select *, row_number() over (order by score desc, term) as rk from scored) select term, case when total_pubs < 800 or total_pubs > 1050 then 'excluded' when rk <= 15 then 'top' else 'below' end as status, total_pubs is null or recent_share is null as unplaced from r")
+@query(f"with {SCORED}, e as (select s.*, (total_pubs % 7 <> 0) as done, total_pubs < 800 or total_pubs > 1050 as cut from scored s where term in (select p_name from part where p_size < 30)), r as (select term, row_number() over (order by score desc, term) as rk from e where done and not cut) select e.term, case when rk <= 15 then 'top' when cut then 'excluded' when done then 'below' else 'pending' end as status, total_pubs is null or recent_share is null as unplaced, w.n as news from e left join r on e.term = r.term left join (select term, cast(sum(n) as bigint) as n from news where year > 1998 group by term having sum(n) > 90) w on e.term = w.term")
 def j6_j7_signal_map(spark, d):
-    s = ranking.heuristic(table(spark, d), AS_OF)
-    top = ranking.ranked_slice(s, 1, 15, F.desc("score"), F.asc("term")).select("term", F.lit(True).alias("is_top"))
-    j = s.join(top, "term", "left")
-    cut = (F.col("total_pubs") < 800) | (F.col("total_pubs") > 1050)
-    return j.select("term", F.when(cut, "excluded").when(F.col("is_top"), "top").otherwise("below").alias("status"), (F.col("total_pubs").isNull() | F.col("recent_share").isNull()).alias("unplaced"))
+    candidates = T(spark, d, "part").where("p_size < 30").select(F.col("p_name").alias("term")).distinct()
+    recent = news(spark, d).where("year > 1998").groupBy("term").agg(F.sum("n").alias("news")).where("news > 90")
+    rows = evidence.evidence(ranking.heuristic(table(spark, d), AS_OF), candidates, recent)
+    excluded = rows.where("total_pubs < 800 or total_pubs > 1050")
+    done = rows.where("total_pubs % 7 <> 0")
+    cards = ranking.ranked_slice(done.where("not (total_pubs < 800 or total_pubs > 1050)"), 1, 15, F.desc("score"), F.asc("term"))
+    return evidence.signal_map(rows, cards, done, excluded).select("term", "status", "unplaced", "news")
 
 
 @query("select o_orderkey, 'kept' as part from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity >= 49) union all select o_orderkey, 'removed' from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
@@ -589,12 +632,12 @@ def j13_two_passes(spark, d):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("user")), F.col("next_role")).alias("area"))
 
 
-@query("select d.doc_id, coalesce(l.toxic, s.toxic) as label from documents d left join (select * from labels where quality = 1) l on d.doc_id = l.doc_id left join (select source, max(toxic) as toxic from documents join labels using (doc_id) group by source) s on d.source = s.source")
+@query(f"with {DOCS}, n as (select lower(title) as name, max(toxic) as label from d join labels using (doc_id) group by all) select d.doc_id, coalesce(l.toxic, n.label) as label from d left join (select * from labels where quality = 1) l on d.doc_id = l.doc_id left join n on lower(d.title) = n.name")
 def j14_labels_by_id_or_name(spark, d):
-    docs, labels = T(spark, d, "documents").select("doc_id", "source"), T(spark, d, "labels")
-    by_id = labels.where("quality = 1").select("doc_id", F.col("toxic").alias("by_id"))
-    by_name = docs.join(labels, "doc_id").groupBy("source").agg(F.max("toxic").alias("by_name"))
-    return docs.join(by_id, "doc_id", "left").join(by_name, "source", "left").select("doc_id", F.coalesce("by_id", "by_name").alias("label"))
+    rows, lab = titled(spark, d).select(F.col("doc_id").alias("id"), F.col("title").alias("name")), T(spark, d, "labels").withColumnRenamed("doc_id", "id")
+    by_name = rows.join(lab, "id").groupBy(F.lower("name").alias("name")).agg(F.max("toxic").alias("label"))
+    by_id = lab.where("quality = 1").select("id", F.col("toxic").alias("label"))
+    return evidence.labels_by_id_or_name(rows, by_id, by_name).select(F.col("id").alias("doc_id"), "label")
 
 
 @query("select l_orderkey, min(l_linenumber) as pos, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size < 20) group by l_orderkey, l_partkey")
@@ -620,6 +663,19 @@ def u1_u2_labelled_set(spark, d):
     return part(1, "p").unionByName(part(0, "n"))
 
 
+@query(f"with {DOCS}, j as (select title, lang, source, toxic from d join labels using (doc_id)) select title as name, 1 as label, source as kind from j where toxic = 1 union all select title, 0, lang from j where toxic = 0 and lang in ('en', 'fr') union all select p_name, 1, p_brand from part where p_brand = 'Brand#1' union all select {PTITLE}, 0, 'page' from pages where page_id % 3 <> 0")
+def u2_training_names(spark, d):
+    j = titled(spark, d).join(T(spark, d, "labels"), "doc_id")
+    made = lambda rows, name, label, kind: rows.select(name.alias("name"), F.lit(label).alias("label"), kind.alias("kind"))
+    title = F.when(F.col("page_id") % 3 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return evidence.training_names(
+        (made(j.where("toxic = 1"), F.col("title"), 1, F.col("source")), None),
+        (made(j.where("toxic = 0"), F.col("title"), 0, F.col("lang")), ["en", "fr"]),
+        (made(T(spark, d, "part"), F.col("p_name"), 1, F.col("p_brand")), ["Brand#1"]),
+        (made(T(spark, d, "pages"), title, 0, F.lit("page")), None),
+    )
+
+
 @query("select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts from events group by user_id")
 def s9_s11_upsert(spark, d):
     return stores.latest(T(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", F.struct("ts", "event_id")).select("user_id", "event_id", "ts")
@@ -642,9 +698,9 @@ def s14_term_statistics(spark, d):
     return stores.assembled(p, {"news": w}, "term").select("term", "pubs", "news", F.array_join("errors", ",").alias("errors"))
 
 
-@query("select doc_id from documents where n_chars >= 1000")
+@query("select o_orderkey from orders where o_orderdate >= date '1998-08-02' - 1095")
 def p2_recent_documents(spark, d):
-    return T(spark, d, "documents").where("n_chars >= 1000").select("doc_id")
+    return T(spark, d, "orders").where(X.within_years(F.col("o_orderdate"), F.lit("1998-08-02").cast("date"), 3)).select("o_orderkey")
 
 
 @query("select date_trunc('day', ts) as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by all")
@@ -681,12 +737,19 @@ def w12_name_variants(spark, d):
     return dedupe.without_variants(variant_names(spark, d))
 
 
-@query("with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings) select x.vec_id as a, y.vec_id as b, round(list_dot_product(x.v, y.v), 4) as cosine from e x join e y on x.label = y.label and x.vec_id <> y.vec_id where x.vec_id % 50 = 0 and round(list_dot_product(x.v, y.v), 4) >= 0.3")
+@query("with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings) select x.vec_id as a, y.vec_id as b, round(list_dot_product(x.v, y.v), 4) as cosine from e x join e y on x.vec_id <> y.vec_id where x.vec_id % 50 = 0 and round(list_dot_product(x.v, y.v), 4) >= 0.3")
 def j12_cosine_search(spark, d):
-    e = T(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    x, y = e.where("vec_id % 50 = 0").alias("x"), e.alias("y")  # the stated query set, against all rows
-    j = x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.vec_id") != F.col("y.vec_id")))
-    return j.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(ranking.dot(F.col("x.embedding"), F.col("y.embedding")), 4).alias("cosine")).where("cosine >= 0.3")
+    e = T(spark, d, "embeddings").select("vec_id", "embedding")
+    return ranking.cosine_search(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 0.3)  # the stated query set, against all rows
+
+
+@query()
+def w13_greedy_suppression(spark, d):
+    """Of each label's query vectors, in the order of their ids, those that no kept one of the label is near to."""
+    asked = T(spark, d, "embeddings").where("vec_id % 50 = 0")
+    near = ranking.cosine_search(asked, asked, "vec_id", "embedding", 0.3).where("a < b")
+    ranked = asked.select(F.col("label").cast("string").alias("run"), F.col("vec_id").alias("id"), F.col("vec_id").cast("int").alias("rank"))
+    return dedupe.greedy_suppressed(ranked, near)
 
 
 @query()
@@ -696,16 +759,17 @@ def p9_p11_proper_names(spark, d):
     return proper.proper_candidates(named, named.select("id", F.col("id").alias("doc_id")), docs).select("id", "name", "is_proper")
 
 
-@query("select page_id, url from pages where regexp_matches(url, '/(en|fr)/')")
+@query("select doc_id from documents where source in ('src2', 'src5')")
 def p19_source_kinds(spark, d):
-    return T(spark, d, "pages").where(F.col("url").rlike("/(en|fr)/")).select("page_id", "url")
+    kind = F.element_at(F.split(F.lit("news,paper,report,blog,preprint,gov,other"), ","), F.coalesce(F.regexp_extract("source", r"^src([0-6])$", 1).try_cast("int"), F.lit(6)) + 1)
+    return T(spark, d, "documents").withColumn("source_type", kind).where(F.col("source_type").isin(*L.ANALYTICAL_TYPES)).select("doc_id")
 
 
-@query(r"with q as (select distinct source, unnest(['all rights reserved', 'the mit license']) as phrase from documents) select q.source, q.phrase, count(*) as n from q join documents d on q.source = d.source and regexp_matches(lower(d.text), '(^|[^\p{L}\p{N}_-])' || q.phrase || '($|[^\p{L}\p{N}_-])') group by all")
+@query(rf"with {DOCS}, t as (select lang, title, row_number() over (partition by lang order by length(text) desc, doc_id) as rn from d), deny as (select distinct lang, unnest(['the', 'la', 'der', 'en', 'de', 'and']) as phrase from documents) select t.lang as query, title as name, phrase from t join deny using (lang) where rn <= 15 and regexp_matches(lower(title), '(^|[^\p{{L}}\p{{N}}_-])' || phrase || '($|[^\p{{L}}\p{{N}}_-])')")
 def p20_denied_mentions(spark, d):
-    docs = T(spark, d, "documents")
-    deny = docs.select("source").distinct().withColumn("phrase", F.explode(F.array(F.lit("all rights reserved"), F.lit("the mit license"))))
-    return docs.join(deny, "source").where(X.mentions(F.col("text"), F.col("phrase"))).groupBy("source", "phrase").agg(F.count("*").alias("n"))
+    top = ranking.top_k_each(titled(spark, d), "lang", 15, F.desc(F.length("text")), F.asc("doc_id")).select(F.col("lang").alias("query"), F.col("title").alias("name"))
+    deny = top.select("query").distinct().withColumn("phrase", F.explode(F.array(*[F.lit(w) for w in ("the", "la", "der", "en", "de", "and")])))
+    return mentions.denied_in_top(top, deny)
 
 
 @query(f"with {VARIANT}, k as (select id, run, list_distinct(list_transform(list_filter(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda x: length(x) > 2 and ({STEM.format(w='lower(x)')}) not in ({quoted(L.KEY_STOPS)})), lambda x: {STEM.format(w='lower(x)')})) as w from v) select b.id as item, count(*) as cards from k a join k b on a.id <> b.id and len(a.w) >= 2 and len(b.w) >= 2 and list_has_all(a.w, b.w) group by b.id")
@@ -713,6 +777,72 @@ def j15_cards_naming_a_technology(spark, d):
     return dedupe.containment_pairs(variant_names(spark, d)).groupBy(F.col("broad").alias("item")).agg(F.count("*").alias("cards"))
 
 
+@query(f"with {TERM_SQL}, h as (select lang, count(distinct term) as found from hits group by rollup (lang)), p as (select lang, count(distinct split_part(split_part(text, chr(10), 1), ' ', 1)) as phrases, count(*) as documents from documents group by rollup (lang)) select coalesce(p.lang, 'total') as domain, phrases, documents, coalesce(found, 0) as found, (select count(*) from tk where len(w) > 0) as items from p left join h on p.lang is not distinct from h.lang")
+def a23_ceiling(spark, d):
+    """How many of the items that were looked for the collected documents mention at all, by domain and in total."""
+    terms = benchmark_terms(spark, d)
+    t = titled(spark, d).select("doc_id", "lang", F.get(F.split("title", " "), F.lit(0)).alias("phrase"))
+    collected = t.rollup("lang").agg(F.count_distinct("phrase").alias("phrases"), F.count("doc_id").alias("documents"))
+    hits = mentions.term_mentions(T(spark, d, "documents"), terms).join(t.select("doc_id", "lang"), "doc_id").rollup("lang").agg(F.count_distinct("term").alias("found"))
+    items = terms.where(F.size(mentions.tokens(F.col("term"))) > 0).agg(F.count("*").alias("items"))
+    both = collected.join(hits.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(items))
+    return both.select(F.coalesce("lang", F.lit("total")).alias("domain"), "phrases", "documents", F.coalesce("found", F.lit(0)).alias("found"), "items")
+
+
+ITEM_SQL = r"bi as (select item_id as item, string_split(split_part(text, chr(10), 1), ' ') as w from benchmark), ph as (select item, array_to_string(w[1:3], ' ') as p, 'term' as matched_by from bi union all select item, array_to_string(w[4:5], ' '), 'company' from bi where item % 2 = 0), pk as (select item, matched_by, ' ' || array_to_string(regexp_extract_all(lower(p), '[\p{L}\p{N}_-]+'), ' ') || ' ' as k from ph), it as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'), ' ') || ' ' as t from documents)"
+
+
+@query(f"with {ITEM_SQL} select item, doc_id, min(matched_by) as matched_by from pk, it where k <> '  ' and contains(t, k) group by all")
+def j3_item_mentions(spark, d):
+    w = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
+    b = T(spark, d, "benchmark").select(F.col("item_id").alias("item"), w.alias("w"))
+    terms = b.select("item", F.array_join(F.slice("w", 1, 3), " ").alias("term"))
+    companies = b.where("item % 2 = 0").select("item", F.array_join(F.slice("w", 4, 2), " ").alias("name"))
+    return mentions.item_mentions(T(spark, d, "documents"), terms, companies)
+
+
+@query(f"with {FEATURES}, own as (select term as candidate, l_suppkey as source, case l_returnflag when 'R' then 'news' when 'A' then 'preprint' else 'blog' end as source_type, case when l_quantity > 40 then 'high' when l_quantity < 5 then 'low' end as trust, case when l_quantity = 50 then true when l_quantity > 25 then false end as flag from items where l_shipdate < date '1993-01-01'), o as (select candidate, count(distinct source) as distinct_sources, nullif(count(trust), 0) as docs_rated, case when count(trust) > 0 then count(*) filter (where trust in ('high', 'medium')) end as docs_trusted, count(*) filter (where source_type = 'news') as own_news, count(*) filter (where source_type in ('paper', 'preprint', 'patent')) as own_science, bool_or(flag) as is_flagged from own group by candidate) select c.term, total_pubs, distinct_sources, docs_rated, docs_trusted, is_flagged, round(case when news_total is not null and total_pubs > 0 then news_total / total_pubs else own_news / nullif(own_science, 0) end, 4) as news_to_science_ratio from (select distinct p_name as term from part) c left join (select * from f where total_pubs % 3 <> 0) f on c.term = f.term left join o on c.term = candidate")
+def a15_candidate_table(spark, d):
+    """Candidates, a third of them without term statistics: their ratio is that of their own documents."""
+    i = items(spark, d).where("l_shipdate < date '1993-01-01'")
+    kind = F.when(F.col("l_returnflag") == "R", "news").when(F.col("l_returnflag") == "A", "preprint").otherwise("blog")
+    q = F.col("l_quantity")
+    links = i.select(F.col("term").alias("candidate"), F.col("l_suppkey").alias("source"), kind.alias("source_type"), F.when(q > 40, "high").when(q < 5, "low").alias("trust"))
+    flags = i.select(F.col("term").alias("candidate"), F.when(q == 50, True).when(q > 25, False).alias("flag"))
+    candidates = T(spark, d, "part").select(F.col("p_name").alias("term")).distinct().withColumn("candidate", F.col("term"))
+    out = features.candidate_features(candidates, table(spark, d).where("total_pubs % 3 <> 0"), links, flags)
+    return out.select("term", "total_pubs", "distinct_sources", "docs_rated", "docs_trusted", "is_flagged", "news_to_science_ratio")
+
+
+@query(f"with {PUBS}, r as (select term, year, n, row_number() over (partition by term order by n desc, year) as rn from pubs) select term, year as peak_year, n as peak from r where rn = 1")
+def a33_peak_year(spark, d):
+    return features.peak_year(pubs(spark, d))
+
+
+@query("with r as (select user_id, max(ts) as started, count(*) filter (where value > 75) as confident from events group by user_id) select * from r order by started desc, user_id limit 50")
+def a32_newest_runs(spark, d):
+    """The newest runs, where the later version of a run's row wins, whichever store it comes from."""
+    e = T(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    stored, memory = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")
+    sums = lambda rows: rows.groupBy("user_id").agg(F.max("ts").alias("started"))
+    last = stores.upserted(sums(stored), sums(memory), "user_id", "started")
+    confident = e.groupBy("user_id").agg(F.count_if(F.col("value") > 75).alias("confident"))
+    return ranking.ranked_slice(last.join(confident, "user_id"), 1, 50, F.desc("started"), F.asc("user_id")).drop("rank")
+
+
+@query()
+def m9_area_by_domain(spark, d):
+    """ROC area and average precision of the left-out domains, each and pooled."""
+    scored = ml.leave_one_out(ml.name_rows(spark, d), ml.name_model(), "domain").withColumn("domain", F.col("domain").cast("string"))
+    return ranking.curve_areas(scored, "domain").unionByName(ranking.curve_areas(scored).withColumn("domain", F.lit("pooled")))
+
+
+@query()
+def m11_importance(spark, d):
+    """Mean absolute contribution of each feature."""
+    return ml.contributions(ml.document_rows(spark, d)).groupBy("feature").agg(F.round(F.avg(F.abs("contribution")), 6).alias("importance"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

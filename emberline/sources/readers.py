@@ -53,6 +53,11 @@ def unmatched(rows: DataFrame, term: str = "term_en") -> int:
     return rows.where(F.col(term).isNull()).count()
 
 
+def match_counts(rows: DataFrame, term: str = "term_en") -> DataFrame:
+    """(n, unmatched): how many rows there are, and how many have no term."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(term).isNull()).alias("unmatched"))
+
+
 def labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,18 @@ from emberline.functions import wordlists as L
 from emberline.functions.text import host
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that executors share (spark.checkpoint.dir) and read from there: lineage is cut, and what
+    depends on sampled ranges stays as it was computed. A local session without that setting gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="emberline-"))
+    return df.checkpoint()
+
+
 def latest(rows: DataFrame, key: str, version: Column) -> DataFrame:
     """The row of the greatest version of each key: one aggregation, whose partial maxima keep a hot key small."""
     names = rows.columns
@@ -43,7 +57,7 @@ def with_trust(docs: DataFrame, domains: DataFrame) -> DataFrame:
     """
     rank = F.create_map(*[F.lit(x) for p in (("high", 1), ("medium", 2), ("low", 3)) for x in p])
     dims = F.broadcast(domains.select(F.regexp_replace("pattern", r"^\.", "").alias("suffix"), rank[F.col("level")].alias("r")).groupBy("suffix").agg(F.min("r").alias("r")))
-    h = docs.select(F.xxhash64("url").alias("_u"), "url").distinct().select("url", F.split(host(F.col("url")), r"\.").alias("p")).where("p is not null")
+    h = docs.select("url").distinct().select("url", F.split(host(F.col("url")), r"\.").alias("p")).where("p is not null")
     suffixes = h.select("url", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "."))).alias("suffix"))
     by_host = suffixes.join(dims, "suffix").groupBy("url").agg(F.min("r").alias("r"))
     by_type = F.create_map(*[F.lit(x) for p in L.TRUST_BY_TYPE.items() for x in p])[F.col("source_type")]

@@ -4,17 +4,17 @@ from emberline.operators import names
 
 
 def test_proper_names(spark):
-    t = "Startup Mistral AI raised money. It met Sumo Logic's team and HarvestIQ. Quantum of IBM Quantum fame"
+    t = "Startup Boreal Kelp raised money. It met Tidal Loom's team and RailIQ. Probe of IBM Probe fame"
     got = spark.createDataFrame([(t,)], "t string").select(names.proper_names(F.col("t")).alias("n")).first().n
-    assert [(r.key, r.words) for r in got] == [("mistralai", 2), ("sumologic", 2), ("harvestiq", 1)]
+    assert [(r.key, r.words) for r in got] == [("borealkelp", 2), ("tidalloom", 2), ("railiq", 1)]
 
 
 def test_candidates(spark):
     docs = spark.createDataFrame([
-        (1, "a note", "We saw Baya Systems launch a chip. Then Mistral AI came, and Mistral AI won."),
-        (2, "a note", "The new Embodied AI is embodied ai. The LLM is here. Many use Crusoo for work."),
+        (1, "a note", "We saw Tidal Looms launch a chip. Then Boreal AI came, and Boreal AI won."),
+        (2, "a note", "The new Floating AI is floating ai. The LLM is here. Many use Nordwint for work."),
     ], "doc_id int, title string, text string")
-    c = spark.createDataFrame([(1, "bayasystems"), (2, "mistral ai model"), (3, "embodied ai"), (4, "LLM"), (5, "crusoe"), (6, "chip")], "id int, name string")
+    c = spark.createDataFrame([(1, "tidallooms"), (2, "boreal ai model"), (3, "floating ai"), (4, "LLM"), (5, "nordwind"), (6, "chip")], "id int, name string")
     links = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 1)], "id int, doc_id int")
     got = {r.id: r.is_proper for r in names.proper_candidates(c, links, docs).collect()}
     assert got == {1: True, 2: True, 3: False, 4: False, 5: True, 6: False}

@@ -45,3 +45,18 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "t" / "v=0")).count() == 3
+
+
+def test_sheets_labels_and_evidence(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('id,name,domain,stage,moving,sources\n1,Kelp,sea,"прототип → серийн",x,"[a](https://a.b/c)"\n,none,sea,poc,,\n2,Peat,land,исследован,,\n')
+    terms = spark.createDataFrame([(1, "kelp farm")], "id int, term_en string")
+    s = {r.id: r for r in readers.signals(spark, str(tmp_path / "s.csv"), terms).collect()}
+    assert set(s) == {1, 2} and (s[1].stage, s[1].moving, s[1].source_urls, s[1].term_en) == ("prototype", True, ["https://a.b/c"], "kelp farm")
+    assert readers.unmatched(readers.signals(spark, str(tmp_path / "s.csv"), terms)) == 1
+    (tmp_path / "l.csv").write_text("name,label\nkelp,1\npeat,0\n")
+    assert [tuple(r) for r in readers.labels(spark, str(tmp_path / "l.csv"), "name string, label int").collect()] == [("kelp", 1), ("peat", 0)]
+    (tmp_path / "d.json").write_text('{"pattern": "a.b", "level": "high"}\n')
+    assert readers.dimension(spark, str(tmp_path / "d.json"), "pattern string, level string").first().level == "high"
+    rows = spark.createDataFrame([("r1", "kelp"), ("r2", "peat")], "run_id string, term string")
+    readers.write_evidence(rows, str(tmp_path / "e"))
+    assert [r.term for r in readers.read_evidence(spark, str(tmp_path / "e"), "r2").collect()] == ["peat"]
