@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from emberline.llm.common import text_of
+from emberline.llm.common import text_of, written
 
 #: Words of a window; a document is contaminated if HITS_PER of its words, at least one in so many, are hit.
 WINDOW, HITS_PER = 13, 20
-#: Most characters of benchmark text in one automaton. A larger benchmark is searched for in as many passes as it needs.
-BLOCK_CHARS = 8_000_000
+#: Most characters of benchmark text in one automaton, which takes some 620 bytes a character (measured: 260 MB for 420,000), so
+#: about 310 MB in each Python worker. A larger benchmark is searched for in as many passes as it needs, one automaton each.
+BLOCK_CHARS = 500_000
 
 # A-Z become a-z; the other ASCII characters but 0-9 and a-z part words; bytes of other characters stay.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -27,7 +29,18 @@ def words_in(text: str) -> list[str]:
     return [w for w in text.encode().translate(_TABLE).decode().split(" ") if w]
 
 
-@lru_cache(maxsize=4)
+#: The automaton at hand in a worker, by its block's name and window: one at a time.
+_held: dict[tuple[str, int], tuple] = {}
+
+
+def held(block: str, items: tuple[tuple[str, str], ...], window: int) -> tuple:
+    """automaton(items, window), built once a worker; the one before is of no more use and goes first."""
+    if (block, window) not in _held:
+        _held.clear()
+        _held[block, window] = automaton(items, window)
+    return _held[block, window]
+
+
 def automaton(items: tuple[tuple[str, str], ...], window: int) -> tuple[ahocorasick.Automaton | None, list[list[str]]]:
     """One automaton over the windows of all items; a window's value is (words, number in the list of the items that have it)."""
     owners: dict[str, set[str]] = {}
@@ -46,10 +59,9 @@ def automaton(items: tuple[tuple[str, str], ...], window: int) -> tuple[ahocoras
     return a, lists
 
 
-def scanned(text: str, items: tuple[tuple[str, str], ...], window: int) -> tuple[int, list[tuple[int, int, int]], list[str]]:
+def scanned(text: str, machine: ahocorasick.Automaton | None, lists: list[list[str]]) -> tuple[int, list[tuple[int, int, int]], list[str]]:
     """(words, [(start, end, words)] of merged hits as character offsets of the original text, sorted items)."""
     w = words_in(text)
-    machine, lists = automaton(items, window)
     if not w or machine is None:
         return len(w), [], []
     joined = " " + " ".join(w) + " "
@@ -72,23 +84,26 @@ def scanned(text: str, items: tuple[tuple[str, str], ...], window: int) -> tuple
     return len(w), spans, sorted({x for _, v in found for x in lists[v[1]]})
 
 
-def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tuple[tuple[str, str], ...]]:
-    """The benchmark's items in blocks of at most `block_chars` characters (or one longer item), read as a stream."""
-    blocks, block, size = [], [], 0
+def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[tuple[str, str], ...]]:
+    """The benchmark's items in blocks of at most `block_chars` characters (or one longer item), read as a stream: the driver
+    holds one block at a time. One empty block if there are no items."""
+    block, size, some = [], 0, False
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), text_of().alias("t")).where("t <> ''").orderBy("i", "t")
     for r in rows.toLocalIterator():
         if block and size + len(r.t) > block_chars:
-            blocks.append(tuple(block))
-            block, size = [], 0
+            yield tuple(block)
+            block, size, some = [], 0, True
         block.append((r.i or "", r.t))
         size += len(r.t)
-    return [*blocks, tuple(block)] if block else blocks
+    if block or not some:
+        yield tuple(block)
 
 
 def _scan(shared, window: int):
     @arrow_udf(RESULT)
     def scan(texts: pa.Array) -> pa.Array:
-        rows = [scanned(t or "", shared.value, window) for t in texts.to_pylist()]
+        machine, lists = held(*shared.value, window)
+        rows = [scanned(t or "", machine, lists) for t in texts.to_pylist()]
         return pa.array(
             [{"n_words": n, "hits": [{"start": a, "end": b, "n": c} for a, b, c in spans], "items": found} for n, spans, found in rows],
             pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n", pa.int32())]))), ("items", pa.list_(pa.string()))]),
@@ -103,15 +118,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased. A window is `window` consecutive words of an
     item, or all words of a shorter item; an item without words has none. Null and empty texts have no words and no hits; a
-    null item id counts as the empty id. Rows, repeated ones too, are judged one by one, without a shuffle, and other
-    columns are carried along. The automaton is broadcast with the task: its size is bounded by `block_chars`; items
-    beyond that go to further automata, each a pass over the texts of its own, and the results are united row by row.
+    null item id counts as the empty id. Rows, repeated ones too, are judged one by one, without a shuffle. Other columns are
+    carried along; one that is named n_words, hits or items gives way to the new one. An empty table stays empty. A block of
+    items is broadcast with the task: its size is bounded by `block_chars`; items beyond that go to further automata, each a
+    pass over the texts of its own that is written down, and the results are united row by row.
     """
-    out = docs
-    names = []
-    for k, block in enumerate(blocks_of(benchmark, block_chars) or [()]):
+    out = docs.drop("n_words", "hits", "items")
+    docs = out
+    names: list[str] = []
+    for k, block in enumerate(blocks_of(benchmark, block_chars)):
+        if names:
+            out = written(out)  # one automaton at a time in a worker
         names.append(f"_scan{k}")
-        out = out.withColumn(names[-1], _scan(docs.sparkSession.sparkContext.broadcast(block), window)(F.col("text")))
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))
+        out = out.withColumn(names[-1], _scan(shared, window)(F.col("text")))
     if len(names) > 1:
         hits = F.array_sort(F.flatten(F.array(*[F.col(f"{n}.hits") for n in names])))
         items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
@@ -146,6 +166,7 @@ def judged(scanned_docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
+    """docs without the contaminated ones, all columns whatever their names. Null and empty texts stay; repeated rows are judged
+    alike; an empty table or an empty benchmark changes nothing."""
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
     return judged(contamination(rows, benchmark)).where(~F.col("contaminated")).select("_row.*")

@@ -180,7 +180,9 @@ class Scorer:
     classifier: LogisticRegressionModel | None
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """docs with score (0 to 1) and predicted (1 if score >= 0.5). Only the text enters a score; null counts as empty."""
+        """docs with score (0 to 1) and predicted (1 if score >= 0.5). Only the text enters a score; null counts as empty. Other
+        columns are carried along; one that is named score or predicted gives way to the new one."""
+        docs = docs.drop("score", "predicted")
         rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), features_of(text_of()).alias("_f"))
         if self.classifier is None:
             scored = rows.withColumn("_score", F.lit(float(self.label_model.prior)))

@@ -144,6 +144,35 @@ def test_licences(spark):
     assert licenses.scanned(spark.createDataFrame([], "path string, id long, text string")).count() == 0
 
 
+def test_whole_licence_files_against_brute_force(spark):
+    """Cosines of whole texts with the full licences, computed word by word; a licence under any name counts for its directory."""
+    import math
+    import re
+
+    mit = licenses.FULL_TEXTS["MIT"].replace("(c)", "(c) 2024 Some One")
+    rows = [("a/terms.txt", 1, mit), ("a/b/code.c", 2, "int main"), ("c/x", 3, licenses.FULL_TEXTS["BSD-3-Clause"] + " extra words here"), ("c/y", 4, "prose " * 200 + "Copyright mine"), ("c/y", 4, "other text, same name"), (None, 5, None)]
+    files = spark.createDataFrame(rows, "path string, id long, text string")
+    got = {(r.id, r.license, r.origin) for r in licenses.scanned(files).collect()}
+    assert {(1, "MIT", "own"), (2, "MIT", "inherited"), (3, "BSD-3-Clause", "own"), (4, "BSD-3-Clause", "inherited"), (5, None, "none")} <= got and len(got) == 5
+    ws = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    idf = lambda w: math.log((len(rows) + 1) / (sum(w in ws(x) for *_, x in rows) + 1)) + 1
+    vector = lambda x: {w: ws(x).count(w) * idf(w) for w in set(ws(x))}
+    cosine = lambda u, v: sum(x * v.get(w, 0) for w, x in u.items()) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+    spoken = files.select("path", "id", licenses.text_hash().alias("h"), "text").where(F.col("text").rlike(licenses.TRIGGER))
+    for r in licenses.whole_matches(spoken, files, licenses.weights(files)[0]).collect():
+        text = next(x for p, i, x in rows if i == r.id and re.search(licenses.TRIGGER, x or ""))
+        assert abs(r.score - max(cosine(vector(text), vector(full)) for full in licenses.FULL_TEXTS.values())) < 1e-5
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 0.5, 1)], "doc_id long, text string, n_words int, score double, hits int")
+    bench = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    r = decontam.judged(decontam.contamination(docs, bench)).first()
+    assert (r.n_words, r.n_hit, r.score) == (3, 1, 0.5) and len(r.hits) == 1
+    scored = toxicity.Scorer.score(toxicity.fit(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int")), docs)
+    assert sorted(scored.columns) == ["doc_id", "hits", "n_words", "predicted", "score", "text"]
+
+
 def test_licence_query_against_lines(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     plain = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
