@@ -75,20 +75,20 @@ def test_links_in_large_buckets(spark):
     assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(150))
 
 
-def test_alignment_against_brute_force():
-    """The bounds, the trimming and both alignments agree with the edit distance on random texts."""
+def test_alignment_against_brute_force(monkeypatch):
+    """The bounds, the trimming and all three alignments agree with the edit distance on random texts."""
     import numpy as np
 
     r = random.Random(15)
-    for few in (64, 2):
-        omh.FEW_EDITS, old = few, omh.FEW_EDITS
-        for _ in range(400):
+    for short, bits, few in ((100, 20_000, 64), (0, 20_000, 64), (0, 0, 64), (0, 0, 2)):
+        for name, value in (("SHORT_ALIGNED", short), ("BIT_WORDS", bits), ("FEW_EDITS", few)):
+            monkeypatch.setattr(omh, name, value)
+        for _ in range(300):
             a = [r.randrange(r.choice((3, 50, 10**6))) for _ in range(r.randint(1, 40))]
             b = [w for w in a for w in r.choice(([w],) * 12 + ([], [w, r.randrange(50)], [r.randrange(50)]))]
             d = edit_distance(a, b)
             for band in {0, 1, max(0, d - 1), d, d + 1, 12}:
                 assert omh.within(np.array(a, np.uint64), np.array(b, np.uint64), band) == (d <= band)
-        omh.FEW_EDITS = old
 
 
 def test_texts_of_one_word(spark):
