@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +31,28 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, and lost executors cost nothing.
 
-    The shuffle files behind df are of no more use then. Spark deletes them once the driver's collector has found their plan
-    unreferenced, which it is asked to do here, lest they fill the disks until it runs by itself."""
+    The shuffle files behind df are of no more use then, and Spark is told to delete them when the write has ended."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffle_files_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
-    spark._jvm.java.lang.System.gc()
     return out
 
 
+@contextmanager
+def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files at its end, instead of when the driver's collector comes by."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def unlink(df: DataFrame) -> None:
     """Delete what written() wrote for df, through the store's own file system."""
     path = getattr(df, "written_path", None)

@@ -17,6 +17,7 @@ bounded size, so that memory is.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from emberline.llm.common import text_of, written
+from emberline.llm.common import scratch, text_of, written
 
 #: Tokens of a chunk (and the rest of its last text), tokens a part of a table, tokens of a context that several parts share.
 CHUNK, PART, SPLIT = 1 << 21, 3_000_000, 1_000_000
@@ -102,9 +103,12 @@ def _chunks(id_type: pa.DataType):
         own.default_factory = own.__len__
 
         def row() -> pa.RecordBatch:
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
-            values = [(part << 32) + made, ids, train, lens, pack(np.concatenate(toks)), pack(words), held, sum(train)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema)
+            words, every = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), np.concatenate(toks)
+            often = np.argsort(-np.bincount(every), kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(own), np.int64)
+            rank[often] = np.arange(len(own))
+            values = [(part << 32) + made, ids, train, lens, pack(rank[every]), pack(words[often]), held, sum(train)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
         for b in batches:
             for key, text, t in zip(*b.columns):
@@ -130,9 +134,7 @@ def _chunks(id_type: pa.DataType):
 class _Chunk:
     """A chunk and, order by order, the probabilities of its n-grams."""
 
-    def __init__(self, table: pa.Table, parts: int, levels: list[dict], n_docs: int):
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["level"] == 0)
+    def __init__(self, head: dict, answers: pa.Table | None, parts: int, levels: list[dict], n_docs: int):
         self.chunk, self.parts, self.levels, self.n_docs = head["chunk"], parts, levels, n_docs
         self.ids, self.doc_train, self.lens = head["ids"], np.array(head["train"], bool), np.array(head["lens"])
         self.toks, self.words = unpack(head["toks"]), unpack(head["words"]).view(np.uint64)
@@ -140,10 +142,10 @@ class _Chunk:
         self.first = np.r_[0, np.cumsum(self.lens)[:-1]]
         self.answers = defaultdict(dict)
         self.shared = defaultdict(dict)
-        for r in rows:
-            if r["level"] and r["part"] >= 0:
+        for r in answers.to_pylist() if answers else ():
+            if r["part"] >= 0:
                 self.answers[r["level"]][r["part"]] = r
-            elif r["level"]:
+            else:
                 self.shared[r["level"]][r["ctx"]] = (np.array(r["n"]), r["low"])
         self.ask_words()
         for k, level in enumerate(levels):
@@ -290,15 +292,31 @@ def _merge(parts: int, n: int, below: dict | None):
 
 
 def _asked(n: int, parts: int, known: list[dict], n_docs: int):
-    """A chunk's requests of order n, from its answers of the orders below."""
+    """A chunk's requests of order n: of all chunks of a batch for order 1, else from a chunk's answers of the orders below."""
 
-    def asked(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, parts, known, n_docs)
-        if n > 1:
-            c.ask(n)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from _Chunk(b.slice(i, 1).to_pylist()[0], None, parts, known, n_docs).requests(1).to_batches()
+
+    def asked(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        c = _Chunk(chunk.to_pylist()[0], answers, parts, known, n_docs)
+        c.ask(n)
         return c.requests(n)
 
-    return asked
+    return first if n == 1 else asked
+
+
+def _bucketed(chunks: DataFrame) -> DataFrame:
+    """Chunks written in buckets by their number, so that only answers are shuffled to them, not their tokens with each order.
+    The table's name is given up at once; its files are read by their plan."""
+    spark, name = chunks.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.option("path", f"{scratch(spark)}/{name}").option("compression", "none").bucketBy(n, "chunk").saveAsTable(name)
+    out = spark.table(name)
+    out.schema
+    spark.sql(f"drop table {name}")
+    return out
 
 
 def fit_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> Model:
@@ -312,22 +330,15 @@ def fit_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     ddl = id_type.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(train_col).cast("boolean"), F.lit(False)).alias("train"))
-    chunks = written(rows.mapInArrow(_chunks(to_arrow_type(id_type)), f"chunk bigint, ids array<{ddl}>, train array<boolean>, lens array<bigint>, toks binary, words binary, n_tokens bigint, n_train bigint"))
+    chunks = _bucketed(rows.mapInArrow(_chunks(to_arrow_type(id_type)), f"chunk bigint, ids array<{ddl}>, train array<boolean>, lens array<bigint>, toks binary, words binary, n_tokens bigint, n_train bigint"))
     size = chunks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     parts, n_docs = 1 + (size[0] or 0) // PART, size[1] or 0
-    heads = chunks.select("chunk", F.lit(0).alias("level"), "ids", "train", "lens", "toks", "words")
-    answers, tables, levels = [], [], []
-
-    def of_chunks() -> DataFrame:
-        every = heads
-        for a in answers:
-            every = every.unionByName(a, allowMissingColumns=True)
-        return every.groupBy("chunk")
-
+    heads = chunks.select("chunk", "ids", "train", "lens", "toks", "words")
+    answers, tables, levels = None, [], []
     for n in range(1, order + 1):
         asked = _asked(n, parts, list(levels), n_docs)
-        source = of_chunks() if n > 1 else heads.withColumns({c: F.lit(None).cast(t) for c, t in (("part", "int"), ("ctx", "bigint"))}).groupBy("chunk")
-        met = written(source.applyInArrow(asked, _ROUND).groupBy("part").applyInArrow(_merge(parts, n, levels[-1] if levels else None), _ROUND))
+        requests = heads.mapInArrow(asked, _ROUND) if n == 1 else heads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asked, _ROUND)
+        met = written(requests.groupBy("part").applyInArrow(_merge(parts, n, levels[-1] if levels else None), _ROUND))
         sums = met.where(F.col("part") == COUNTS).select([F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(K + 3)]).first()
         levels.append({"n": [int(x) for x in sums[: K + 1]], "tokens": int(sums[K + 1]), "words": int(sums[K + 2]), "d": discounts([int(x) for x in sums[: K + 1]])})
         answer = met.where(F.col("part") >= 0)
@@ -335,13 +346,14 @@ def fit_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
             added = met.where(F.col("part") == SUMS).groupBy("ctx").agg(F.array(*[F.sum(F.col("n")[i]) for i in range(K + 1)]).alias("n"), F.sum("low").alias("low"))
             needed = met.where(F.col("part") == NEEDS).select("chunk", "level", "part", "ctx").distinct().join(added, "ctx")
             answer = answer.unionByName(needed, allowMissingColumns=True)
-        answers.append(answer.select("chunk", "level", "part", "k1", "k2", "cnt", "lc", "ctx", "n", "low"))
+        answer = answer.select("chunk", "level", "part", "k1", "k2", "cnt", "lc", "ctx", "n", "low")
+        answers = answer if answers is None else answers.union(answer)
         tables.append(met.where(F.col("part") == TABLE).select(F.col("ctx").cast("int").alias("part"), "k1", "k2", "cnt"))
 
-    def scored(table: pa.Table) -> pa.Table:
-        return _Chunk(table, parts, levels, n_docs).scores(levels)
+    def scored(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        return _Chunk(chunk.to_pylist()[0], answers, parts, levels, n_docs).scores(levels)
 
-    found = of_chunks().applyInArrow(scored, f"id {ddl}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    found = heads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, f"id {ddl}, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     scores = found.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(levels[0]["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
     return Model(scores, tables, levels)
 
