@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from emberline.llm.common import scratch, text_of, written
+from emberline.llm.common import scratch, text_of, unlink, written
 
 #: Tokens of a chunk (and the rest of its last text), tokens a part of a table, tokens of a context that several parts share.
 CHUNK, PART, SPLIT = 1 << 21, 3_000_000, 1_000_000
@@ -94,7 +94,7 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 
 def _chunks(id_type: pa.DataType):
-    schema = pa.schema([("chunk", _LONG), ("ids", pa.list_(id_type)), ("train", pa.list_(pa.bool_())), ("lens", pa.list_(_LONG)), ("toks", _BIN), ("words", _BIN), ("n_tokens", _LONG), ("n_train", _LONG)])
+    schema = pa.schema([("chunk", _LONG), ("ids", pa.list_(id_type)), ("train", pa.list_(pa.bool_())), ("lens", pa.list_(_LONG)), ("toks", _BIN), ("by_hash", _BIN), ("hashes", _BIN), ("cnt", _BIN), ("n_tokens", _LONG), ("n_train", _LONG)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -102,13 +102,18 @@ def _chunks(id_type: pa.DataType):
         own: defaultdict = defaultdict()
         own.default_factory = own.__len__
 
-        def row() -> pa.RecordBatch:
+        def rows() -> pa.RecordBatch:
+            """The chunk, and its words by hash with their counts in training texts."""
             words, every = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own)), np.concatenate(toks)
             often = np.argsort(-np.bincount(every), kind="stable")  # frequent words get small numbers, which pack well
             rank = np.empty(len(own), np.int64)
             rank[often] = np.arange(len(own))
-            values = [(part << 32) + made, ids, train, lens, pack(rank[every]), pack(words[often]), held, sum(train)]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
+            words, toks_now = words[often], rank[every]
+            by_hash = np.argsort(words)
+            count = np.bincount(toks_now[np.repeat(train, lens)], minlength=len(own))
+            one = [(part << 32) + made, ids, train, lens, pack(toks_now), pack(by_hash), None, None, held, sum(train)]
+            two = [(part << 32) + made, None, None, None, None, None, pack(words[by_hash], True), pack(count[by_hash]), None, None]
+            return pa.RecordBatch.from_arrays([pa.array([v, w], f.type) for v, w, f in zip(one, two, schema)], schema=schema)
 
         for b in batches:
             for key, text, t in zip(*b.columns):
@@ -120,13 +125,13 @@ def _chunks(id_type: pa.DataType):
                 lens.append(len(w))
                 held += len(w)
                 if held >= CHUNK:
-                    yield row()
+                    yield rows()
                     made += 1
                     ids, train, lens, toks, held = [], [], [], [], 0
                     own = defaultdict()
                     own.default_factory = own.__len__
         if ids:
-            yield row()
+            yield rows()
 
     return cut
 
@@ -137,38 +142,33 @@ class _Chunk:
     def __init__(self, head: dict, answers: pa.Table | None, parts: int, levels: list[dict], n_docs: int):
         self.chunk, self.parts, self.levels, self.n_docs = head["chunk"], parts, levels, n_docs
         self.ids, self.doc_train, self.lens = head["ids"], np.array(head["train"], bool), np.array(head["lens"])
-        self.toks, self.words = unpack(head["toks"]), unpack(head["words"]).view(np.uint64)
+        self.toks, self.by_hash = unpack(head["toks"]), unpack(head["by_hash"])
         self.train = np.repeat(self.doc_train, self.lens)
         self.first = np.r_[0, np.cumsum(self.lens)[:-1]]
         self.answers = defaultdict(dict)
         self.shared = defaultdict(dict)
         for r in answers.to_pylist() if answers else ():
             if r["part"] >= 0:
-                self.answers[r["level"]][r["part"]] = r
+                self.answers[r["level"]][r["part"]] = r | {"size": r["n"][0] if r["level"] == 1 else None}
             else:
                 self.shared[r["level"]][r["ctx"]] = (np.array(r["n"]), r["low"])
-        self.ask_words()
+        self.loc, self.count = self.toks, self.by_hash
         for k, level in enumerate(levels):
             if k:
                 self.ask(k + 1)
             self.take(k + 1, level)
 
-    def ask_words(self) -> None:
-        """Requests of order 1: the chunk's words, by their hash."""
-        self.loc, size = self.toks, len(self.words)
-        self.count = np.bincount(self.toks[self.train], minlength=size)
-        self.part = (self.words % np.uint64(self.parts)).astype(np.int64)
-        self.wanted = np.lexsort((self.words, self.part))
-        self.k1, self.k2 = self.words.view(np.int64), None
-        self.split = np.zeros(size, bool)
-
     def ask(self, n: int) -> None:
         """Requests of order n: distinct (context, word), the context a number of the order below, 0 before a text's start."""
-        size, words = len(self.gid), len(self.words)
+        size, words = len(self.gid), len(self.by_hash)
         ctx = np.r_[size, self.loc[:-1]]
         ctx[self.first] = size
-        keys, rep, loc = np.unique(ctx * words + self.toks, return_index=True, return_inverse=True)
-        lower = self.loc[rep]
+        every = ctx * words + self.toks
+        order = np.argsort(every)
+        every = every[order]
+        new = np.r_[True, every[1:] != every[:-1]]
+        keys, lower, loc = every[new], self.loc[order[new]], np.empty(len(order), np.int64)
+        loc[order] = np.cumsum(new) - 1
         self.low, self.lc = self.p[lower], self.c[lower]
         self.lcc = self.total[lower] if n > 2 else None
         above, word = keys // words, keys % words
@@ -181,19 +181,27 @@ class _Chunk:
         order = np.lexsort((self.k2, self.k1, self.part))
         self.wanted = order[self.total[order] > 0]
 
-    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
+    def slices(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The parts that order n was asked of, and which n-grams of each, in the order of the request."""
+        if n == 1:  # ranges of hashes
+            at = 0
+            for p in sorted(self.answers[1]):
+                size = self.answers[1][p]["size"]
+                yield p, self.by_hash[at : at + size]
+                at += size
+            return
         part = self.part[self.wanted]
         for p, at in zip(*np.unique(part, return_index=True)):
             yield int(p), self.wanted[at : np.searchsorted(part, p, "right")]
 
     def requests(self, n: int) -> pa.Table:
         out = []
-        for p, i in self.slices():
-            row = {"chunk": self.chunk, "level": n, "part": p, "k1": pack(self.k1[i], True), "cnt": pack(self.count[i])}
-            if n > 1:
-                row |= {"k2": pack(self.k2[i]), "lc": pack(self.lc[i]), "n": np.unique(self.k1[i][self.split[i]]).tolist()}
+        for p, i in self.slices(n):
+            count, k1 = self.count[i], self.k1[i]
+            row = {"chunk": self.chunk, "level": n, "part": p, "k1": pack(k1, True), "k2": pack(self.k2[i]), "cnt": pack(count), "n": np.unique(k1[self.split[i]]).tolist()}
+            row |= {"lc": pack(self.lc[i] * (count > 0))}
             if n > 2:
-                row |= {"lcc": pack(self.lcc[i])}
+                row |= {"lcc": pack(self.lcc[i] * (count > 0))}
             out.append(row)
         return pa.Table.from_pylist(out, _ARROW)
 
@@ -202,10 +210,11 @@ class _Chunk:
         size, d = len(self.count), level["d"]
         gid, c = np.zeros(size, np.int64), np.zeros(size, np.int64)
         lost, low_sum = np.zeros(size), np.zeros(size)
-        for p, i in self.slices():
+        for p, i in self.slices(n):
             a = self.answers[n][p]
             c[i] = unpack(a["cnt"])
-            gid[i] = 1 + p + self.parts * unpack(a["k1"], n > 1)
+            if a["k1"]:
+                gid[i] = 1 + p + self.parts * unpack(a["k1"], n > 1)
             if n > 1:
                 unseen = i[c[i] == 0]
                 stats = unpack(a["k2"]).reshape(K + 1, -1)
@@ -242,8 +251,9 @@ def _left(stats: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(free > 0, free / np.maximum(total, 1), 1 / (total + 1.0))
 
 
-def _merge(parts: int, n: int, below: dict | None):
-    """One part of order n's table: the counts of all chunks added up, and an answer to each."""
+def _merge(parts: int, n: int, below: dict | None, top: bool):
+    """One part of order n's table: the counts of all chunks added up, and an answer to each; of the top order no numbers, since
+    no order asks by them."""
 
     def merge(table: pa.Table) -> pa.Table:
         rows = table.select(["chunk", "part", "k1", "k2", "cnt", "lc", "lcc", "n"]).to_pylist()
@@ -265,12 +275,12 @@ def _merge(parts: int, n: int, below: dict | None):
             rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
             made.append({"level": n, "part": TABLE, "ctx": p, "k1": pack(u1[seen], True), "k2": pack(1 + p + parts * rank[seen]), "cnt": pack(counts[seen])})
             for r, a, b in zip(rows, np.r_[0, ends[:-1]], ends):
-                made.append({"chunk": r["chunk"], "level": n, "part": p, "k1": pack(rank[place[a:b]]), "cnt": pack(counts[place[a:b]])})
+                made.append({"chunk": r["chunk"], "level": n, "part": p, "k1": pack(rank[place[a:b]]), "cnt": pack(counts[place[a:b]]), "n": [int(b - a)]})
             return pa.Table.from_pylist(made, _ARROW)
         made.append({"level": n, "part": TABLE, "ctx": p, "k1": pack(u1[seen], True), "k2": pack(u2[seen]), "cnt": pack(counts[seen])})
         # the lower order's probability of what was seen, of any chunk that has it
-        lc = np.concatenate([unpack(r["lc"]) for r in rows])[order][starts]
-        lcc = np.concatenate([unpack(r["lcc"]) for r in rows])[order][starts] if n > 2 else float(below["tokens"])
+        of_any = lambda c: _either(np.concatenate([unpack(r[c]) for r in rows])[order], starts)
+        lc, lcc = of_any("lc"), of_any("lcc") if n > 2 else float(below["tokens"])
         low = np.where(seen, seen_probability(lc, lcc, below["d"]), 0.0)
         first = np.flatnonzero(np.r_[True, u1[1:] != u1[:-1]])
         of = np.cumsum(np.r_[True, u1[1:] != u1[:-1]]) - 1
@@ -284,20 +294,30 @@ def _merge(parts: int, n: int, below: dict | None):
         for r, a, b in zip(rows, np.r_[0, ends[:-1]], ends):
             at = place[a:b]
             unseen = of[at[~seen[at]]]
-            made.append({"chunk": r["chunk"], "level": n, "part": p, "k1": pack(at, True), "cnt": pack(signed[at]), "k2": pack(stats[:, unseen].ravel()), "lc": pack(low_sum[unseen].view(np.int64))})
+            made.append({"chunk": r["chunk"], "level": n, "part": p, "k1": None if top else pack(at, True), "cnt": pack(signed[at]), "k2": pack(stats[:, unseen].ravel()), "lc": pack(low_sum[unseen].view(np.int64))})
             made += [{"chunk": r["chunk"], "level": n, "part": NEEDS, "ctx": g} for g in r["n"] or []]
         return pa.Table.from_pylist(made, _ARROW)
 
     return merge
 
 
+def _either(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The value other than 0 of each run, which is the same wherever it is given."""
+    most = np.maximum.reduceat(a, starts)
+    return np.where(most > 0, most, np.minimum.reduceat(a, starts))
+
+
 def _asked(n: int, parts: int, known: list[dict], n_docs: int):
-    """A chunk's requests of order n: of all chunks of a batch for order 1, else from a chunk's answers of the orders below."""
+    """A chunk's requests of order n: its words by ranges of their hashes, then from its answers of the orders below."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                yield from _Chunk(b.slice(i, 1).to_pylist()[0], None, parts, known, n_docs).requests(1).to_batches()
+            for chunk, hashes, cnt in zip(*[c.to_pylist() for c in b.columns]):
+                hashes, cnt = unpack(hashes, True), unpack(cnt)
+                part = (hashes.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                for p, at in zip(*np.unique(part, return_index=True)):
+                    end = np.searchsorted(part, p, "right")
+                    yield pa.RecordBatch.from_pylist([{"chunk": chunk, "level": 1, "part": int(p), "k1": pack(hashes[at:end], True), "cnt": pack(cnt[at:end])}], _ARROW)
 
     def asked(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         c = _Chunk(chunk.to_pylist()[0], answers, parts, known, n_docs)
@@ -330,15 +350,17 @@ def fit_score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     ddl = id_type.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(train_col).cast("boolean"), F.lit(False)).alias("train"))
-    chunks = _bucketed(rows.mapInArrow(_chunks(to_arrow_type(id_type)), f"chunk bigint, ids array<{ddl}>, train array<boolean>, lens array<bigint>, toks binary, words binary, n_tokens bigint, n_train bigint"))
-    size = chunks.agg(F.sum("n_tokens"), F.sum("n_train")).first()
+    cut = written(rows.mapInArrow(_chunks(to_arrow_type(id_type)), f"chunk bigint, ids array<{ddl}>, train array<boolean>, lens array<bigint>, toks binary, by_hash binary, hashes binary, cnt binary, n_tokens bigint, n_train bigint"))
+    size = cut.agg(F.sum("n_tokens"), F.sum("n_train")).first()
     parts, n_docs = 1 + (size[0] or 0) // PART, size[1] or 0
-    heads = chunks.select("chunk", "ids", "train", "lens", "toks", "words")
+    heads = _bucketed(cut.where("ids is not null").select("chunk", "ids", "train", "lens", "toks", "by_hash"))
     answers, tables, levels = None, [], []
     for n in range(1, order + 1):
         asked = _asked(n, parts, list(levels), n_docs)
-        requests = heads.mapInArrow(asked, _ROUND) if n == 1 else heads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asked, _ROUND)
-        met = written(requests.groupBy("part").applyInArrow(_merge(parts, n, levels[-1] if levels else None), _ROUND))
+        requests = cut.where("hashes is not null").select("chunk", "hashes", "cnt").mapInArrow(asked, _ROUND) if n == 1 else heads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asked, _ROUND)
+        met = written(requests.groupBy("part").applyInArrow(_merge(parts, n, levels[-1] if levels else None, n == order), _ROUND))
+        if n == 1:
+            unlink(cut)
         sums = met.where(F.col("part") == COUNTS).select([F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(K + 3)]).first()
         levels.append({"n": [int(x) for x in sums[: K + 1]], "tokens": int(sums[K + 1]), "words": int(sums[K + 2]), "d": discounts([int(x) for x in sums[: K + 1]])})
         answer = met.where(F.col("part") >= 0)
