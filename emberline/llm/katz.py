@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from emberline.llm.common import scratch, text_of, unlink, written
 
 #: Tokens of a chunk (and the rest of its last text), tokens a part of a table, tokens of a context that several parts share.
-CHUNK, PART, SPLIT = 1 << 21, 3_000_000, 1_000_000
+CHUNK, PART, SPLIT = 1 << 21, 1_500_000, 1_000_000
 #: Counts up to this are discounted.
 K = 5
 
