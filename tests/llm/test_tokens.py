@@ -53,7 +53,6 @@ def test_bpe_odd_rows(spark):
 def test_words_equal_the_library():
     path = P.path("word_bpe_49k.json")
     whole, words = Tokenizer.from_file(path), rans.words(path)
-    whole.encode_special_tokens = True
     for t in texts(1500, 2):
         assert np.frombuffer(words.packed([t], 2)[0], words.kind)[:-1].tolist() == whole.encode(t, add_special_tokens=False).ids
 
@@ -78,7 +77,6 @@ def test_blocks(n):
 
 def test_rans_query(spark, sf):
     whole = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    whole.encode_special_tokens = True
     got, start = {r.doc_id: r for r in queries.op5_rans_tokens(spark, sf).collect()}, 0
     for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
         ids = np.array([*whole.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
