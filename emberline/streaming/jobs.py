@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.text import dedupe_key
-from emberline.sources.stores import upserted
+from emberline.sources.stores import put_evidence, upsert_buckets
 
 
 def first_documents(docs: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -19,16 +21,26 @@ def window_counts(events: DataFrame, delay: str = "1 day", window: str = "1 day"
     return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def upsert_into(path: str, key: str, version: str):
-    """A foreachBatch function: each batch makes a new version of the table under path/v=<batch>, so that a repeated batch
-    writes the same and readers take the last one."""
+def once(log: str, put: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that records each batch id under `log` after put(batch), and skips one that is recorded: a batch
+    that a restarted query gives again is a no-op if it had ended, and is put again if it had not."""
 
-    def put(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        before = [v for v in range(batch_id) if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}"))]
-        stored = spark.read.schema(batch.schema).parquet(f"{path}/v={before[-1]}") if before else spark.createDataFrame([], batch.schema)
-        upserted(stored, batch, key, version).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{log}/batch={batch_id}/_SUCCESS")
+        if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+            put(batch)
+            spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    return each
+
+
+def upsert_into(path: str, key: str, version: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the table under path/rows (partitioned by a hash of the key) at the last version of
+    each key; a batch rewrites the buckets of its own keys only."""
+    return once(f"{path}/batches", lambda batch: upsert_buckets(f"{path}/rows", batch, key, version, buckets))
+
 
-    return put
+def evidence_into(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds evidence (run_id, ...) to path/rows, each row of a run once."""
+    return once(f"{path}/batches", lambda batch: put_evidence(f"{path}/rows", batch))

@@ -44,7 +44,7 @@ def test_streams(spark, tmp_path):
     q = keyed.writeStream.foreachBatch(jobs.upsert_into(str(tmp_path / "t"), "url", "fetched_at")).option("checkpointLocation", str(tmp_path / "c2")).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(str(tmp_path / "t" / "v=0")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "t" / "rows")).count() == 3
 
 
 def test_sheets_labels_and_evidence(spark, tmp_path):
@@ -60,3 +60,55 @@ def test_sheets_labels_and_evidence(spark, tmp_path):
     rows = spark.createDataFrame([("r1", "kelp"), ("r2", "peat")], "run_id string, term string")
     readers.write_evidence(rows, str(tmp_path / "e"))
     assert [r.term for r in readers.read_evidence(spark, str(tmp_path / "e"), "r2").collect()] == ["peat"]
+
+
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_bucketed_upsert_leaves_other_buckets_files(spark, tmp_path):
+    path, put = tmp_path / "b", jobs.upsert_into(str(tmp_path / "b"), "id", "at", buckets=8)
+    rows = lambda d: spark.createDataFrame(d, "id long, v string, at int")
+    put(rows([(i, "a", 1) for i in range(40)]), 0)
+    before = files(path / "rows")
+    put(rows([(3, "b", 2), (3, "old", 0), (99, "new", 1), (5, "tie", 1)]), 1)
+    after = files(path / "rows")
+    changed = {f.split("_bucket=")[1].split("/")[0] for f in before.keys() ^ after.keys()}
+    assert 1 <= len(changed) <= 3 and {f.split("_bucket=")[1].split("/")[0] for f in before} - changed
+    got = {r.id: r.v for r in spark.read.parquet(str(path / "rows")).collect()}
+    assert len(got) == 41 and (got[3], got[5], got[99], got[7]) == ("b", "tie", "new", "a")
+    kept = stores.read_buckets(spark, str(path / "rows"), [3, 99, 1000], "id", 8)
+    assert sorted(r.v for r in kept.collect()) == ["b", "new"]
+    put(rows([(3, "never", 9)]), 1)  # the batch is recorded
+    assert files(path / "rows") == after
+    # a batch that failed after its rows were written, before it was recorded, is put again and changes nothing
+    (path / "batches" / "batch=1" / "_SUCCESS").unlink()
+    put(rows([(3, "b", 2), (3, "old", 0), (99, "new", 1), (5, "tie", 1)]), 1)
+    assert {r.id: r.v for r in spark.read.parquet(str(path / "rows")).collect()} == got
+
+
+def test_upsert_stream_restarts_from_its_checkpoint(spark, tmp_path):
+    def run():
+        s = spark.readStream.schema("id long, v string, at int").parquet(str(tmp_path / "in"))
+        q = s.writeStream.foreachBatch(jobs.upsert_into(str(tmp_path / "t"), "id", "at", 4)).option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        return {r.id: r.v for r in spark.read.parquet(str(tmp_path / "t" / "rows")).collect()}
+
+    spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, v string, at int").write.parquet(str(tmp_path / "in"))
+    assert run() == {1: "a", 2: "b"}
+    spark.createDataFrame([(2, "c", 2), (3, "d", 1)], "id long, v string, at int").write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == {1: "a", 2: "c", 3: "d"}
+
+
+def test_evidence_run_by_run(spark, tmp_path):
+    put = jobs.evidence_into(str(tmp_path / "e"))
+    rows = lambda d: spark.createDataFrame(d, "run_id string, term string, n int")
+    put(rows([("r1", "kelp", 1), ("r1", "kelp", 1), ("r2", "peat", 2)]), 0)
+    r2 = {f: t for f, t in files(tmp_path / "e" / "rows").items() if "run_id=r2" in f}
+    put(rows([("r1", "kelp", 1), ("r1", "moss", None)]), 1)
+    got = spark.read.parquet(str(tmp_path / "e" / "rows"))
+    assert sorted((r.run_id, r.term) for r in got.collect()) == [("r1", "kelp"), ("r1", "moss"), ("r2", "peat")]
+    assert r2 == {f: t for f, t in files(tmp_path / "e" / "rows").items() if "run_id=r2" in f}
+    one = readers.read_evidence(spark, str(tmp_path / "e" / "rows"), "r2")
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(run_id" in one._jdf.queryExecution().executedPlan().toString()
