@@ -118,6 +118,51 @@ def test_surrogates(spark):
     assert pii.pseudonymized(docs.where("false"), "k").count() == 0
 
 
+def replaced(spark, *texts):
+    docs = spark.createDataFrame([(None if i == 0 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, place int")
+    return [r.text for r in pii.pseudonymized(docs, "k").orderBy("place").collect()]
+
+
+def test_numbers_that_are_no_entities_stay(spark):
+    texts = ["Released 2024-03-01. Years 1999 2000 2001. Table 100 200 300. Range 10.20.30", "2000 2001 2002 2003, 2024-03-01 2024-03-02 01.02.2024 01-02-2024 1709251200000000", "DE00 3704 0044 0532 0130 00; 1234567890123; 12:30:45 std::vec a::b", "In 2020, 1 415 items; born 99/99/2020"]
+    assert replaced(spark, *texts) == texts
+
+
+def test_no_word_of_a_found_name_stays(spark):
+    texts = ["Anna Keller came. Keller said no. Later Anna said yes. Maria Garcia Lopez and ANNA KELLER", "Jean-Pierre Dupont-Moreau and Dr. Schmidt; SCHMIDT, Moreau; Schmidtchen", "Karl von der Heide, Heide", "Мария Петрова и ПЕТРОВА", "Anna Keller again; anna keller"]
+    got = replaced(spark, *texts)
+    for text, words in zip(got, (("Anna", "Keller", "Maria", "Garcia", "Lopez"), ("Jean", "Pierre", "Dupont", "Moreau", "Schmidt"), ("Karl", "Heide"), ("Мария", "Петрова"), ("Anna", "Keller"))):
+        for w in words:
+            assert not re.search(rf"\b(?:{w}|{w.upper()})\b", text), (w, text)
+    m = re.fullmatch(r"(\S+) (\S+) came\. (\S+) said no\. Later (\S+) said yes\. (\S+) (\S+) (\S+) and (\S+) (\S+)", got[0])
+    assert m[2] == m[3] and m[1] == m[4] and (m[8], m[9]) == (m[1].upper(), m[2].upper()) and len({m[1], m[2], m[5], m[6], m[7]}) == 5
+    assert got[1].endswith("; Schmidtchen") and " von der " in got[2] and re.search(r"^[а-яА-Я ]+$", got[3]) and got[4] == f"{m[1]} {m[2]} again; anna keller"
+
+
+def test_checks_and_dates_hold_after_replacement(spark):
+    import datetime
+
+    got = replaced(spark, "born on 1980-02-29, DOB: 3/4/1975, geboren 4.3.1975, birth 1980-02-29", "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432", "4111111111111111 4111-1111-1111-1111", "2001:db8:0:1::5", "+1 (415) 555-2671, 415-555-2671, tel: 5551234, 01 42 68 53 00", *[f"x{i}@host{i}.org" for i in range(400)])
+    iso, us, eu, again = re.search(r"born on (\d{4}-\d{2}-\d{2}), DOB: (\d\d/\d\d/\d{4}), geboren (\d\d\.\d\d\.\d{4}), birth (.*)", got[0]).groups()
+    assert iso == again != "1980-02-29" and datetime.date.fromisoformat(iso)
+    assert datetime.datetime.strptime(us, "%m/%d/%Y") == datetime.datetime.strptime(eu, "%d.%m.%Y") != datetime.datetime(1975, 3, 4)
+    for account in got[1].replace(" ", "").split(","):
+        turned = account[4:] + account[:4]
+        assert int("".join(str(int(c, 36)) for c in turned)) % 97 == 1 and account[:2] in ("DE", "GB")
+    a, b = got[2].split()
+    assert a == b.replace("-", "") != "4111111111111111"
+    assert re.fullmatch(r"2001:db8(?::[0-9a-f]{4}){6}", got[3])
+    p = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}), (\S+), tel: (\d{7}), (0\d(?: \d\d){4})", got[4])
+    assert p[4] == f"{p[1]}-{p[2]}-{p[3]}" and p[4] != "415-555-2671" and p[5] != "5551234" and p[6] != "01 42 68 53 00"
+    assert len({t.split("@")[1] for t in got[5:]}) == 400
+
+
+def test_a_frequent_entity_and_a_long_text(spark):
+    docs = spark.createDataFrame([(i, "x " * 100_000 + "a@b.org" if i < 2 else "a@b.org c@d.org") for i in range(1500)], "doc_id long, text string").repartition(4)
+    got = {r.t for r in pii.pseudonymized(docs, "k").selectExpr("trim(replace(text, 'x ', '')) as t").distinct().collect()}
+    assert len(got) == 2 and {t.split()[0] for t in got} == {min(got, key=len)}
+
+
 def test_surrogates_are_distinct(spark):
     e = spark.createDataFrame([("ssn", f"{i:03d}00{i:04d}") for i in range(400)] + [("surname", f"name{i}") for i in range(300)] + [("ip", "1.1.1.1")], "kind string, norm string")
     made = pii.distinct_surrogates(e, "k").collect()
