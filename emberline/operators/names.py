@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from emberline.functions.text import let, title_case_share, without_feed_tail
 
@@ -66,17 +62,53 @@ def lower_case_keys(docs: DataFrame, keys: DataFrame, text: str = "text") -> Dat
     return docs.select(F.explode(F.array_distinct(let(words, grams))).alias("key")).join(keys.select("key").distinct(), "key", "left_semi").distinct()
 
 
-@F.pandas_udf(BooleanType())
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() >= ALIKE for x, y in zip(a, b)])
+def longest_block(a: Column, b: Column) -> Column:
+    """struct(n, i, j): the longest run of letters that both words hold and where it begins in each, counted from 1; of equal
+    ones the first in a, then in b. Null if they share no letter."""
+    n = F.length(a)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(k.alias("n"), (-i).alias("i"), F.substr(a, i, k).alias("run")))))
+    best = F.array_max(F.filter(runs, lambda r: F.instr(b, r["run"]) > 0))
+    return let(best, lambda r: F.when(r.isNotNull(), F.struct(r["n"].alias("n"), (-r["i"]).alias("i"), F.instr(b, r["run"]).alias("j"))))
+
+
+def matched_letters(a: Column, b: Column) -> Column:
+    """How many letters two words have in matching blocks: the longest one, then those on its left and right by the same rule.
+    A fold over a stack of open stretches; each step closes one, and no more than 2 * length + 1 ever open."""
+    stretch = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def step(s: Column, _: Column) -> Column:
+        top, rest = F.try_element_at(s["open"], F.lit(-1)), F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+
+        def split(r: Column) -> Column:
+            left = stretch(F.substr(top["x"], F.lit(1), r["i"] - 1), F.substr(top["y"], F.lit(1), r["j"] - 1))
+            right = stretch(F.substr(top["x"], r["i"] + r["n"]), F.substr(top["y"], r["j"] + r["n"]))
+            both = F.filter(F.array(left, right), lambda p: (p["x"] != "") & (p["y"] != ""))
+            return F.when(r.isNull(), F.struct(rest.alias("open"), s["n"].alias("n"))).otherwise(F.struct(F.concat(rest, both).alias("open"), (s["n"] + r["n"]).alias("n")))
+
+        return F.when(F.size(s["open"]) == 0, s).otherwise(let(longest_block(top["x"], top["y"]), split))
+
+    start = F.struct(F.filter(F.array(stretch(a, b)), lambda p: (p["x"] != "") & (p["y"] != "")).alias("open"), F.lit(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(0), 2 * F.least(F.length(a), F.length(b)) + 1), start, step)["n"]
+
+
+def shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two words share in any order: a bound of the matched ones."""
+    count = lambda w, c: F.length(w) - F.length(F.replace(w, c))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Whether twice the matched letters are at least ALIKE of all letters. Two bounds come first, so that few pairs are aligned."""
+    size = F.length(a) + F.length(b)
+    enough = lambda n: F.lit(2.0) * n / size >= ALIKE
+    return F.when(size == 0, True).when(~enough(F.least(F.length(a), F.length(b))), False).when(~enough(shared_letters(a, b)), False).otherwise(enough(matched_letters(a, b)))
 
 
 def misspelt(candidates: DataFrame) -> DataFrame:
     """(id): one-word candidates (id, key, text) that are nearly a capitalised word of their document."""
     word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\b([A-Z][\p{L}\p{N}_.]+)"), 1), glued)))
     pairs = candidates.where(F.length("key") >= LEAST_LETTERS).select("id", "key", word.alias("w")).where("w <> ''")
-    close = 2 * F.least(F.length("key"), F.length("w")) >= ALIKE * (F.length("key") + F.length("w"))  # the ratio's upper bound
-    return pairs.where(close).where(alike("key", "w")).select("id").distinct()
+    return pairs.where(alike(F.col("key"), F.col("w"))).select("id").distinct()
 
 
 def proper_candidates(candidates: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:

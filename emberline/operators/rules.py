@@ -18,6 +18,13 @@ class Limits:
     hype_ratio_min: float = 0.5
 
 
+def limits_of(rows: DataFrame) -> Limits:
+    """Limits of a dimension (name, value), at most one row a limit; names that are absent keep their default."""
+    known = Limits.__dataclass_fields__
+    given = {r["name"]: r["value"] for r in rows.where(F.col("name").isin(*known)).groupBy("name").agg(F.max("value").alias("value")).collect()}
+    return Limits(**{k: type(known[k].default)(v) for k, v in given.items()})
+
+
 def reason(limits: Limits) -> Column:
     """noise, no_research, mature, hype or ok: the first that holds, over a feature table's columns."""
     return (

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from emberline.functions import text as X
 from emberline.functions import wordlists as L
-from emberline.operators import dedupe, evidence, features, mentions, ml, names as proper, ranking, rules, similar
+from emberline.operators import dedupe, evidence, features, mentions, ml, names as proper, ranking, reports, rules, similar
 from emberline.sources import readers, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +126,12 @@ def a2_type_counts(spark, d):
 
 @query(f"with {ITEMS} select term, least(count(distinct l_suppkey), 200) as distinct_orgs, abs(count(distinct l_suppkey) - count(distinct l_suppkey)) = 0 as near from items group by term")
 def a3_distinct_orgs(spark, d):
-    return items(spark, d).groupBy("term").agg(F.least(F.count_distinct("l_suppkey"), F.lit(200)).alias("distinct_orgs"), (F.abs(F.approx_count_distinct("l_suppkey", 0.02) - F.count_distinct("l_suppkey")) <= 0.1 * F.count_distinct("l_suppkey")).alias("near"))
+    """The exact number, and whether the sketches of the years, rolled up, come near it."""
+    rows = items(spark, d)
+    dated = reports.distinct_sketches(rows.withColumn("year", F.year("l_shipdate")), ["term", "year"], "l_suppkey")
+    exact = reports.distinct_organisations(rows, "term", "l_suppkey", most=1 << 40)
+    both = exact.join(reports.rolled_up(dated, ["term"]), "term")
+    return both.select("term", F.least("distinct_orgs", F.lit(200)).alias("distinct_orgs"), (F.abs(F.col("estimate") - F.col("distinct_orgs")) <= 0.1 * F.col("distinct_orgs")).alias("near"))
 
 
 @query("select p_name as term, (case when year(l_shipdate) + 26 < 2023 then 2016 else year(l_shipdate) + 26 end)::int as bucket, count(*) as n from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by all")
@@ -138,7 +143,7 @@ def a4_media_buckets(spark, d):
 @query("select event_type, month(ts)::int as period, count(*) as mentions, round(sum(value), 2) as views from events group by rollup (event_type, month(ts))")
 def a5_attention(spark, d):
     e = T(spark, d, "events").select("event_type", F.month("ts").alias("period"), "value")  # months stand for years, of which there is one
-    return e.rollup("event_type", "period").agg(F.count("*").alias("mentions"), F.round(F.sum("value"), 2).alias("views"))
+    return reports.attention(e, ["event_type", "period"], "value")
 
 
 @query(f"with {PUBS}, pat as (select term, count(*) as n from items where l_returnflag = 'N' and l_quantity > 48 group by term) select p.term, cast(sum(p.n) as bigint) as pubs_total, cast((select sum(n) from news w where w.term = p.term) as bigint) as news_total, cast((select n from pat where pat.term = p.term) as bigint) as patents_total from pubs p group by p.term")
@@ -221,43 +226,33 @@ def a17_unique_companies(spark, d):
 
 @query(f"with {FEATURES}, k as (select term, case when total_pubs < 800 then 'no_research' when total_pubs > 1050 then 'mature' when news_total >= 200 and news_to_science_ratio >= 0.33 then 'hype' end as reason_code from f) select reason_code, case reason_code when 'no_research' then 2 when 'mature' then 3 else 4 end as place, count(*) as n, string_agg(term, ';' order by term) as terms from k where reason_code is not null group by reason_code")
 def a18_excluded_by_reason(spark, d):
-    k = rules.decided(table(spark, d), LIMITS).where("excluded")
-    place = F.when(F.col("reason_code") == "noise", 1).when(F.col("reason_code") == "no_research", 2).when(F.col("reason_code") == "mature", 3).otherwise(4)
-    return k.groupBy("reason_code").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("term")), ";").alias("terms"))
+    return reports.excluded_by_reason(rules.decided(table(spark, d), LIMITS))
 
 
 @query("select event_type as source, count(*) as n, arg_min(props, (ts, event_id)) as first_detail from events group by event_type")
 def a19_source_failures(spark, d):
-    return T(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.min_by("props", F.struct("ts", "event_id")).alias("first_detail"))
+    return reports.source_failures(T(spark, d, "events"), "event_type", "props", "ts", "event_id")
 
 
 @query("select event_type as step, user_id % 3 as model, count(*) as calls, round(sum(value), 2) as seconds from events group by rollup (event_type, user_id % 3)")
 def a20_call_journal(spark, d):
-    e = T(spark, d, "events").select(F.col("event_type").alias("step"), (F.col("user_id") % 3).alias("model"), "value")
-    return e.rollup("step", "model").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("seconds"))
+    return reports.call_journal(T(spark, d, "events").select(F.col("event_type").alias("step"), (F.col("user_id") % 3).alias("model"), F.col("value").alias("seconds")))
 
 
 @query(f"with {SCORED}, k as (select *, not (total_pubs < 800 or total_pubs > 1050) as kept from scored), sizes as (select (select count(*) from lineitem) as n1, count(*) as n2, count(*) filter (where kept) as n3, count(*) filter (where kept and score > 0.75) as n4 from k) select unnest(['documents', 'candidates', 'kept', 'confident']) as stage, unnest([n1, n2, n3, n4]) as n, unnest([0, n1 - n2, n2 - n3, n3 - n4]) as dropped from sizes")
 def a21_funnel(spark, d):
-    k = ranking.heuristic(table(spark, d), AS_OF)
     kept = ~((F.col("total_pubs") < 800) | (F.col("total_pubs") > 1050))
-    c = k.agg(F.count("*").alias("n2"), F.count_if(kept).alias("n3"), F.count_if(kept & (F.col("score") > 0.75)).alias("n4"))
-    whole = c.crossJoin(F.broadcast(T(spark, d, "lineitem").agg(F.count("*").alias("n1"))))  # one row each
-    return whole.select(F.expr("stack(4, 'documents', n1, 0L, 'candidates', n2, n1 - n2, 'kept', n3, n2 - n3, 'confident', n4, n3 - n4) as (stage, n, dropped)")).select("stage", "n", F.col("dropped").cast("bigint").alias("dropped"))
+    return reports.funnel(ranking.heuristic(table(spark, d), AS_OF), T(spark, d, "lineitem"), kept, F.col("score") > 0.75)
 
 
 @query("select coalesce(lang, 'total') as domain, count(distinct doc_id) as documents, count(distinct case when toxic = 1 then doc_id end) as found, round(count(distinct case when toxic = 1 then doc_id end) / count(distinct doc_id), 4) as recall from documents join labels using (doc_id) group by rollup (lang)")
 def a22_a23_recall_by_domain(spark, d):
-    j = T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id")
-    g = j.rollup("lang").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("found"))
-    return g.select(F.coalesce("lang", F.lit("total")).alias("domain"), "documents", "found", F.round(F.col("found") / F.col("documents"), 4).alias("recall"))
+    return reports.recall_by(T(spark, d, "documents").select("doc_id", "lang").join(T(spark, d, "labels"), "doc_id"), "lang", "doc_id", F.col("toxic") == 1)
 
 
 @query("select event_type as model, user_id % 4 as domain, count(*) as candidates, greatest(0, 1 - round(count(*) filter (where value > 100) / count(*), 4)) as share_with_series from events group by grouping sets ((event_type, user_id % 4), (event_type))")
 def a24_leaderboard(spark, d):
-    e = T(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 4).alias("domain"), "value")
-    g = e.groupingSets([["model", "domain"], ["model"]], "model", "domain").agg(F.count("*").alias("candidates"), F.count_if(F.col("value") > 100).alias("f"))
-    return g.select("model", "domain", "candidates", F.greatest(F.lit(0.0), 1 - F.round(F.col("f") / F.col("candidates"), 4)).alias("share_with_series"))
+    return reports.leaderboard(T(spark, d, "events").select(F.col("event_type").alias("model"), (F.col("user_id") % 4).alias("domain"), "value"), F.col("value") > 100)
 
 
 LABELLED = "l as (select doc_id, toxic as label, round(quality * 0.3 + (n_chars % 97) / 140.0::double, 4) as score, lang as kind from labels join documents using (doc_id))"
@@ -275,25 +270,23 @@ def a25_confusion(spark, d):
 
 @query(f"with {LABELLED} select kind, round(avg(case when (score >= 0.5) = (label = 1) then 1 else 0 end), 4) as correct from l group by kind")
 def a26_correct_by_kind(spark, d):
-    right = ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int")
-    return labelled(spark, d).groupBy("kind").agg(F.round(F.avg(right), 4).alias("correct"))
+    return reports.correct_by_kind(labelled(spark, d))
 
 
 @query("select p_brand, round(median(p_retailprice), 4) as median_price, round(quantile_cont(p_retailprice, 0.25), 4) as q1, round(quantile_cont(p_retailprice, 0.75), 4) as q3 from part group by p_brand")
 def a27_a28_quartiles(spark, d):
-    q = F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.75)))
-    return T(spark, d, "part").groupBy("p_brand").agg(F.round(F.median("p_retailprice"), 4).alias("median_price"), F.round(q[0], 4).alias("q1"), F.round(q[1], 4).alias("q3"))
+    q = reports.quartiles(T(spark, d, "part"), "p_brand", "p_retailprice")
+    return q.select("p_brand", F.round("median", 4).alias("median_price"), F.round("q1", 4).alias("q1"), F.round("q3", 4).alias("q3"))
 
 
 @query("select source, toxic as label, count(*) as n from documents join labels using (doc_id) group by all")
 def a29_examples(spark, d):
-    return T(spark, d, "documents").join(T(spark, d, "labels"), "doc_id").groupBy("source", F.col("toxic").alias("label")).agg(F.count("*").alias("n"))
+    return reports.examples(T(spark, d, "documents").join(T(spark, d, "labels").withColumnRenamed("toxic", "label"), "doc_id"), "source", "label")
 
 
 @query(f"with {OWN} select candidate, count(*) filter (where trust = 'high') as high, count(*) filter (where trust = 'medium') as medium, count(*) filter (where trust = 'low') as low, coalesce(bool_and(trust = 'low'), false) as only_low from own group by candidate")
 def a30_p18_trust_composition(spark, d):
-    t = F.col("trust")
-    return own(spark, d).groupBy("candidate").agg(*[F.count_if(t == x).alias(x) for x in ("high", "medium", "low")], F.coalesce(F.bool_and(t == "low"), F.lit(False)).alias("only_low"))
+    return reports.trust_composition(own(spark, d))
 
 
 @query("with e as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings), m as (select label, i, avg(x) as m from e group by all), n as (select label, sqrt(sum(m * m)) as n from m group by label) select label, cast(i - 1 as int) as i, round(m / n, 4) as x from m join n using (label)")
@@ -304,9 +297,8 @@ def a31_centroid(spark, d):
 
 @query("select user_id, count(*) filter (where value > 75) as confident, (list(event_id order by value desc, event_id))[1:3]::varchar as leaders from events group by user_id")
 def a32_run_summary(spark, d):
-    e = ranking.top_k_each(T(spark, d, "events"), "user_id", 3, F.desc("value"), F.asc("event_id"))
-    lead = e.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "event_id"))), lambda x: x["event_id"].cast("string")), ", "), F.lit("]")).alias("leaders"))
-    return T(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 75).alias("confident")).join(lead, "user_id")
+    r = reports.run_summary(T(spark, d, "events"), "user_id", "event_id", "value", 75)
+    return r.select("user_id", "confident", F.concat(F.lit("["), F.array_join(F.col("leaders").cast("array<string>"), ", "), F.lit("]")).alias("leaders"))
 
 
 @query(f"with {PUBS}, s as (select term, unnest(range(1993, 2003))::int as year from (select distinct term from pubs)) select s.term, s.year, coalesce(n, 0) as n, s.year = 2001 as partial from s left join pubs p on s.term = p.term and s.year = p.year")
@@ -344,7 +336,8 @@ def w4_reading_order(spark, d):
 
 @query(f"with {TERM_SQL}, {QUEUE} select term, min(place) as first_rank, count(*) filter (where place > 500) as beyond from hits join queue using (doc_id) group by term")
 def a34_depth_of_mention(spark, d):
-    return mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d)).join(queue(spark, d), "doc_id").groupBy("term").agg(F.min("place").alias("first_rank"), F.count_if(F.col("place") > 500).alias("beyond"))
+    hits = mentions.term_mentions(T(spark, d, "documents"), benchmark_terms(spark, d))
+    return reports.depth_of_mention(hits, queue(spark, d), 500).drop("share_beyond")
 
 
 @query(r"select doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_-])all rights reserved($|[^\p{L}\p{N}_-])') as hit from documents")
@@ -441,7 +434,7 @@ def p14_f15_clean_phrases(spark, d):
 
 @query(rf"with {DOCS} select count(*) filter (where len(regexp_split_to_array(trim(title), '\s+')) > 5) as long_names, count(*) as n from d")
 def f23_long_names(spark, d):
-    return titled(spark, d).agg(F.count_if(F.size(F.split(F.trim("title"), r"\s+")) > 5).alias("long_names"), F.count("*").alias("n"))
+    return reports.long_names(titled(spark, d), "title")
 
 
 @query(r"select event_id, case when value / 100 > 0.75 then 'high' when value / 100 > 0.5 then 'medium' else 'low' end as confidence, case when d <> '' then 'HTTP ' || d when regexp_matches(t, '(?i)time[d]?[ -]?out') then 'timeout' else left(t, 80) end as reason, case when value / 100 > 0.75 then 1 when value / 100 > 0.5 then 2 else 3 end as rank, coalesce(nullif(trim(case when user_id % 2 = 0 then ' ' else props end), ''), event_type) as shown from (select *, event_type || ' ' || case user_id % 3 when 0 then 'status 50' || user_id % 7 when 1 then 'timed out' else props end as t, regexp_extract(t, '\b([45]\d\d)\b', 1) as d from events)")
@@ -576,8 +569,8 @@ def j4_unmatched(spark, d):
 
 @query(f"with {SCORED} select p_partkey, p_name as term, coalesce(score, 0.5) as score from part left join (select * from scored where total_pubs > 900) on p_name = term")
 def j5_neutral_score(spark, d):
-    s = ranking.heuristic(table(spark, d).where("total_pubs > 900"), AS_OF).select("term", "score")
-    return T(spark, d, "part").select("p_partkey", F.col("p_name").alias("term")).join(s, "term", "left").select("p_partkey", "term", F.coalesce("score", F.lit(0.5)).alias("score"))
+    s = ranking.heuristic(table(spark, d).where("total_pubs > 900"), AS_OF)
+    return reports.with_neutral_score(T(spark, d, "part").select("p_partkey", F.col("p_name").alias("term")), s, "term").select("p_partkey", "term", "score")
 
 
 @query(f"with {SCORED}, e as (select s.*, (total_pubs % 7 <> 0) as done, total_pubs < 800 or total_pubs > 1050 as cut from scored s where term in (select p_name from part where p_size < 30)), r as (select term, row_number() over (order by score desc, term) as rk from e where done and not cut) select e.term, case when rk <= 15 then 'top' when cut then 'excluded' when done then 'below' else 'pending' end as status, total_pubs is null or recent_share is null as unplaced, w.n as news from e left join r on e.term = r.term left join (select term, cast(sum(n) as bigint) as n from news where year > 1998 group by term having sum(n) > 90) w on e.term = w.term")
@@ -593,8 +586,9 @@ def j6_j7_signal_map(spark, d):
 
 @query("select o_orderkey, 'kept' as part from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity >= 49) union all select o_orderkey, 'removed' from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
 def j8_u4_split_by_keys(spark, d):
-    o, flagged = T(spark, d, "orders").select("o_orderkey"), T(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"))
-    return o.join(flagged, "o_orderkey", "left_anti").select("o_orderkey", F.lit("kept").alias("part")).union(o.join(flagged, "o_orderkey", "left_semi").select("o_orderkey", F.lit("removed").alias("part")))
+    o = T(spark, d, "orders").select("o_orderkey")
+    flagged = T(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("quantity").alias("reason"))
+    return reports.split_by_keys(o, flagged, "o_orderkey").select("o_orderkey", "part")
 
 
 @query(f"with {TERM_SQL}, r as (select term, doc_id, row_number() over (partition by term order by doc_id) as rn from hits) select term, doc_id, doc_id not in (select doc_id from labels) as is_new from r where rn <= 8")
@@ -684,7 +678,7 @@ def s9_s11_upsert(spark, d):
 
 @query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
 def s10_fetch_by_ids(spark, d):
-    return T(spark, d, "documents").select("doc_id", "source").join(T(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return reports.fetched_by_ids(T(spark, d, "documents").select("doc_id", "source"), T(spark, d, "labels"), "doc_id")
 
 
 @query("with l as (select event_type, user_id, max(ts) as ts from events group by all) select event_type, user_id, ts, ts >= timestamp '2024-01-24' as fresh from l")
@@ -789,12 +783,9 @@ def j15_cards_naming_a_technology(spark, d):
 def a23_ceiling(spark, d):
     """How many of the items that were looked for the collected documents mention at all, by domain and in total."""
     terms = benchmark_terms(spark, d)
-    t = titled(spark, d).select("doc_id", "lang", F.get(F.split("title", " "), F.lit(0)).alias("phrase"))
-    collected = t.rollup("lang").agg(F.count_distinct("phrase").alias("phrases"), F.count("doc_id").alias("documents"))
-    hits = mentions.term_mentions(T(spark, d, "documents"), terms).join(t.select("doc_id", "lang"), "doc_id").rollup("lang").agg(F.count_distinct("term").alias("found"))
-    items = terms.where(F.size(mentions.tokens(F.col("term"))) > 0).agg(F.count("*").alias("items"))
-    both = collected.join(hits.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").crossJoin(F.broadcast(items))
-    return both.select(F.coalesce("lang", F.lit("total")).alias("domain"), "phrases", "documents", F.coalesce("found", F.lit(0)).alias("found"), "items")
+    t = titled(spark, d).select("doc_id", F.col("lang").alias("domain"), F.get(F.split("title", " "), F.lit(0)).alias("phrase"))
+    hits = mentions.term_mentions(T(spark, d, "documents"), terms)
+    return reports.ceiling(t, hits, terms.where(F.size(mentions.tokens(F.col("term"))) > 0))
 
 
 ITEM_SQL = r"bi as (select item_id as item, string_split(split_part(text, chr(10), 1), ' ') as w from benchmark), ph as (select item, array_to_string(w[1:3], ' ') as p, 'term' as matched_by from bi union all select item, array_to_string(w[4:5], ' '), 'company' from bi where item % 2 = 0), pk as (select item, matched_by, ' ' || array_to_string(regexp_extract_all(lower(p), '[\p{L}\p{N}_-]+'), ' ') || ' ' as k from ph), it as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'), ' ') || ' ' as t from documents)"

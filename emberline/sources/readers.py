@@ -41,6 +41,12 @@ def group_counts(spark: SparkSession, path: str) -> DataFrame:
     return g.where(F.col("g.key").rlike("^[0-9]+$")).select("term", F.col("g.key").cast("int").alias("year"), F.col("g.count").alias("n"))
 
 
+def type_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(term, type, n) of group-count payloads by type; keys are type names, the last part of an address."""
+    g = spark.read.schema(COUNTS).json(path).select("term", F.explode("group_by").alias("g"))
+    return g.where(F.col("g.key").isNotNull()).select("term", F.regexp_extract("g.key", "([^/]*)/?$", 1).alias("type"), F.col("g.count").alias("n")).where("type <> ''")
+
+
 def signals(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """A labelled sheet (id, name, domain, stage, moving, sources) with its terms; rows without id drop out."""
     s = spark.read.option("header", True).option("multiLine", True).schema("id string, name string, domain string, stage string, moving string, sources string").csv(path).dropna(subset=["id"])
@@ -73,6 +79,14 @@ def runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return r.where(~bad).drop("_corrupt"), r.where(bad).select("_corrupt")
 
 
+def run_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good, quarantined) of a folder of run files, one JSON object a file, on any number of lines. A file that is no JSON object
+    or has no run_id is quarantined whole: (file, raw)."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    r = raw.withColumn("r", F.from_json("raw", RUN)).withColumn("ok", F.coalesce(F.col("r.run_id").isNotNull(), F.lit(False)))
+    return r.where("ok").select("r.*").drop("_corrupt"), r.where("not ok").select("file", "raw")
+
+
 def write_evidence(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
