@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from emberline.llm.common import hashes_of, let, words_of
@@ -55,25 +58,36 @@ def likeness(a: Column, b: Column, print_a: Column, print_b: Column) -> Column:
 
 def followed(docs: DataFrame, rows_in_range: int = 2000) -> DataFrame:
     """docs (doc_id, text) with `next`, the text of the row after in ascending doc_id (nulls first, ties by text), and of the
-    first row for the last.
+    first row for the last. Ids are numbers or strings; other columns are left out.
 
     Ids are cut into ranges of about `rows_in_range` rows by quantiles, so that each window is small; only the first
-    text of each range goes to the range before. Equal ids are in one range.
+    text of each range goes to the range before, and only numbers of ranges are brought together. Equal ids are in one
+    range, and so are strings that agree in the seven bytes after what all have in common.
     """
     n = docs.count()
     parts = min(MOST_RANGES, max(1, n // rows_in_range))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
+    code = _code_of(docs)
+    cuts = docs.agg(F.percentile_approx(code, [i / parts for i in range(1, parts)], 10 * parts).alias("q")).first()["q"] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    at = _range_of(F.col("doc_id"), cuts) if cuts else F.lit(0)
+    at = _range_of(code, cuts) if cuts else F.lit(0)
     ranged = docs.select("doc_id", "text", at.alias("range"))
     order = [F.asc_nulls_first("doc_id"), F.asc("text")]
     heads = ranged.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")).alias("head"))
-    ring = heads.select(
-        F.col("range"),
-        F.coalesce(F.lead("head").over(Window.orderBy("range")), F.first("head").over(Window.orderBy("range"))).alias("after"),
-    )
+    ring = Window.orderBy("range")  # over one number a range, at most MOST_RANGES
+    later = ranged.select("range").distinct().withColumn("later", F.coalesce(F.lead("range").over(ring), F.first("range").over(ring)))
+    after = later.join(heads.select(F.col("range").alias("later"), F.col("head.text").alias("after")), "later").select("range", "after")
     inner = ranged.withColumn("next", F.lead("text").over(Window.partitionBy("range").orderBy(*order)))
-    return inner.join(ring.select("range", F.col("after.text").alias("after")), "range").select("doc_id", "text", F.coalesce("next", "after").alias("next"))
+    return inner.join(after, "range").select("doc_id", "text", F.coalesce("next", "after").alias("next"))
+
+
+def _code_of(docs: DataFrame) -> Column:
+    """A number that never falls as ids rise: of a string, the seven bytes after the start that all ids share."""
+    if not isinstance(docs.schema["doc_id"].dataType, StringType):
+        return F.col("doc_id")
+    ends = docs.agg(F.encode(F.min("doc_id"), "UTF-8").alias("a"), F.encode(F.max("doc_id"), "UTF-8").alias("b")).first()
+    shared = len(commonprefix([bytes(ends.a or b""), bytes(ends.b or b"")]))
+    seven = F.substr(F.encode("doc_id", "UTF-8"), F.lit(shared + 1), F.lit(7))
+    return F.conv(F.rpad(F.hex(seven), 14, "0"), 16, 10).cast("bigint")
 
 
 def _range_of(x: Column, cuts: list) -> Column:
