@@ -82,8 +82,12 @@ def best_match(text: Column, idf: dict[str, float], rare: float) -> Column:
     of_word = F.create_map(*[F.lit(x) for w in sorted({w for notices in TEMPLATES.values() for t in notices for w in _words(t)}) for x in (w, idf[w])])
 
     def weighted(words: Column) -> Column:
-        each = lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda v: v == w)) * F.coalesce(of_word[w], F.lit(rare))).alias("x"))
-        return F.transform(F.array_distinct(words), each)
+        return let(F.array_sort(words), lambda s: let(F.filter(F.transform(s, lambda w, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))), lambda at: runs(s, at)))
+
+    def runs(s: Column, at: Column) -> Column:
+        """Of sorted words, each once with its weight; at: where its run begins."""
+        n = lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i
+        return F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("w"), (n(i, k) * F.coalesce(of_word[F.get(s, i)], F.lit(rare))).alias("x")))
 
     def compared(tf: Column) -> Column:
         norm = F.sqrt(F.aggregate(tf, F.lit(0.0), lambda a, x: a + x["x"] * x["x"]))
