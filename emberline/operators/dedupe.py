@@ -10,18 +10,20 @@ from emberline.functions.text import key_words, slug
 from emberline.sources.stores import checkpointed
 
 
-def containment_pairs(names: DataFrame) -> DataFrame:
-    """(narrow, broad): names (id, name) whose key words hold all key words of another, two at least.
+def containment_pairs(names: DataFrame, run: str | None = None) -> DataFrame:
+    """(narrow, broad): names (id, name) whose key words hold all key words of another, two at least; with `run`, a column of
+    names, only of the same run. Ids are of any type.
 
-    A broad name meets only names that hold its rarest key word, so frequent words make no pairs.
+    A broad name meets only names that hold its rarest key word (of its run), so frequent words make no pairs.
     """
-    w = names.select("id", key_words(F.col("name")).alias("w")).where(F.size("w") >= 2)
-    each = w.select("id", F.explode("w").alias("k"))
-    often = each.groupBy("k").agg(F.count("*").alias("n"))
-    rare = each.join(often, "k").groupBy("id").agg(F.min(F.struct("n", "k")).alias("r")).select("id", F.col("r.k").alias("k"))
-    broad = w.join(rare, "id").select(F.col("id").alias("broad"), F.col("w").alias("bw"), "k")
-    narrow = each.join(w, "id").select(F.col("id").alias("narrow"), F.col("w").alias("nw"), "k")
-    return broad.join(narrow, "k").where((F.col("broad") != F.col("narrow")) & (F.size(F.array_except("bw", "nw")) == 0)).select("narrow", "broad")
+    of = [run] if run else []
+    w = names.select(*of, "id", key_words(F.col("name")).alias("w")).where(F.size("w") >= 2)
+    each = w.select(*of, "id", F.explode("w").alias("k"))
+    often = each.groupBy(*of, "k").agg(F.count("*").alias("n"))
+    rare = each.join(often, [*of, "k"]).groupBy(*of, "id").agg(F.min(F.struct("n", "k")).alias("r")).select(*of, "id", F.col("r.k").alias("k"))
+    broad = w.join(rare, [*of, "id"]).select(*of, F.col("id").alias("broad"), F.col("w").alias("bw"), "k")
+    narrow = each.join(w, [*of, "id"]).select(*of, F.col("id").alias("narrow"), F.col("w").alias("nw"), "k")
+    return broad.join(narrow, [*of, "k"]).where((F.col("broad") != F.col("narrow")) & (F.size(F.array_except("bw", "nw")) == 0)).select("narrow", "broad")
 
 
 def title_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
@@ -55,10 +57,9 @@ def without_variants(scored: DataFrame) -> DataFrame:
     run at once; there are as many rounds as the longest chain has names. Places are numbered within the run at the end.
     """
     ids = scored.select("run", "id", "name", "score", F.size(key_words(F.col("name"))).alias("n"))
-    near = containment_pairs(scored.select("id", "name"))
+    near = containment_pairs(scored.select("id", "name", "run"), "run")
     both = near.select(F.col("narrow").alias("id"), F.col("broad").alias("other")).union(near.select(F.col("broad").alias("id"), F.col("narrow").alias("other"))).distinct()
-    of_run = scored.select("id", "run")
-    both = checkpointed(both.join(of_run, "id").join(of_run.select(F.col("id").alias("other"), F.col("run").alias("run2")), "other").where("run = run2").select("id", "other"))
+    both = checkpointed(both)
     chain = checkpointed(_chains(ids.select("id"), both))
     order = W.partitionBy("run", "chain").orderBy(F.desc("score"), "id")
     left = checkpointed(ids.join(chain, "id").withColumn("step", F.row_number().over(order)))
@@ -68,7 +69,7 @@ def without_variants(scored: DataFrame) -> DataFrame:
     for step in range(2, steps + 1):
         new = left.where(F.col("step") == step).select(F.col("run").alias("r"), F.col("chain").alias("c"), F.col("id").alias("new"), F.col("score").alias("s"), F.col("n").alias("m"))
         met = held.join(both, "id").join(new, (F.col("other") == F.col("new")) & (F.col("chain") == F.col("c")))
-        first = met.groupBy("new", "m").agg(F.max_by(F.struct("first", "n"), F.struct("at", -F.col("first"))).alias("place"))
+        first = met.groupBy("new", "m").agg(F.min_by(F.struct("first", "n"), F.struct(-F.col("at"), "first")).alias("place"))
         moved = first.where("m > place.n").select(F.col("place.first").alias("first"), "new", "m")
         kept = held.join(moved, "first", "left").select("run", "chain", "at", "first", F.coalesce("new", "id").alias("id"), F.coalesce("m", "n").alias("n"))
         alone = new.join(first.select("new"), "new", "left_anti").select("r", "c", "s", F.col("new").alias("first"), "new", "m")
@@ -82,12 +83,12 @@ def _chains(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     chain = ids.select("id", F.col("id").alias("chain"))
     while True:
         near = pairs.join(chain.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("chain").alias("least"))
-        lower = chain.join(near, "id", "left").select("id", F.least("chain", "least").alias("chain"))
-        jump = lower.join(lower.select(F.col("id").alias("chain"), F.col("chain").alias("root")), "chain").select("id", "root")
-        new = checkpointed(jump.select("id", F.col("root").alias("chain")))
-        if new.agg(F.sum("chain")).first()[0] == chain.agg(F.sum("chain")).first()[0]:
-            return new
-        chain = new
+        lower = chain.join(near, "id", "left").select("id", F.col("chain").alias("was"), F.least("chain", "least").alias("chain"))
+        jump = lower.join(lower.select(F.col("id").alias("chain"), F.col("chain").alias("root")), "chain").select("id", "was", "root")
+        new = checkpointed(jump.select("id", F.col("root").alias("chain"), (F.col("root") != F.col("was")).alias("moved")))
+        chain = new.select("id", "chain")
+        if new.where("moved").isEmpty():
+            return chain
 
 
 def greedy_suppressed(ranked: DataFrame, pairs: DataFrame) -> DataFrame:

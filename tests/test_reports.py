@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from emberline.operators import names, reports, rules
+from emberline.operators import dedupe, names, reports, rules
 from emberline.sources import readers
 
 
@@ -66,3 +66,13 @@ def test_type_counts_run_files_and_limits(spark, tmp_path):
     assert [r.run_id for r in good.collect()] == ["1"] and sorted(r.raw for r in bad.collect()) == ['{"query": "no id"}', "{broken\n"]
     (tmp_path / "l.json").write_text('{"name": "mature_min", "value": 70}\n{"name": "hype_ratio_min", "value": 0.25}\n{"name": "other", "value": 1}\n')
     assert rules.limits_of(readers.dimension(spark, str(tmp_path / "l.json"), "name string, value double")) == rules.Limits(mature_min=70, hype_ratio_min=0.25)
+
+
+def test_variants_of_string_ids_stay_in_their_run(spark):
+    rows = [("a", "x1", "kelp farm robots", 0.9), ("a", "x2", "kelp farm", 0.8), ("b", "x3", "kelp farm robots", 0.7), ("b", "x4", "kelp farm robots deep", 0.6), ("b", "x5", "peat wall", 0.5)]
+    df = spark.createDataFrame(rows, "run string, id string, name string, score double")
+    assert sorted(map(tuple, dedupe.containment_pairs(df, "run").collect())) == [("x1", "x2"), ("x4", "x3")]
+    got = sorted((r.run, r.id, r.place) for r in dedupe.without_variants(df).collect())
+    large = spark.createDataFrame([(r, 9_000_000_000_000_000_000 + i, n, s) for i, (r, _, n, s) in enumerate(rows)], "run string, id long, name string, score double")
+    want = sorted((r.run, f"x{r.id - 9_000_000_000_000_000_000 + 1}", r.place) for r in dedupe.without_variants(large).collect())
+    assert got == want == [("a", "x1", 0), ("b", "x4", 0), ("b", "x5", 1)]
