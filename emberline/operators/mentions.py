@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.text import companies as companies_of
-from emberline.functions.text import is_big_company, let, mentions
+from emberline.functions.text import is_big_company, mentions
 
 TOKEN = r"[\p{L}\p{N}_-]+"
 
@@ -19,17 +19,37 @@ def phrase_key(text: Column) -> Column:
     return F.array_join(tokens(text), " ")
 
 
+def head_filter(heads: DataFrame, slots: int = 1 << 18) -> Column:
+    """A column of one byte a slot, 1 where a head (a 64-bit hash) of `heads` falls: with at_slot() it tells, inside the scan,
+    heads that are surely not among them. Its size is `slots` bytes whatever the number of heads; the more of them, the less it
+    tells."""
+    taken = bytearray(slots)
+    for r in heads.select(F.pmod("head", F.lit(slots)).alias("at")).distinct().toLocalIterator():  # no more rows than slots
+        taken[r["at"]] = 1
+    return F.lit(bytes(taken))
+
+
+def at_slot(taken: Column, head: Column, slots: int = 1 << 18) -> Column:
+    """Whether a head may be one of head_filter()'s."""
+    return F.substring(taken, F.pmod(head, F.lit(slots)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def term_mentions(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, doc_id): documents in which all of a term's tokens occur in a row.
 
     Terms are keyed by their first two tokens (or one), documents give the pairs of neighbours they have: the join is by
-    equality on hashes, one row for a distinct pair, and no phrase is built. Whether the whole phrase occurs is then looked up in
-    the document's tokens; a document's tokens are joined to its found heads only.
+    equality on hashes, one row for a distinct pair that the terms' filter lets through, so that documents without a hit send
+    nothing. Whether the whole phrase occurs is then looked up in the document's tokens; a document's tokens are joined to its
+    found heads only.
     """
     keyed = terms.select("term", tokens(F.col("term")).alias("w")).where(F.size("w") > 0)
     heads = keyed.select("term", F.array_join("w", " ").alias("gram"), F.size("w").alias("k"), F.xxhash64(F.get("w", F.lit(0)), F.coalesce(F.get("w", F.lit(1)), F.lit(""))).alias("head"))
-    text_tokens = let(tokens(F.col(text)), lambda t: F.concat(F.transform(t, lambda x: F.xxhash64(x, F.lit(""))), F.zip_with(t, F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1))), lambda a, b: F.xxhash64(a, F.coalesce(b, F.lit(""))))))
-    each = docs.select(doc_id, F.explode(F.array_distinct(text_tokens)).alias("head"))
+    taken = head_filter(heads)
+    t = docs.select(doc_id, tokens(F.col(text)).alias("t"))
+    pairs = t.select(doc_id, F.inline(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(1))).alias("b"))))
+    hashed = pairs.select(doc_id, F.xxhash64("a", F.lit("")).alias("one"), F.xxhash64("a", F.coalesce("b", F.lit(""))).alias("two"))
+    hits = hashed.where(at_slot(taken, F.col("one")) | at_slot(taken, F.col("two")))
+    each = hits.select(doc_id, F.explode(F.array("one", "two")).alias("head")).distinct()
     found = each.join(heads, "head").select(doc_id, "term", "gram", "k")
     short = found.where("k <= 2").select("term", doc_id)
     asked = found.where("k > 2").groupBy(doc_id).agg(F.collect_set(F.struct("term", "gram")).alias("asked"))
