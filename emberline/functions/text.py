@@ -227,6 +227,38 @@ def grouped_number(n: Column) -> Column:
     return F.replace(F.format_number(n, 0), F.lit(","), F.lit(" "))
 
 
+def reason_texts() -> Column:
+    """map<feature, text>: what a reader is told of each feature of a row of the feature table (total_pubs, pubs_last_year,
+    growth_3y, recent_share, first_seen_year, news_total, news_recent, news_to_science_ratio, has_wikipedia, preprint_share).
+
+    Counts are grouped by threes, absent ones said to be so; absent shares, growth and ratios read as 0, an absent
+    first year as such; percentages are rounded half to even."""
+    count = lambda c: F.coalesce(grouped_number(F.floor(F.col(c)).cast("bigint")), F.lit(L.NO_DATA))
+    percent = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)) * 100).cast("bigint").cast("string")
+    value = {
+        "log_total_pubs": count("total_pubs"),
+        "log_pubs_last_year": count("pubs_last_year"),
+        "growth_3y": percent("growth_3y"),
+        "recent_share": percent("recent_share"),
+        "age_years": F.coalesce(F.col("first_seen_year").cast("string"), F.lit(L.NO_DATA)),
+        "log_news_total": count("news_total"),
+        "log_news_recent": count("news_recent"),
+        "news_to_science": F.format_string("%.2f", F.coalesce(F.col("news_to_science_ratio").cast("double"), F.lit(0.0))),
+        "preprint_share": percent("preprint_share"),
+    }
+    made = []
+    for name, text in L.REASON_TEXTS.items():
+        head, tail = text.split("{}")
+        made += [F.lit(name), F.concat(F.lit(head), value[name], F.lit(tail))]
+    yes, no = L.WIKIPEDIA_TEXTS[True], L.WIKIPEDIA_TEXTS[False]
+    made += [F.lit("has_wikipedia"), F.when(F.coalesce(F.col("has_wikipedia"), F.lit(False)), yes).otherwise(no)]
+    return F.create_map(*made)
+
+
+#: The reader's feature for each input of the heuristic score.
+TOLD_AS = {"total_pubs": "log_total_pubs", "first_seen_year": "age_years", "news_to_science_ratio": "news_to_science"}
+
+
 def confidence(score: Column) -> Column:
     return F.when(score > 0.75, "high").when(score > 0.5, "medium").when(score.isNotNull(), "low")
 

@@ -17,3 +17,17 @@ STARTUP_NEWS = r"\b(raises?|raised|funding|seed|series [a-d]|pre-seed|emerges? f
 STAGES = {"research": ["концепц", "исследован"], "prototype": ["прототип", "poc", "пилот"], "product": ["раннее внедрение", "ранние внедрения", "ранняя серия", "серийн"], "mass": ["массов"]}
 PLACEHOLDER = r"\b(?:фраза|phrase|name|название)\s*\d"
 ANALYTICAL_TYPES = ["report", "gov"]
+# What a reader sees for each feature; {} is the feature's value as reason_text() words it.
+REASON_TEXTS = {
+    "log_total_pubs": "Всего публикаций: {}",
+    "log_pubs_last_year": "Публикаций за последний год: {}",
+    "growth_3y": "Публикации растут на {}% в год",
+    "recent_share": "{}% публикаций — за последние 3 года",
+    "age_years": "Первые публикации — {} г.",
+    "log_news_total": "Упоминаний в техмедиа: {}",
+    "log_news_recent": "Упоминаний в техмедиа за 3 года: {}",
+    "news_to_science": "Медиа-упоминаний на одну научную работу: {}",
+    "preprint_share": "{}% публикаций — препринты",
+}
+NO_DATA = "нет данных"
+WIKIPEDIA_TEXTS = {True: "Есть статья в Википедии", False: "Нет статьи в Википедии"}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from emberline.functions.text import key_words, slug
+from emberline.functions.text import key_words, mentions, slug
+from emberline.operators.mentions import term_mentions
 from emberline.sources.stores import checkpointed
 
 
@@ -26,6 +27,26 @@ def containment_pairs(names: DataFrame, run: str | None = None) -> DataFrame:
     return broad.join(narrow, [*of, "k"]).where((F.col("broad") != F.col("narrow")) & (F.size(F.array_except("bw", "nw")) == 0)).select("narrow", "broad")
 
 
+def cards_naming(cards: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, id, by): which cards (id, name, description) name the technology of which items (item, term), "name" or
+    "description".
+
+    By name: both have two key words at least, and the card's hold all of the term's; a term meets only cards that hold its
+    rarest key word. Else by description: the term occurs in it as whole words; descriptions meet terms by their tokens. Null
+    names, descriptions and terms name nothing; an item with several terms counts by any.
+    """
+    terms = items.select("item", key_words(F.col("term")).alias("w")).where(F.size("w") >= 2)
+    named = cards.select("id", key_words(F.col("name")).alias("cw")).where(F.size("cw") >= 2)
+    each = named.select("id", "cw", F.explode("cw").alias("k"))
+    often = each.groupBy("k").agg(F.count("*").alias("n"))
+    rare = terms.select("item", "w", F.explode("w").alias("k")).join(often, "k", "left").groupBy("item", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "k")).alias("r")).select("item", "w", F.col("r.k").alias("k"))
+    by_name = rare.join(each, "k").where(F.size(F.array_except("w", "cw")) == 0).select("item", "id", F.lit("name").alias("by"))
+    asked = items.select("item", "term").where("term is not null").distinct()
+    hits = term_mentions(cards.select("id", "description"), asked.select("term").distinct(), "id", "description").join(asked, "term")
+    by_text = hits.join(cards.select("id", "description"), "id").where(mentions(F.col("description"), F.col("term"))).select("item", "id", F.lit("description").alias("by"))
+    return by_name.union(by_text).groupBy("item", "id").agg(F.max("by").alias("by"))  # name before description
+
+
 def title_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, jaccard) of (a, title) and (b, title) with a token Jaccard of at least `least`, by shared rare tokens.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from emberline.functions.text import TOLD_AS, reason_texts
 from emberline.sources.stores import checkpointed
 
 
@@ -37,6 +38,16 @@ def heuristic(features: DataFrame, as_of_year: int) -> DataFrame:
     return f.withColumn("score", F.round(1 / (1 + F.exp(-total)), 4)).withColumn("reasons", top).drop("_c")
 
 
+def told(scored: DataFrame) -> DataFrame:
+    """heuristic()'s rows with a text for each reason: reasons become array<struct<feature, contribution, text>>; a feature that
+    readers aren't told of has a null text."""
+    names = F.create_map(*[F.lit(x) for pair in TOLD_AS.items() for x in pair])
+    rows = scored.withColumn("_texts", reason_texts())
+    name = lambda f: F.coalesce(F.try_element_at(names, f), f)
+    each = F.transform("reasons", lambda x: F.struct(x["feature"].alias("feature"), x["contribution"].alias("contribution"), F.try_element_at(F.col("_texts"), name(x["feature"])).alias("text")))
+    return rows.withColumn("reasons", each).drop("_texts")
+
+
 def first_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key; the key's hash spreads the work, ties end with the order's last column."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")

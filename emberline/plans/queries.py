@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from emberline.functions import text as X
 from emberline.functions import wordlists as L
-from emberline.operators import dedupe, evidence, features, mentions, ml, names as proper, ranking, reports, rules, similar
+from emberline.operators import dedupe, evidence, features, footprints, mentions, ml, names as proper, ranking, reports, rules, similar
 from emberline.sources import readers, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,6 +474,18 @@ def w8_reasons(spark, d):
     return s.select("term", F.posexplode("reasons").alias("place", "r")).select("term", "place", "r.feature", "r.contribution")
 
 
+REASON_SQL = """case feature when 'growth_3y' then 'Публикации растут на ' || cast(round_even(coalesce(growth_3y, 0) * 100, 0) as bigint) || '% в год'
+  when 'total_pubs' then 'Всего публикаций: ' || replace(format('{:,}', total_pubs), ',', ' ')
+  when 'first_seen_year' then 'Первые публикации — ' || coalesce(first_seen_year::varchar, 'нет данных') || ' г.'
+  else 'Медиа-упоминаний на одну научную работу: ' || format('{:.2f}', coalesce(news_to_science_ratio, 0)::double) end"""
+
+
+@query(f"with {SCORED}, u as (select term, total_pubs, growth_3y, first_seen_year, news_to_science_ratio, unnest([{{'feature': 'growth_3y', 'c': c_growth::double}}, {{'feature': 'total_pubs', 'c': c_pubs::double}}, {{'feature': 'first_seen_year', 'c': c_age::double}}, {{'feature': 'news_to_science_ratio', 'c': c_ratio::double}}], recursive := true) from scored), r as (select *, row_number() over (partition by term order by -abs(c), feature) as rank from u where c <> 0) select term, cast(rank - 1 as int) as place, feature, {REASON_SQL} as text from r where rank <= 3")
+def w8_f20_reason_texts(spark, d):
+    s = ranking.told(ranking.heuristic(table(spark, d), AS_OF).withColumn("has_wikipedia", F.lit(None).cast("boolean")))
+    return s.select("term", F.posexplode("reasons").alias("place", "r")).select("term", "place", "r.feature", "r.text")
+
+
 @query("with p as (select vec_id, 1 / (1 + exp(-list_sum(list_transform(embedding, lambda x, i: x::double * (i % 5 - 2) / 4.0)))) as p from embeddings) select vec_id, round(p, 4) as p, round(0.25 * 0.4 + 0.75 * p, 4) as blended, round(p - 0.5, 4) as moved from p")
 def m2_m3_name_score_and_blend(spark, d):
     coef = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i % 5 - 2) / F.lit(4.0))
@@ -693,6 +705,33 @@ def s14_term_statistics(spark, d):
     return stores.assembled(p, {"news": w}, "term").select("term", "pubs", "news", F.array_join("errors", ",").alias("errors"))
 
 
+LINKED_SQL = "l as (select distinct l_orderkey as doc, p_name as term, year(l_shipdate)::int as year, l_returnflag as flag, l_shipdate from lineitem join part on l_partkey = p_partkey)"
+
+
+@query(f"with {LINKED_SQL} select term, year, count(distinct (doc, year)) as n from l where flag <> 'R' or l_shipdate < date '1995-01-01' group by all")
+def a1_folded_counts(spark, d):
+    """Counts of a first landing, then a second one in which new documents come and returned ones of the first, from 1995 on, go."""
+    rows = items(spark, d).select(F.col("l_orderkey").alias("doc"), "term", F.col("l_shipdate").alias("day"), F.col("l_returnflag").alias("flag"))
+    first, gone = rows.where("doc % 3 > 0"), "flag = 'R' and day >= date '1995-01-01'"
+    stored = footprints.folded(None, footprints.count_deltas(None, first, "doc", "term", "day"))
+    touched = first.where(gone).select("doc").distinct()
+    before, kept = first.join(touched, "doc", "left_semi"), first.where(f"not ({gone})").join(touched, "doc", "left_semi")
+    new = rows.where(f"doc % 3 = 0 and not ({gone})")
+    deltas = footprints.folded(footprints.count_deltas(before, kept, "doc", "term", "day"), footprints.count_deltas(None, new, "doc", "term", "day"))
+    return footprints.folded(stored, deltas)
+
+
+@query(f"with {FEATURES} select term, total_pubs, growth_3y, first_seen_year, pubs_last_year, recent_share from f")
+def s14_refreshed_features(spark, d):
+    """Features as of a first landing, of which only the terms that the second one touches are computed anew."""
+    late = F.col("l_shipdate") >= F.lit("1998-09-01").cast("date")
+    count = lambda rows: features.yearly_counts(rows, "term", "l_shipdate")
+    of = lambda series: features.series_features(series, AS_OF)
+    every = items(spark, d)
+    stored, deltas = count(every.where(~late)), count(every.where(late))
+    return footprints.refreshed(of(stored), deltas.select("term").distinct(), footprints.folded(stored, deltas), of)
+
+
 @query("select o_orderkey from orders where o_orderdate >= date '1998-08-02' - 1095")
 def p2_recent_documents(spark, d):
     return T(spark, d, "orders").where(X.within_years(F.col("o_orderdate"), F.lit("1998-08-02").cast("date"), 3)).select("o_orderkey")
@@ -779,6 +818,17 @@ def j15_cards_naming_a_technology(spark, d):
     return dedupe.containment_pairs(variant_names(spark, d)).groupBy(F.col("broad").alias("item")).agg(F.count("*").alias("cards"))
 
 
+KEYS_SQL = f"list_distinct(list_transform(list_filter(regexp_extract_all({{n}}, '[A-Za-z0-9]+'), lambda x: length(x) > 2 and ({STEM.format(w='lower(x)')}) not in ({quoted(L.KEY_STOPS)})), lambda x: {STEM.format(w='lower(x)')}))"
+
+
+@query(rf"with {DOCS}, i as (select item_id as item, array_to_string(string_split(split_part(text, chr(10), 1), ' ')[2:3], ' ') as term from benchmark), c as (select doc_id as id, {KEYS_SQL.format(n='title')} as cw, lower(text) as t from d), iw as (select item, lower(term) as term, {KEYS_SQL.format(n='term')} as w from i where length(term) > 0), hit as (select item, id, len(w) >= 2 and len(cw) >= 2 and list_has_all(cw, w) as named, contains(t, term) and regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_-])' || regexp_replace(term, '([^\p{{L}}\p{{N}}\s])', '\\\1', 'g') || '($|[^\p{{L}}\p{{N}}_-])') as told from c, iw) select item, id, case when named then 'name' else 'description' end as by from hit where named or told")
+def j15_cards_by_name_or_description(spark, d):
+    cards = titled(spark, d).select(F.col("doc_id").alias("id"), F.col("title").alias("name"), F.col("text").alias("description"))
+    w = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
+    terms = T(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.array_join(F.slice(w, 2, 2), " ").alias("term"))
+    return dedupe.cards_naming(cards, terms)
+
+
 @query(f"with {TERM_SQL}, h as (select lang, count(distinct term) as found from hits group by rollup (lang)), p as (select lang, count(distinct split_part(split_part(text, chr(10), 1), ' ', 1)) as phrases, count(*) as documents from documents group by rollup (lang)) select coalesce(p.lang, 'total') as domain, phrases, documents, coalesce(found, 0) as found, (select count(*) from tk where len(w) > 0) as items from p left join h on p.lang is not distinct from h.lang")
 def a23_ceiling(spark, d):
     """How many of the items that were looked for the collected documents mention at all, by domain and in total."""
