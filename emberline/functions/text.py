@@ -232,7 +232,7 @@ def reason_texts() -> Column:
     growth_3y, recent_share, first_seen_year, news_total, news_recent, news_to_science_ratio, has_wikipedia, preprint_share).
 
     Counts are grouped by threes, absent ones said to be so; absent shares, growth and ratios read as 0, an absent
-    first year as such; percentages are rounded half to even."""
+    first year as such; percentages and ratios are rounded half to even, by the exact value of the double."""
     count = lambda c: F.coalesce(grouped_number(F.floor(F.col(c)).cast("bigint")), F.lit(L.NO_DATA))
     percent = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)) * 100).cast("bigint").cast("string")
     value = {
@@ -243,7 +243,7 @@ def reason_texts() -> Column:
         "age_years": F.coalesce(F.col("first_seen_year").cast("string"), F.lit(L.NO_DATA)),
         "log_news_total": count("news_total"),
         "log_news_recent": count("news_recent"),
-        "news_to_science": F.format_string("%.2f", F.coalesce(F.col("news_to_science_ratio").cast("double"), F.lit(0.0))),
+        "news_to_science": F.replace(F.format_number(F.coalesce(F.col("news_to_science_ratio").cast("double"), F.lit(0.0)), 2), F.lit(","), F.lit("")),
         "preprint_share": percent("preprint_share"),
     }
     made = []
