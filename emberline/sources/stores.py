@@ -43,7 +43,7 @@ def upserted(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataF
     return latest(both, key, F.struct(version, "_new")).drop("_new")
 
 
-def _stored(spark, path: str, schema) -> DataFrame | None:
+def stored_rows(spark, path: str, schema) -> DataFrame | None:
     """The table at path, or None before its first write."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,7 +57,7 @@ def replace_partitions(path: str, new: DataFrame, partition: str, merge: Callabl
     files of all others as they are. new's column `partition` names them; its distinct values, which come to the driver to prune
     the read, are as many as the partitions that a batch touches."""
     spark = new.sparkSession
-    stored = _stored(spark, path, new.schema)
+    stored = stored_rows(spark, path, new.schema)
     new = checkpointed(new)
     if stored is not None:
         touched = [r[0] for r in new.select(partition).distinct().collect()]
