@@ -10,6 +10,9 @@ from emberline.functions.text import key_words, mentions, slug
 from emberline.operators.mentions import term_mentions
 from emberline.sources.stores import checkpointed
 
+#: Members of a class that go together when pairs of classes give the pairs of their members.
+CHUNK = 256
+
 
 def containment_pairs(names: DataFrame, run: str | None = None) -> DataFrame:
     """(narrow, broad): names (id, name) whose key words hold all key words of another, two at least; with `run`, a column of
@@ -48,25 +51,43 @@ def cards_naming(cards: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def title_matches(left: DataFrame, right: DataFrame, least: float = 0.6) -> DataFrame:
-    """(a, b, jaccard) of (a, title) and (b, title) with a token Jaccard of at least `least`, by shared rare tokens.
+    """(a, b, jaccard) of (a, title) and (b, title) with a token Jaccard (to 4 places) of at least `least`, by shared rare tokens.
 
-    A pair of that Jaccard shares one of the size - ceil(least * size) + 1 rarest tokens of both titles (prefix filter), and
-    neither has less than `least` of the other's tokens. Only ids and sizes pass through the join by token.
+    Titles with the same tokens are one class, named by a hash of them; classes are compared once and then give the pairs of their
+    members, CHUNK by CHUNK, so that large groups of copies are spread over all tasks. Classes of that Jaccard share one of the
+    size - ceil(least * size) + 1 rarest tokens of both (prefix filter), neither has less than `least` of the other's tokens, and
+    the tokens that follow the shared one leave room for the overlap. Only hashes and sizes pass through the join by token.
     """
-    toks = lambda d, n: d.select(n, F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), 0)).alias("t")).where(F.size("t") > 0)
-    a, b = toks(left, "a"), toks(right, "b")
-    freq = a.select(F.explode("t").alias("k")).union(b.select(F.explode("t").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
-
-    def heads(rows: DataFrame, key: str) -> DataFrame:
-        each = rows.select(key, F.size("t").alias(f"n{key}"), F.explode("t").alias("k")).join(freq, "k")
-        rare = each.groupBy(key, f"n{key}").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("o"))
-        return rare.select(key, f"n{key}", F.explode(F.slice("o", F.lit(1), F.size("o") - F.ceil(least * F.size("o")).cast("int") + 1)).alias("x")).select(key, f"n{key}", "x.k")
-
-    sized = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    pairs = heads(a, "a").join(heads(b, "b"), "k").where(sized).select("a", "b").distinct()
-    j = pairs.join(a.select("a", F.col("t").alias("ta")), "a").join(b.select("b", F.col("t").alias("tb")), "b")
+    least_exact = least - 5e-5  # rounded up to `least`
+
+    def titles(rows: DataFrame, key: str) -> DataFrame:
+        t = rows.select(key, F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), 0))).alias("t")).where(F.size("t") > 0)
+        return t.select(key, F.sha2(F.array_join("t", " "), 256).alias(f"of_{key}"), "t")
+
+    a, b = titles(left, "a"), titles(right, "b")
+    classes = {key: checkpointed(rows.groupBy(f"of_{key}").agg(F.first("t").alias("t"), F.count("*").alias("n"))) for key, rows in (("a", a), ("b", b))}
+    freq = classes["a"].select(F.explode("t").alias("k")).union(classes["b"].select(F.explode("t").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
+
+    def heads(key: str) -> DataFrame:
+        each = classes[key].select(f"of_{key}", F.size("t").alias(f"n{key}"), F.explode("t").alias("k")).join(freq, "k")
+        rare = each.groupBy(f"of_{key}", f"n{key}").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("o"))
+        prefix = F.slice("o", F.lit(1), F.size("o") - F.ceil(least_exact * F.size("o")).cast("int") + 1)
+        return rare.select(f"of_{key}", f"n{key}", F.posexplode(prefix).alias("at", "x")).select(f"of_{key}", f"n{key}", (F.col(f"n{key}") - F.col("at")).alias(f"rest_{key}"), "x.k")
+
+    def members(rows: DataFrame, key: str) -> DataFrame:
+        sized = rows.select(key, f"of_{key}").join(classes[key].select(f"of_{key}", "n"), f"of_{key}")
+        chunk = F.pmod(F.xxhash64(key), F.ceil(F.col("n") / CHUNK)).alias("chunk")
+        return sized.groupBy(f"of_{key}", chunk).agg(F.collect_list(F.struct(key)).alias(f"all_{key}")).drop("chunk")
+
+    sized = (F.col("na") >= least_exact * F.col("nb")) & (F.col("nb") >= least_exact * F.col("na"))
+    room = F.least("rest_a", "rest_b") >= least_exact / (1 + least_exact) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = heads("a").join(heads("b"), "k").where(sized & room).select("of_a", "of_b").distinct()
+    j = pairs.join(classes["a"].select("of_a", F.col("t").alias("ta")), "of_a").join(classes["b"].select("of_b", F.col("t").alias("tb")), "of_b")
     score = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return j.select("a", "b", F.round(score, 4).alias("jaccard")).where(F.col("jaccard") >= least)
+    near = checkpointed(j.select("of_a", "of_b", F.round(score, 4).alias("jaccard")).where(F.col("jaccard") >= least))
+    chunks = near.join(members(a, "a"), "of_a").join(members(b, "b"), "of_b").select("all_a", "all_b", "jaccard")
+    dealt = chunks.repartition(2 * chunks.sparkSession.sparkContext.defaultParallelism)  # by turns: a pair of chunks makes CHUNK^2 rows at most
+    return dealt.select(F.explode("all_a").alias("x"), "all_b", "jaccard").select("x", F.explode("all_b").alias("y"), "jaccard").select("x.a", "y.b", "jaccard")
 
 
 def without_variants(scored: DataFrame) -> DataFrame:

@@ -125,3 +125,14 @@ def test_heuristic_without_features_is_neutral(spark):
     f = spark.createDataFrame([("x", None, None, None, None)], "term string, total_pubs long, growth_3y double, first_seen_year int, news_to_science_ratio double")
     r = ranking.heuristic(f, 2001).first()
     assert r.score == 0.5 and r.reasons == []
+
+
+def test_titles_by_classes_and_rounded_jaccard(spark, monkeypatch):
+    """Copies give all their pairs, and a Jaccard of 2701 / 4502 is 0.6 to 4 places, as in the query's SQL."""
+    monkeypatch.setattr(dedupe, "CHUNK", 7)
+    words = [f"w{i}" for i in range(4502)]
+    left = [(i, "Alpha beta gamma" if i % 2 else "delta Epsilon") for i in range(40)] + [(100, " ".join(words[:2701])), (101, "..."), (102, None)]
+    right = [(i, "gamma, beta ALPHA beta" if i % 2 else "alpha beta gamma zeta") for i in range(50)] + [(100, " ".join(words)), (101, ""), (102, "eta")]
+    got = [tuple(r) for r in dedupe.title_matches(spark.createDataFrame(left, "a long, title string"), spark.createDataFrame(right, "b long, title string")).collect()]
+    want = [(a, b, 1.0 if b % 2 else 0.75) for a in range(1, 40, 2) for b in range(50)] + [(100, 100, 0.6)]
+    assert sorted(got) == sorted(want)
