@@ -116,3 +116,33 @@ def test_folds_score_every_row_once(spark, fitted):
     scored = ml.out_of_fold(df.select("key", "label", "features"), ml.tree_model(rounds=3), folds=3)
     assert scored.count() == 240 and scored.select("key").distinct().count() == 240
     assert confusion(scored).first().accuracy > 0.7
+
+
+def test_products_as_they_stand_round_as_a_plain_loop(spark):
+    """Vectors that are of unit length to 1e-7 only, and products next to a half of the last place: what SQL's dot product says."""
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        v = [r.gauss(0, 1) for _ in range(8)]
+        n = math.sqrt(sum(x * x for x in v)) * (1 + r.uniform(-4e-3, 4e-3))
+        rows.append((i, [x / n for x in v]))
+    rows += [(200, [0.5, 0.5, 0.5, 0.5, 0, 0, 0, 0]), (201, [0.6001, 0.6, 0.5, 0.1, 0, 0, 0, 0]), (202, [0.59995, 0.8, 0, 0, 0, 0, 0, 0]), (203, [1.0, 0, 0, 0, 0, 0, 0, 0]), (204, [2.0, 0, 0, 0, 0, 0, 0, 0])]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+
+    def score(v, w):
+        total = 0.0
+        for x, y in zip(v, w):
+            total += x * y
+        return math.floor(total * 1e4 + 0.5) / 1e4
+
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {(i, j): score(v, w) for (i, v), (j, w) in combinations(rows, 2) if score(v, w) >= 0.6}
+    for block in (8192, 9):
+        got = {(x.a, x.b): x.cosine for x in similar.cosine_pairs(df, "id", "v", 0.6, pivots=5, block=block, as_unit=True).collect()}
+        assert got == want
+    asked = df.where("id % 5 = 0")
+    both = want | {(j, i): c for (i, j), c in want.items()}
+    for block in (4096, 10):
+        found = similar.cosine_search(asked, df, "id", "v", 0.6, block=block).collect()
+        assert len(found) == len({(x.a, x.b) for x in found})
+        assert {(x.a, x.b): x.cosine for x in found} == {k: c for k, c in both.items() if k[0] % 5 == 0}
