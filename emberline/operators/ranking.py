@@ -135,14 +135,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_search(asked: DataFrame, rows: DataFrame, key: str, vector: str, least: float, blocks: int = 64) -> DataFrame:
-    """(a, b, cosine) of unit vectors: every pair of a query and a row, but itself, with a cosine of at least `least`. Rows are
-    dealt out to blocks by a hash, and each block meets all queries, whose number has to be small against that of the rows."""
-    q = asked.select(F.col(key).alias("a"), F.col(vector).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    r = rows.select(F.col(key).alias("b"), F.col(vector).alias("_y"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
-    return q.join(r, "_block").where("a <> b").select("a", "b", F.round(dot(F.col("_x"), F.col("_y")), 4).alias("cosine")).where(F.col("cosine") >= least)
-
-
 def topic_adjusted(rows: DataFrame, group: str, weight: float) -> DataFrame:
     """rows (group, score, closeness) with the score moved by weight * (closeness - the group's median), within [0, 1]."""
     mid = rows.groupBy(group).agg(F.median("closeness").alias("mid"), F.count("*").alias("size"))
