@@ -14,16 +14,14 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from emberline.llm.common import text_of, unlink, written
-from emberline.llm.omh import DEPTHS, deeper_by, linked
+from emberline.llm.omh import linked
 
 #: Lines of fewer words have no fuzzy partner: at edit similarity 0.8 they are equal. Where the caller doesn't say otherwise, equal ones stay too.
 MIN_WORDS = 4
-#: Keys a line (a power of two), k-mers after the least one by which large buckets are split, and the least edit similarity of a link.
-KEYS, DEPTH, SIMILARITY = 8, DEPTHS[-1], 0.8
+#: Keys a line (a power of two), and the least edit similarity of a link.
+KEYS, SIMILARITY = 8, 0.8
 #: 64-bit words of a line's omh.bound().
 BOUND_LONGS = 2
-#: Orders of its triples by which a line of a large bucket is dealt anew, beside the bucket's own.
-MORE_ORDERS = 5
 
 # A-Z become a-z; other ASCII characters but digits and newlines part words; bytes of other characters belong to words.
 _TABLE = bytes(10 if c == 10 else c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -126,17 +124,6 @@ def line_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return least & ~np.uint64(KEYS - 1) | np.arange(KEYS, dtype=np.uint64)
 
 
-def _deeper(words: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    """16 bits of each of the DEPTH least triples in some of a line's orders, without the least one where that is in the key
-    (numbers below KEYS); 0 where there are no more."""
-    h = _triples(words, np.array([0, len(words)]))
-    out = np.zeros((len(numbers), DEPTH), "<u2")
-    for row, seed, past in zip(out, _seeds(numbers), numbers < KEYS):
-        more = np.sort(_mix(h ^ seed))[int(past) :][:DEPTH]
-        row[: len(more)] = more & np.uint64(0xFFFF)
-    return [row.tobytes() for row in out]
-
-
 def _bounds(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """omh.bound() of each line (rows)."""
     if len(first) < 2:
@@ -203,10 +190,9 @@ def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of_key = Window.partitionBy("key")
     both = own.select("id", F.explode("keys").alias("key"))
     both = both.select("id", "key", F.min("id").over(of_key).alias("id2"), F.max("id").over(of_key).alias("high"), F.count("*").over(of_key).alias("size"))
-    number = F.col("key").bitwiseAND(F.lit(KEYS - 1)).cast("int").alias("j")
-    held = written(both.where("id2 < high").select("id", number, "key", "size", "id2").distinct())
+    held = written(both.where("id2 < high").select("id", "key", "size", "id2").distinct())
     bounds = written(own.groupBy("id").agg(F.min("bound").alias("bound")))
-    _, groups = linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity, deeper_by(_deeper), [KEYS * o for o in range(MORE_ORDERS + 1)], BOUND_LONGS)
+    _, groups = linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity, BOUND_LONGS)
     unlink(held)
     unlink(bounds)
     return groups

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,9 @@ from emberline.llm.common import components, hashes_of, text_of, unlink, words_o
 K, SHORT_K, SHORT_WORDS = 3, 2, 50
 #: Sketches a document, k-mers a sketch, and the least edit similarity of a link.
 SKETCHES, KEPT, SIMILARITY = 40, 2, 0.8
-#: Buckets up to this size give all their pairs. Larger ones link to a centre first, and are then split by so many further k-mers of
-#: their sketch, in the order in which they follow the least ones.
-SMALL_BUCKET, DEPTHS = 128, (2, 8)
+#: Buckets up to this size give all their pairs. Larger ones link to a centre first; members of those that are not one component
+#: by then meet by their rarest words, counted in so many slots.
+SMALL_BUCKET, SLOTS = 128, 1 << 16
 #: 64-bit words of a document's bound().
 BOUND_LONGS = 8
 #: Words up to which no bounds are tried before the alignment, since it costs less.
@@ -30,8 +29,7 @@ SHORT_ALIGNED = 100
 BIT_WORDS, FEW_EDITS = 20_000, 64
 #: Pairs up to which they are sent to the texts (some 20 MB an executor); beyond, texts and pairs are both shuffled.
 FEW_PAIRS = 200_000
-#: How many times more centres each further round beyond the greatest depth has, and the buckets that give all their pairs from the
-#: second such round on.
+#: How many times more centres each round after the first has, and the buckets that give all their pairs from the third round on.
 GROWTH, LAST_BUCKET = 8, 2048
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -93,34 +91,38 @@ def sketch(words: np.ndarray, k: int, sketches: int = SKETCHES, kept: int = KEPT
     return keys
 
 
-def deeper(words: np.ndarray, k: int, numbers: np.ndarray, kept: int = KEPT, depth: int = DEPTHS[-1]) -> np.ndarray:
-    """16 bits of each of the next `depth` k-mers of some sketches (rows) after the kept ones; 0 where a text has no more."""
-    label, at = least_kmers(words, k, numbers, kept + depth)
-    out = np.zeros((len(numbers), depth), "<u2")
-    more = label[at[:, kept:]]
-    out[:, : more.shape[1]] = more & np.uint64(0xFFFF)
-    return out
+def rare_words(words: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of a text's rarest words, its n-th occurrence of a word being another one than the first: one more than may lack in
+    a text of that edit similarity. Such texts share the similarity's part of the longer one's words at least, so each two of them share
+    one of these labels (prefix filter), whatever order the weights of the SLOTS give; frequent words last make few candidates."""
+    w = words.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        h = _mix(w * _MULT)
+        label = _occurrence_labelled(h)
+    order = np.lexsort((label, weight[h % np.uint64(SLOTS)]))
+    return label[order[: int((1 - similarity) * len(w) + 1e-9) + 1]]
+
+
+def rare_words_of(weight: np.ndarray, similarity: float, kind: str = "<u4"):
+    """rare_words() of a column of codes."""
 
+    @arrow_udf(ArrayType(LongType()))
+    def rare(codes: pa.Array) -> pa.Array:
+        each = [rare_words(np.frombuffer(c.as_buffer(), kind), weight, similarity) for c in codes]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in each])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)))
 
-def _deeper_bytes(words: np.ndarray, j: np.ndarray) -> list[bytes]:
-    """deeper() for sketches numbered through both families of k-mers."""
-    out = [b""] * len(j)
-    for family, k in enumerate((K, SHORT_K)):
-        at = np.flatnonzero(j // SKETCHES == family)
-        if len(at):
-            for i, row in zip(at.tolist(), deeper(words, k, j[at] % SKETCHES)):
-                out[i] = row.tobytes()
-    return out
+    return rare
 
 
-def deeper_by(of: Callable[[np.ndarray, np.ndarray], list[bytes]], kind: str = "<u4"):
-    """A function of two columns, codes (of this kind) and numbers of sketches, that gives each such sketch's deeper() bytes by `of`."""
+def slots_by(kind: str = "<u4"):
+    """The slots of a text's words, each once."""
 
-    @arrow_udf(ArrayType(BinaryType()))
-    def further(codes: pa.Array, js: pa.Array) -> pa.Array:
-        return pa.array([of(np.frombuffer(c.as_buffer(), kind).astype(np.uint64), np.array(j.as_py(), np.int64)) for c, j in zip(codes, js)], pa.list_(pa.binary()))
+    @arrow_udf(ArrayType(LongType()))
+    def slots(codes: pa.Array) -> pa.Array:
+        with np.errstate(over="ignore"):
+            return pa.array([np.unique(_mix(np.frombuffer(c.as_buffer(), kind).astype(np.uint64) * _MULT) % np.uint64(SLOTS)).astype(np.int64) for c in codes], pa.list_(pa.int64()))
 
-    return further
+    return slots
 
 
 @arrow_udf(ArrayType(LongType()))
@@ -369,21 +371,20 @@ def verified(pairs: DataFrame, codes: DataFrame, similarity: float, kind: str =
 
 
 def linked(
-    keys: DataFrame, bounds: DataFrame, codes: DataFrame, similarity: float, further=deeper_by(_deeper_bytes), orders: list[int] = [0], longs: int = BOUND_LONGS, kind: str = "<u4"
+    keys: DataFrame, bounds: DataFrame, codes: DataFrame, similarity: float, longs: int = BOUND_LONGS, kind: str = "<u4"
 ) -> tuple[DataFrame, DataFrame]:
     """(verified links (a, b) that join what all pairs with a common key would join; (id, component) of the ids that have one).
 
-    keys: distinct rows (id, j, key, size, id2) of the keys that are not alone: j the number of the sketch, size how many rows
-    have the key, id2 the least of their ids; bounds: (id, bound), one row an id; codes: (id, rank, codes), words of this kind;
-    if an id comes again, its least rank counts; further: see deeper_by().
+    keys: distinct rows (id, key, size, id2) of the keys that are not alone: size how many rows have the key, id2 the least of
+    their ids; bounds: (id, bound), one row an id; codes: (id, rank, codes), words of this kind; if an id comes again, its least
+    rank counts.
 
     In each bucket all are aligned with the least id; a bucket whose members all match it is done. The others, if they have up
     to SMALL_BUCKET ids, give all pairs but those of two that match the least id. Of the larger ones those that are one
-    component by then are done too, and all members of the rest, matched or not, are dealt anew by the next k-mers of the same
-    sketch (DEPTHS), and of those whose numbers are greater by `orders`: a linked pair keeps together there as often as
-    two of its k-mers agree, whereas those who share just a passage part at the first k-mer of their own. What still is large
-    at the greatest depth is aligned with GROWTH times as many centres a round, or gives all its pairs, until each bucket is one component or all its pairs
-    are made. Ids that are joined already make no pair again, and pairs that bound() rules out are not aligned.
+    component by then are done too. All members of the rest, matched or not, meet anew by their rare_words(), which loses no
+    pair of the similarity: texts that share just a passage have few rare words in common. A rare word that many have is
+    aligned with GROWTH times as many centres a round, or gives all its pairs, until its texts are one component or all their
+    pairs are made. Ids that are joined already make no pair again, and pairs that bound() rules out are not aligned.
     """
 
     def aligned(pairs: DataFrame) -> DataFrame:
@@ -425,20 +426,16 @@ def linked(
     unlink(loose)
     if apart.isEmpty():
         return links, joined
-    # at most the sketches of an id times the orders are gathered by id
-    dealt = keys.where(F.col("size") > SMALL_BUCKET).join(apart, "key").groupBy("id").agg(F.collect_list(F.struct("key", "j")).alias("of"))
-    numbers = F.array_distinct(F.flatten(F.transform("of", lambda x: F.array(*[x["j"] + F.lit(o) for o in orders]))))
-    hot = codes.join(dealt.select("id", "of", numbers.alias("js")).hint("merge"), "id").groupBy("id").agg(F.min_by("codes", "rank").alias("codes"), F.first("of").alias("of"), F.first("js").alias("js"))
-    hot = hot.select("id", "of", F.map_from_arrays("js", further("codes", "js")).alias("ext"))
-    part = lambda x, o: F.struct(F.xxhash64(x["key"], x["j"] + F.lit(o)).alias("start"), F.col("ext")[x["j"] + F.lit(o)].alias("ext"))
-    parts = F.flatten(F.transform("of", lambda x: F.array(*[part(x, o) for o in orders])))
-    held = written(bounded(hot).select("id", "bound", parts.alias("parts")))
-    level = 1
+    hot = keys.where(F.col("size") > SMALL_BUCKET).join(apart, "key").select("id").distinct()
+    hot = written(codes.join(hot.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes")))
+    weight = np.zeros(SLOTS, np.int64)
+    for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
+        weight[r["slot"]] = r["n"]
+    held = written(bounded(hot.select("id", rare_words_of(weight, similarity, kind)("codes").alias("parts"))))
+    unlink(hot)
+    last = 0
     while True:
-        last = level - len(DEPTHS)  # rounds beyond the greatest depth, if positive
-        depth = DEPTHS[min(level, len(DEPTHS)) - 1]
-        rows = held.join(joined, "id", "left").select("id", "bound", F.coalesce("component", "id").alias("c"), F.explode("parts").alias("part"))
-        rows = rows.select("id", "bound", "c", "part", F.xxhash64("part.start", F.substring("part.ext", 1, 2 * depth)).alias("key"))
+        rows = held.join(joined, "id", "left").select("id", "bound", F.coalesce("component", "id").alias("c"), F.explode("parts").alias("key"))
         sized = rows.groupBy("key").agg(F.max(F.struct("id", "c", "bound")).alias("centre"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
         if last > 1:  # buckets whose members all have been centres are done
             sized = sized.where(F.col("n") > GROWTH ** (last - 1))
@@ -461,9 +458,9 @@ def linked(
         links, tried, joined = links.union(found.select("a", "b")), tried.union(pairs.select("a", "b")), _joined_on(joined, found)
         if large.isEmpty():
             return links, joined
-        held = written(large.groupBy("id").agg(F.first("bound").alias("bound"), F.collect_list("part").alias("parts")))
+        held = written(large.groupBy("id").agg(F.first("bound").alias("bound"), F.collect_list("key").alias("parts")))
         unlink(member)
-        level += 1
+        last += 1
 
 
 def _joined_on(joined: DataFrame, found: DataFrame) -> DataFrame:
@@ -501,9 +498,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     least = first.groupBy("d1", "d2").agg(F.min("id").alias("id"))
     keyed = named.select("id", "d1", "d2", "n", "keys", "bound").join(least, ["id", "d1", "d2"], "left_semi").groupBy("id", "d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "keys", "bound")])
     reps = written(keyed)
-    each = reps.select("id", F.posexplode("keys").alias("j", "key"))
+    each = reps.select("id", F.explode("keys").alias("key"))
     sized = each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("id2")).where("size > 1")
-    keys = written(each.join(sized, "key").select("id", "j", "key", "size", "id2"))
+    keys = written(each.join(sized, "key").select("id", "key", "size", "id2"))
     links, joined = linked(keys, reps.select("id", "bound"), named.select("id", F.struct("d1", "d2").alias("rank"), "codes"), similarity)
     unlink(keys)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))

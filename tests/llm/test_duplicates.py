@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from helpers import ODD_DOCS, ODD_SCHEMA, classes, edit_distance, similarity, words
 from pyspark.sql import functions as F
 
@@ -261,3 +262,20 @@ def test_exact_copies_share_a_class(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     per = got.join(docs, "doc_id").groupBy("text").agg(F.count_distinct("class_id").alias("n"))
     assert per.where("n > 1").count() == 0
+
+
+def test_large_buckets_lose_no_pair(spark):
+    """One bucket of 400 texts that share a passage; every second is the one before it, edited up to the threshold."""
+    r = np.random.default_rng(11)
+    passage, rows = r.integers(1, 1 << 63, 20).astype(np.uint64), []
+    for i in range(200):
+        text = np.r_[passage, r.integers(1, 1 << 63, 40).astype(np.uint64)]
+        other = text.copy()
+        other[r.choice(60, 12, replace=False)] = r.integers(1, 1 << 63, 12).astype(np.uint64)
+        rows += [(2 * i, text), (2 * i + 1, other)]
+    keys = spark.createDataFrame([(i, 0, 77, len(rows), 0) for i, _ in rows], "id long, j int, key long, size long, id2 long")
+    bounds = spark.createDataFrame([(i, [int(x) for x in omh.bound(w, omh.BOUND_LONGS).view(np.int64)]) for i, w in rows], "id long, bound array<long>")
+    codes = spark.createDataFrame([(i, 0, bytearray((w >> np.uint64(32)).astype("<u4").tobytes())) for i, w in rows], "id long, rank int, codes binary")
+    links, joined = omh.linked(keys, bounds, codes, 0.8)
+    assert sorted((x.a, x.b) for x in links.collect()) == [(2 * i, 2 * i + 1) for i in range(200)]
+    assert sorted((x.id, x.component) for x in joined.collect()) == [(i, i - i % 2) for i in range(400)]
