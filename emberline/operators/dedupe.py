@@ -40,10 +40,10 @@ def cards_naming(cards: DataFrame, items: DataFrame) -> DataFrame:
     """
     terms = items.select("item", key_words(F.col("term")).alias("w")).where(F.size("w") >= 2)
     named = cards.select("id", key_words(F.col("name")).alias("cw")).where(F.size("cw") >= 2)
-    each = named.select("id", "cw", F.explode("cw").alias("k"))
+    each = named.select("id", F.explode("cw").alias("k"))  # ids alone pass through the joins by word
     often = each.groupBy("k").agg(F.count("*").alias("n"))
     rare = terms.select("item", "w", F.explode("w").alias("k")).join(often, "k", "left").groupBy("item", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "k")).alias("r")).select("item", "w", F.col("r.k").alias("k"))
-    by_name = rare.join(each, "k").where(F.size(F.array_except("w", "cw")) == 0).select("item", "id", F.lit("name").alias("by"))
+    by_name = rare.join(each, "k").join(named, "id").where(F.size(F.array_except("w", "cw")) == 0).select("item", "id", F.lit("name").alias("by"))
     asked = items.select("item", "term").where("term is not null").distinct()
     hits = term_mentions(cards.select("id", "description"), asked.select("term").distinct(), "id", "description").join(asked, "term")
     by_text = hits.join(cards.select("id", "description"), "id").where(mentions(F.col("description"), F.col("term"))).select("item", "id", F.lit("description").alias("by"))

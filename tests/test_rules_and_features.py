@@ -136,3 +136,12 @@ def test_titles_by_classes_and_rounded_jaccard(spark, monkeypatch):
     got = [tuple(r) for r in dedupe.title_matches(spark.createDataFrame(left, "a long, title string"), spark.createDataFrame(right, "b long, title string")).collect()]
     want = [(a, b, 1.0 if b % 2 else 0.75) for a in range(1, 40, 2) for b in range(50)] + [(100, 100, 0.6)]
     assert sorted(got) == sorted(want)
+
+
+def test_cards_send_ids_alone_by_word(spark):
+    """A card's key words don't go along with each of them, which would send the square of a long name."""
+    cards = spark.createDataFrame([(1, "Solar panel roof array", "x"), (2, "roof", "a solar panel here"), (3, None, None)], "id long, name string, description string")
+    got = dedupe.cards_naming(cards, spark.createDataFrame([(7, "solar panel")], "item long, term string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(7, 1, "name"), (7, 2, "description")]
+    exploded = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(cw" in x]
+    assert exploded and all("), [" in x for x in exploded)
