@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.text import let, title_case_share, without_feed_tail
+from emberline.operators.mentions import at_slot, head_filter
+from emberline.sources.stores import checkpointed
 
 LEAST_LETTERS, TITLE_CASE, ALIKE, MOST_WORDS = 5, 0.7, 0.8, 4
 
@@ -23,8 +25,10 @@ def judged_text(title: Column, abstract: Column) -> Column:
 
 def proper_names(text: Column) -> Column:
     """array<struct<key, words>>: runs of capitalised words inside a sentence, which acronyms may continue; of single words
-    those in mixed case. A sentence's first word starts no run."""
+    those in mixed case. A sentence's first word starts no run. Words without a capital only end runs, so neighbours of that
+    kind are put together first."""
     punctuation = "[,.;:()\"'«»“”’]+"
+    text = F.regexp_replace(text, r"(?<!\S)[^\s\p{Lu}.!?][^\p{Lu}.!?\n]*(?=\s)", "|")
 
     def marked(sentence: Column) -> Column:
         def mark(token: Column, i: Column) -> Column:
@@ -52,14 +56,23 @@ def capitalised(spelling: Column) -> Column:
 
 
 def lower_case_keys(docs: DataFrame, keys: DataFrame, text: str = "text") -> DataFrame:
-    """The keys (key) that some text spells with a lower-case first letter, by a join on glued n-grams."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)
-
-    def grams(w: Column) -> Column:
-        at = F.transform(w, lambda x, i: F.struct(x.alias("f"), i.alias("i")))
-        return F.flatten(F.transform(F.filter(at, lambda s: s["f"].rlike(r"^\p{Ll}")), lambda s: F.transform(F.sequence(F.lit(1), F.lit(MOST_WORDS)), lambda n: glued(F.array_join(F.slice(w, s["i"] + 1, n), "")))))
-
-    return docs.select(F.explode(F.array_distinct(let(words, grams))).alias("key")).join(keys.select("key").distinct(), "key", "left_semi").distinct()
+    """The keys (key) that some text spells with a lower-case first letter, by a join on glued n-grams.
+
+    A row is a word that begins in lower case with the next ones. It goes on if a filter of fixed size lets its letters begin a
+    key, and its n-grams if another lets them be one."""
+    wanted = checkpointed(keys.select("key").distinct())
+    begins = F.transform(F.sequence(F.lit(0), F.length("key")), lambda n: F.xxhash64(F.substring(F.col("key"), F.lit(1), n)))
+    begin = head_filter(wanted.select(F.explode(begins).alias("head")))
+    taken = head_filter(wanted.select(F.xxhash64("key").alias("head")))
+    marked = F.regexp_replace(F.translate(text, "\x01", " "), r"(?<![\p{L}\p{N}])(?=\p{Ll})", "\x01")  # what begins in lower case
+    marked = F.regexp_replace(F.lower(F.regexp_replace(marked, r"[^\p{L}\p{N}\x01]+", " ")), r"\P{ASCII}+", "")  # what is left of ASCII are letters, digits and spaces
+    w = docs.select(F.split(marked, " ").alias("m"), F.split(F.translate(marked, "\x01", ""), " ").alias("w0"))
+    later = [F.slice("w0", F.lit(n + 1), F.greatest(F.size("w0"), F.lit(1))).alias(f"w{n}") for n in range(1, MOST_WORDS)]
+    rows = w.select(F.inline(F.arrays_zip("m", "w0", *later)))
+    rows = rows.where(F.startswith("m", F.lit("\x01")) & at_slot(begin, F.xxhash64("w0")))
+    grams = [F.concat("w0", *[F.coalesce(f"w{n}", F.lit("")) for n in range(1, k)]) for k in range(1, MOST_WORDS + 1)]
+    each = rows.select(F.explode(F.array(*grams)).alias("key"))
+    return each.where(at_slot(taken, F.xxhash64("key"))).join(wanted, "key", "left_semi").distinct()
 
 
 def longest_block(a: Column, b: Column) -> Column:
@@ -104,28 +117,42 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(size == 0, True).when(~enough(F.least(F.length(a), F.length(b))), False).when(~enough(shared_letters(a, b)), False).otherwise(enough(matched_letters(a, b)))
 
 
+def capital_words(text: Column) -> Column:
+    """The distinct capitalised words of a text, glued."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z][\p{L}\p{N}_.]+)"), 1), glued))
+
+
 def misspelt(candidates: DataFrame) -> DataFrame:
-    """(id): one-word candidates (id, key, text) that are nearly a capitalised word of their document."""
-    word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\b([A-Z][\p{L}\p{N}_.]+)"), 1), glued)))
-    pairs = candidates.where(F.length("key") >= LEAST_LETTERS).select("id", "key", word.alias("w")).where("w <> ''")
-    return pairs.where(alike(F.col("key"), F.col("w"))).select("id").distinct()
+    """(id): one-word candidates (id, key, capitals: capital_words() of a text) that are nearly one of those words. Each two
+    words are compared once, however many candidates have them."""
+    pairs = candidates.where(F.length("key") >= LEAST_LETTERS).select("id", "key", F.explode("capitals").alias("w")).where("w <> ''")
+    a, b = F.length("key"), F.length("w")
+    pairs = checkpointed(pairs.where(F.lit(2.0) * F.least(a, b) / (a + b) >= ALIKE).distinct())
+    # written before and after, else the optimizer compares below distinct() and on the other side of the join too
+    near = checkpointed(checkpointed(pairs.select("key", "w").distinct()).where(alike(F.col("key"), F.col("w"))))
+    return pairs.join(near, ["key", "w"], "left_semi").select("id").distinct()
 
 
 def proper_candidates(candidates: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
     """candidates (id, name) with is_proper. links: (id, doc_id); docs: (doc_id, title, text).
 
     Proper is a name that its documents spell with capitals only and no text of several words in lower case; one that holds
-    such a name of its documents; a one-word name that nearly is a capitalised word there. Acronyms never are.
+    such a name of its documents; a one-word name that nearly is a capitalised word there. Acronyms never are. A document's
+    text is read once for each of its candidates; what is written down are the few words that were found in it.
     """
     words = F.filter(F.split("name", r"[\s_-]+"), lambda w: w != "")
     c = candidates.select("id", "name", glued(F.col("name")).alias("key"), F.size(words).alias("words"), F.forall(words, lambda w: w == F.upper(w)).alias("acronym"))
     text = docs.select("doc_id", judged_text(F.col("title"), F.col("text")).alias("text"))
-    own = c.where("not acronym and key <> ''").join(links, "id").join(text, "doc_id").select("id", "key", "words", "text", proper_names(F.col("text")).alias("names"))
-    seen = own.select("id", "key", "words", F.explode(spellings(F.col("text"), F.col("key"))).alias("s")).groupBy("id", "key", "words").agg(F.bool_and(capitalised(F.col("s"))).alias("capitals"))
-    inner = own.select("id", F.col("key").alias("whole"), F.explode("names").alias("n")).select("id", "whole", "n.key", "n.words").where((F.length("key") >= LEAST_LETTERS) & F.col("whole").contains(F.col("key"))).distinct()
-    asked = seen.where("capitals").select("id", "key", "words").union(inner.select("id", "key", "words"))
+    own = c.where("not acronym and key <> ''").join(links, "id").join(text, "doc_id").select("id", "key", "words", "text", spellings(F.col("text"), F.col("key")).alias("spelled"))
+    inner = F.filter(proper_names(F.col("text")), lambda n: (F.length(n["key"]) >= LEAST_LETTERS) & F.contains(F.col("key"), n["key"]))
+    unlike = (F.size("spelled") == 0) & (F.col("words") == 1) & (F.length("key") >= LEAST_LETTERS)
+    told = own.select("id", "key", "words", (F.size("spelled") > 0).alias("seen"), F.forall("spelled", capitalised).alias("capitals"), F.array_distinct(inner).alias("inner"), F.when(unlike, capital_words(F.col("text"))).alias("near"))
+    told = checkpointed(told)
+    seen = told.where("seen").groupBy("id", "key", "words").agg(F.bool_and("capitals").alias("capitals"))
+    held = told.select("id", F.explode("inner").alias("n")).select("id", "n.key", "n.words").distinct()
+    asked = checkpointed(seen.where("capitals").select("id", "key", "words").union(held).distinct())
     lower = lower_case_keys(docs, asked.where("words > 1")).withColumn("lower", F.lit(True))
     by_spelling = asked.join(lower, "key", "left").where((F.col("words") == 1) | F.col("lower").isNull()).select("id")
-    single = own.join(seen.select("id"), "id", "left_anti").where("words = 1").select("id", "key", "text")
+    single = told.where("near is not null").join(seen.select("id"), "id", "left_anti").select("id", "key", F.col("near").alias("capitals"))
     proper = by_spelling.union(misspelt(single)).distinct().withColumn("is_proper", F.lit(True))
     return candidates.join(proper, "id", "left").withColumn("is_proper", F.coalesce("is_proper", F.lit(False)))
