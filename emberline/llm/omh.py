@@ -18,8 +18,8 @@ K, SHORT_K, SHORT_WORDS = 3, 2, 50
 #: Sketches a document, k-mers a sketch, and the least edit similarity of a link.
 SKETCHES, KEPT, SIMILARITY = 40, 2, 0.8
 #: Buckets up to this size give all their pairs. Larger ones link to a centre first; members of those that are not one component
-#: by then meet by their rarest words, counted in so many slots.
-SMALL_BUCKET, SLOTS = 128, 1 << 16
+#: by then meet by their rarest runs of RARE_RUN words, counted in so many slots.
+SMALL_BUCKET, RARE_RUN, SLOTS = 128, 2, 1 << 16
 #: 64-bit words of a document's bound().
 BOUND_LONGS = 8
 #: Words up to which no bounds are tried before the alignment, since it costs less.
@@ -91,36 +91,46 @@ def sketch(words: np.ndarray, k: int, sketches: int = SKETCHES, kept: int = KEPT
     return keys
 
 
-def rare_words(words: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
-    """Labels of a text's rarest words, its n-th occurrence of a word being another one than the first: one more than may lack in
-    a text of that edit similarity. Such texts share the similarity's part of the longer one's words at least, so each two of them share
-    one of these labels (prefix filter), whatever order the weights of the SLOTS give; frequent words last make few candidates."""
-    w = words.astype(np.uint64)
+def _runs(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of RARE_RUN words."""
+    n = max(0, len(words) - RARE_RUN + 1)
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        h = _mix(w * _MULT)
-        label = _occurrence_labelled(h)
+        for j in range(RARE_RUN):
+            h = _mix(h * _MULT + words[j : j + n].astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def rare_runs(words: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """Labels of a text's rarest runs of RARE_RUN words, its n-th occurrence of a run being another one than the first: one more
+    than may lack in a text of that edit similarity. An edit breaks RARE_RUN runs of the longer text of m words at most, which
+    leaves m - 1 - RARE_RUN * (1 - similarity) * m that both have, so of a text's own n - 1 runs no more than n - m + RARE_RUN *
+    (1 - similarity) * m, greatest where m is n, may lack. Each two such texts share one of these labels (prefix filter), whatever
+    order the weights of the SLOTS give; frequent runs last make few candidates. Runs part texts that single words don't."""
+    with np.errstate(over="ignore"):
+        h = _runs(words)
+        label = _occurrence_labelled(h) if len(h) else h
     order = np.lexsort((label, weight[h % np.uint64(SLOTS)]))
-    return label[order[: int((1 - similarity) * len(w) + 1e-9) + 1]]
+    return label[order[: int(RARE_RUN * (1 - similarity) * len(words) + 1e-9) + 1]]
 
 
-def rare_words_of(weight: np.ndarray, similarity: float, kind: str = "<u4"):
-    """rare_words() of a column of codes."""
+def rare_runs_of(weight: np.ndarray, similarity: float, kind: str = "<u4"):
+    """rare_runs() of a column of codes."""
 
     @arrow_udf(ArrayType(LongType()))
     def rare(codes: pa.Array) -> pa.Array:
-        each = [rare_words(np.frombuffer(c.as_buffer(), kind), weight, similarity) for c in codes]
+        each = [rare_runs(np.frombuffer(c.as_buffer(), kind), weight, similarity) for c in codes]
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in each])], pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64)))
 
     return rare
 
 
 def slots_by(kind: str = "<u4"):
-    """The slots of a text's words, each once."""
+    """The slots of a text's runs, each once."""
 
     @arrow_udf(ArrayType(LongType()))
     def slots(codes: pa.Array) -> pa.Array:
-        with np.errstate(over="ignore"):
-            return pa.array([np.unique(_mix(np.frombuffer(c.as_buffer(), kind).astype(np.uint64) * _MULT) % np.uint64(SLOTS)).astype(np.int64) for c in codes], pa.list_(pa.int64()))
+        return pa.array([np.unique(_runs(np.frombuffer(c.as_buffer(), kind)) % np.uint64(SLOTS)).astype(np.int64) for c in codes], pa.list_(pa.int64()))
 
     return slots
 
@@ -381,8 +391,8 @@ def linked(
 
     In each bucket all are aligned with the least id; a bucket whose members all match it is done. The others, if they have up
     to SMALL_BUCKET ids, give all pairs but those of two that match the least id. Of the larger ones those that are one
-    component by then are done too. All members of the rest, matched or not, meet anew by their rare_words(), which loses no
-    pair of the similarity: texts that share just a passage have few rare words in common. A rare word that many have is
+    component by then are done too. All members of the rest, matched or not, meet anew by their rare_runs(), which loses no
+    pair of the similarity: texts that share just a passage have few rare runs in common. A rare run that many have is
     aligned with GROWTH times as many centres a round, or gives all its pairs, until its texts are one component or all their
     pairs are made. Ids that are joined already make no pair again, and pairs that bound() rules out are not aligned.
     """
@@ -431,7 +441,7 @@ def linked(
     weight = np.zeros(SLOTS, np.int64)
     for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
         weight[r["slot"]] = r["n"]
-    held = written(bounded(hot.select("id", rare_words_of(weight, similarity, kind)("codes").alias("parts"))))
+    held = written(bounded(hot.select("id", rare_runs_of(weight, similarity, kind)("codes").alias("parts"))))
     unlink(hot)
     last = 0
     while True:

@@ -279,3 +279,26 @@ def test_large_buckets_lose_no_pair(spark):
     links, joined = omh.linked(keys, bounds, codes, 0.8)
     assert sorted((x.a, x.b) for x in links.collect()) == [(2 * i, 2 * i + 1) for i in range(200)]
     assert sorted((x.id, x.component) for x in joined.collect()) == [(i, i - i % 2) for i in range(400)]
+
+
+def test_each_two_near_texts_share_a_rare_run():
+    """Whatever the weights: random texts and copies with up to a fifth of their words replaced, put in or taken out share a
+    label; texts of the same words in another order mostly share none."""
+    rng = random.Random(11)
+    apart = 0
+    for n in [*range(2, 30), 50, 200] * 6:
+        weight = np.array([rng.randrange(50) for _ in range(omh.SLOTS)])
+        x = [rng.randrange(rng.choice([2, 8, 1000])) for _ in range(n)]
+        y, edits = list(x), 0
+        while edits + 1 <= 0.2 * max(n, len(y)) and rng.random() < 0.95:
+            i, kind = rng.randrange(len(y)), rng.randrange(3)
+            y[i : i + (kind < 2)] = [rng.randrange(1000)] * (kind != 1)
+            edits += 1
+        if edits <= int(0.2 * max(n, len(y)) + 1e-9) and len(y) > 1:
+            a, b = (set(omh.rare_runs(np.array(v, "<u4"), weight, 0.8).tolist()) for v in (x, y))
+            assert a & b, (x, y)
+        v = list(range(n))
+        rng.shuffle(v)
+        a, b = (set(omh.rare_runs(np.array(w, "<u4"), weight, 0.8).tolist()) for w in (v, range(n)))
+        apart += not a & b
+    assert apart > 90
