@@ -38,9 +38,31 @@ def written(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if _STEPS:
+        _STEPS[-1].append(out)
     return out
 
 
+#: What written() has written within each open steps_freed(), the innermost last.
+_STEPS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def steps_freed() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What written() writes within it is deleted at its end, but for the frames that were given to the function it yields."""
+    kept: list[DataFrame] = []
+    _STEPS.append([])
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        for df in _STEPS.pop():
+            if any(df is k for k in kept):
+                if _STEPS:
+                    _STEPS[-1].append(df)
+            else:
+                unlink(df)
+
+
 @contextmanager
 def shuffle_files_freed(spark: SparkSession) -> Iterator[None]:
     """Within it, Spark deletes a query's shuffle files at its end, instead of when the driver's collector comes by."""

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 from pyspark.sql.window import Window
 
-from emberline.llm.common import text_of, unlink, written
-from emberline.llm.omh import linked
+from emberline.llm import omh
+from emberline.llm.common import steps_freed, text_of, unlink, written
 
 #: Lines of fewer words have no fuzzy partner: at edit similarity 0.8 they are equal. Where the caller doesn't say otherwise, equal ones stay too.
 MIN_WORDS = 4
@@ -154,9 +154,9 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line_no, h, keys, bound, codes): every line of every whole text with exact_words words at least, and its hash.
-    The first of equal lines of MIN_WORDS words in each part of the input has its line_keys(), its omh.bound() and its words,
-    32 bits each, too; for others they are null. Two of some 10^9 pairs of unequal words count as equal in the alignment."""
+    """(doc_id, line_no, h, codes): every line of every whole text with exact_words words at least, and its hash. The first of equal
+    lines of MIN_WORDS words in each part of the input has its words, 32 bits each, too; for others they are null. Two of some
+    10^9 pairs of unequal words count as equal in the alignment."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had: set[int] = set()
@@ -173,26 +173,46 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
                 ends = np.r_[0, np.cumsum(n[new])]
                 own = words[np.repeat(first[new] - ends[:-1], n[new]) + np.arange(ends[-1])]
                 codes = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(ends.astype(np.int64) * 4), pa.py_buffer((own >> np.uint64(32)).astype("<u4"))]).cast(pa.binary())
-                keys, bounds = (pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().view(np.int64))) for m in (line_keys(own, ends), _bounds(own, ends)))
                 at = np.full(len(h), -1)
                 at[new] = np.arange(len(new))
                 place = pa.array(at[held], mask=at[held] < 0)
-                columns = [batch.column(0).take(pa.array(row[held])), pa.array(number[held].astype(np.int32)), pa.array(h[held].view(np.int64)), keys.take(place), bounds.take(place), codes.take(place)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h", "keys", "bound", "codes"])
+                columns = [batch.column(0).take(pa.array(row[held])), pa.array(number[held].astype(np.int32)), pa.array(h[held].view(np.int64)), codes.take(place)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "h", "codes"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(hashed, f"doc_id {kind}, line_no int, h bigint, keys array<bigint>, bound array<bigint>, codes binary")
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(hashed, f"doc_id {kind}, line_no int, h bigint, codes binary")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().view(np.int64)))
+
+
+@arrow_udf(ArrayType(LongType()))
+def keys_of(codes: pa.Array) -> pa.Array:
+    """line_keys() of the words of each line."""
+    words, first = omh._flat(codes, "<u4")
+    return _lists(line_keys(words.astype(np.uint64), first))
+
+
+@arrow_udf(ArrayType(LongType()))
+def bounds_of(codes: pa.Array) -> pa.Array:
+    """omh.bound() of each line."""
+    words, first = omh._flat(codes, "<u4")
+    return _lists(_bounds(words.astype(np.uint64), first))
 
 
 def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id -> component) of the lines that have a fuzzy partner. lines: lines_of()."""
-    own = lines.where("codes is not null").select(F.col("h").alias("id"), "keys", "bound", "codes")
+    own = lines.where("codes is not null").select(F.col("h").alias("id"), "codes")
     of_key = Window.partitionBy("key")
-    both = own.select("id", F.explode("keys").alias("key"))
+    both = own.select("id", F.explode(keys_of("codes")).alias("key"))
     both = both.select("id", "key", F.min("id").over(of_key).alias("id2"), F.max("id").over(of_key).alias("high"), F.count("*").over(of_key).alias("size"))
     held = written(both.where("id2 < high").select("id", "key", "size", "id2").distinct())
-    bounds = written(own.groupBy("id").agg(F.min("bound").alias("bound")))
-    _, groups = linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity, BOUND_LONGS)
+    near = own.select("id", bounds_of("codes").alias("bound"))
+    longs = [f"b{k}" for k in range(BOUND_LONGS + 1)]  # of one line, equal
+    near = near.select("id", *[F.col("bound")[k].alias(c) for k, c in enumerate(longs)]).groupBy("id").agg(*[F.min(c).alias(c) for c in longs])
+    bounds = written(near.select("id", F.array(*longs).alias("bound")))
+    _, groups = omh.linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity, BOUND_LONGS)
     unlink(held)
     unlink(bounds)
     return groups
@@ -205,14 +225,15 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     words at least with a common key, an edit similarity of the words of at least `similarity`. The occurrence with the
     least (doc_id, line_no) stays.
     """
-    seen = written(lines_of(docs, id_col, text_col, exact_words))
-    groups = line_groups(seen, similarity)
-    distinct = seen.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    labelled = distinct.join(groups.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("g", F.coalesce("component", "h"))
-    heads = labelled.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
-    kept = written(labelled.join(heads.select("g", "keep"), "g").select("h", "keep"))
-    gone = seen.join(kept, "h").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    with steps_freed() as result:
+        seen = written(lines_of(docs, id_col, text_col, exact_words))
+        groups = line_groups(seen, similarity)
+        distinct = seen.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+        labelled = distinct.join(groups.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("g", F.coalesce("component", "h"))
+        heads = labelled.groupBy("g").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
+        kept = written(labelled.join(heads.select("g", "keep"), "g").select("h", "keep"))
+        gone = seen.join(kept, "h").where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep")))
+        return result(written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", exact_words: int = MIN_WORDS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 
 import numpy as np
@@ -9,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType, StructField, StructType
 
-from emberline.llm.common import components, hashes_of, text_of, unlink, words_of, written
+from emberline.llm.common import components, hashes_of, steps_freed, text_of, unlink, words_of, written
 
 #: Words in a k-mer; in the second family, which short documents get besides.
 K, SHORT_K, SHORT_WORDS = 3, 2, 50
 #: Sketches a document, k-mers a sketch, and the least edit similarity of a link.
 SKETCHES, KEPT, SIMILARITY = 40, 2, 0.8
 #: Buckets up to this size give all their pairs. Larger ones link to a centre first; members of those that are not one component
-#: by then meet by their rarest runs of RARE_RUN words, counted in so many slots.
+#: by then meet in blocks or, if they are many, by their rarest runs of RARE_RUN words, counted in so many slots.
 SMALL_BUCKET, RARE_RUN, SLOTS = 128, 2, 1 << 16
 #: 64-bit words of a document's bound().
 BOUND_LONGS = 8
@@ -29,8 +30,8 @@ SHORT_ALIGNED = 100
 BIT_WORDS, FEW_EDITS = 20_000, 64
 #: Pairs up to which they are sent to the texts (some 20 MB an executor); beyond, texts and pairs are both shuffled.
 FEW_PAIRS = 200_000
-#: How many times more centres each round after the first has, and the buckets that give all their pairs from the third round on.
-GROWTH, LAST_BUCKET = 8, 2048
+#: Texts up to which those of large buckets all meet in blocks (more meet by their rarest runs before), and a block's bytes and texts at most.
+FEW_TEXTS, BLOCK_BYTES, BLOCK_TEXTS = 12_000, 1 << 18, 256
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -391,10 +392,10 @@ def linked(
 
     In each bucket all are aligned with the least id; a bucket whose members all match it is done. The others, if they have up
     to SMALL_BUCKET ids, give all pairs but those of two that match the least id. Of the larger ones those that are one
-    component by then are done too. All members of the rest, matched or not, meet anew by their rare_runs(), which loses no
-    pair of the similarity: texts that share just a passage have few rare runs in common. A rare run that many have is
-    aligned with GROWTH times as many centres a round, or gives all its pairs, until its texts are one component or all their
-    pairs are made. Ids that are joined already make no pair again, and pairs that bound() rules out are not aligned.
+    component by then are done too. All members of the rest, matched or not, meet anew, which loses no pair of the similarity: up
+    to FEW_TEXTS of them each with each (in_blocks()), more by their rare_runs(). A rare run that up to SMALL_BUCKET have gives
+    all its pairs, one that more have is aligned with a centre; those whose texts are not one component by then leave their texts
+    to in_blocks(). Ids that are joined already make no pair again, and pairs that bounds rule out are not aligned.
     """
 
     def aligned(pairs: DataFrame) -> DataFrame:
@@ -438,39 +439,131 @@ def linked(
         return links, joined
     hot = keys.where(F.col("size") > SMALL_BUCKET).join(apart, "key").select("id").distinct()
     hot = written(codes.join(hot.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes")))
-    weight = np.zeros(SLOTS, np.int64)
-    for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
-        weight[r["slot"]] = r["n"]
-    held = written(bounded(hot.select("id", rare_runs_of(weight, similarity, kind)("codes").alias("parts"))))
-    unlink(hot)
-    last = 0
-    while True:
-        rows = held.join(joined, "id", "left").select("id", "bound", F.coalesce("component", "id").alias("c"), F.explode("parts").alias("key"))
-        sized = rows.groupBy("key").agg(F.max(F.struct("id", "c", "bound")).alias("centre"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        if last > 1:  # buckets whose members all have been centres are done
-            sized = sized.where(F.col("n") > GROWTH ** (last - 1))
-        member = written(rows.join(sized.select("key", "n", "centre"), "key"))
-        unlink(held)
-        if member.isEmpty():
-            return links, joined
-        most = LAST_BUCKET if last > 1 else SMALL_BUCKET
-        small, large = member.where(F.col("n") <= most), member.where(F.col("n") > most)
+    if hot.count() > FEW_TEXTS:
+        weight = np.zeros(SLOTS, np.int64)
+        for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
+            weight[r["slot"]] = r["n"]
+        parts = written(hot.select("id", F.explode(rare_runs_of(weight, similarity, kind)("codes")).alias("key")))
+        rows = parts.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "key")
+        sized = rows.groupBy("key").agg(F.max(F.struct("id", "c")).alias("centre"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+        member = written(bounded(rows.join(sized.select("key", "n", "centre"), "key")))
+        unlink(parts)
+        small, large = member.where(F.col("n") <= SMALL_BUCKET), member.where(F.col("n") > SMALL_BUCKET)
         close = small.join(others(small), "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & possible_pair)
-        if last > 0:
-            chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("n") < F.lit(float(1 << 20)) * float(GROWTH**last)
-            against = large.join(others(large.where(chosen)), "key")
-        else:
-            against = large.select("id", "c", "bound", F.col("centre.id").alias("id2"), F.col("centre.c").alias("c2"), F.col("centre.bound").alias("bound2"))
-        against = against.where((F.col("c") != F.col("c2")) & possible_pair)
+        against = bounded(large.select("id", "c", "bound", F.col("centre.id").alias("id2"), F.col("centre.c").alias("c2")), "id2", "bound2").where((F.col("c") != F.col("c2")) & possible_pair)
         of_pair = ("id", "c", "id2", "c2")
         pairs = written(ordered(close.select(*of_pair).union(against.select(*of_pair))).join(tried, ["a", "b"], "left_anti"))
         found = aligned(pairs)
-        links, tried, joined = links.union(found.select("a", "b")), tried.union(pairs.select("a", "b")), _joined_on(joined, found)
-        if large.isEmpty():
-            return links, joined
-        held = written(large.groupBy("id").agg(F.first("bound").alias("bound"), F.collect_list("key").alias("parts")))
-        unlink(member)
-        last += 1
+        links, joined = links.union(found.select("a", "b")), _joined_on(joined, found)
+        left = large.select("id", "key").join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+        still = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        rest = left.join(still, "key").select("id").distinct()
+        pool = hot.join(rest.hint("merge"), "id", "left_semi")
+    else:
+        pool = hot
+    found = in_blocks(pool.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "codes"), similarity, kind)
+    return links.union(found.select("a", "b")), _joined_on(joined, found)
+
+
+def in_blocks(texts: DataFrame, similarity: float, kind: str = "<u4") -> DataFrame:
+    """Verified links (a, b, of_a, of_b) that join what all links between texts (id, c, codes) of different c would join, of_ the
+    c of that end. Texts lie in blocks by length; blocks meet if their lengths leave room for the similarity, each two once, and
+    their pairs are compared within the task. No pair is left out: time grows with the square of the texts of like lengths,
+    memory with a block."""
+    width = np.dtype(kind).itemsize
+    # a text has a partner in its own class of length and in the next ones only
+    classed = texts.withColumn("k", F.floor(F.log(F.greatest(F.length("codes") / width, F.lit(1.0))) / F.lit(math.log(1.01 / similarity))).cast("int"))
+    many = classed.groupBy("k").agg(F.ceil(F.greatest(F.sum(F.length("codes")) / BLOCK_BYTES, F.count("*") / BLOCK_TEXTS)).alias("many"))
+    dealt = classed.join(F.broadcast(many), "k").select("k", F.pmod(F.xxhash64("id"), F.greatest("many", F.lit(1))).cast("int").alias("i"), F.struct("id", "c", "codes").alias("member"))
+    blocks = written(dealt.groupBy("k", "i").agg(F.collect_list("member").alias("x")))
+    second = blocks.select(F.col("k").alias("k2"), F.col("i").alias("j"), F.col("x").alias("y"))
+    own = blocks.select("k", "i").withColumn("k2", F.explode(F.array("k", F.col("k") + 1)))
+    both = own.join(second.select("k2", "j"), "k2").where((F.col("k2") > F.col("k")) | (F.col("j") >= F.col("i")))
+    both = both.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "k2", "j")  # few bytes, much work
+    met = both.join(blocks, ["k", "i"]).join(second, ["k2", "j"])
+    same = (F.col("k") == F.col("k2")) & (F.col("i") == F.col("j"))
+    out = written(met.select(F.inline(_links_between(similarity, kind, texts.schema["id"].dataType)("x", "y", same))).distinct())
+    unlink(blocks)
+    return out
+
+
+def _links_between(similarity: float, kind: str, of: DataType):
+    names = ("a", "b", "of_a", "of_b")
+    ends = StructType([StructField(c, of) for c in names])
+
+    def texts(members: pa.Array) -> tuple[list, list, list[np.ndarray]]:
+        each = sorted(zip(members.field("id").to_pylist(), members.field("c").to_pylist(), range(len(members))))
+        codes = members.field("codes")
+        return [e[0] for e in each], [e[1] for e in each], [np.frombuffer(codes[e[2]].as_buffer(), kind) for e in each]
+
+    @arrow_udf(ArrayType(ends))
+    def links(xs: pa.Array, ys: pa.Array, same: pa.Array) -> pa.Array:
+        out = []
+        for x, y, own in zip(xs, ys, same.to_pylist()):
+            left = texts(x.values)
+            right = left if own else texts(y.values)
+            out.append([dict(zip(names, (p[0], q[0], p[1], q[1]))) for p, q in _joining(left, right, own, similarity)])
+        return pa.array(out, pa.list_(pa.struct([(c, xs.type.value_type.field("id").type) for c in names])))
+
+    return links
+
+
+def _joining(left: tuple, right: tuple, own: bool, similarity: float) -> list[tuple[tuple, tuple]]:
+    """((id, c), (id, c)) of pairs of both blocks that align and are not joined by those before."""
+    (ids, cs, xs), (ids2, cs2, ys) = left, right
+    n, m = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    most = np.maximum(n[:, None], m[None, :])
+    band = ((1 - similarity) * most + 1e-9).astype(np.int64)
+    number = np.unique(np.array([*cs, *cs2]), return_inverse=True)[1]
+    open_pairs = (np.abs(n[:, None] - m[None, :]) <= band) & (number[: len(cs), None] != number[None, len(cs) :])
+    if own:
+        open_pairs &= np.triu(np.ones_like(open_pairs), 1)
+    for q in (1, 2, 3):
+        rows, columns = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
+        if not len(rows):
+            return []
+        # an edit breaks q runs of q words at most
+        least = (most - q + 1 - q * band)[np.ix_(rows, columns)]
+        open_pairs[np.ix_(rows, columns)] &= _common_runs([xs[i] for i in rows.tolist()], [ys[j] for j in columns.tolist()], q) >= least
+    root: dict = {}
+
+    def of(c):
+        while c in root:
+            c = root[c]
+        return c
+
+    found = []
+    for i, j in np.argwhere(open_pairs).tolist():
+        u, v = of(cs[i]), of(cs2[j])
+        if u != v and within(xs[i], ys[j], int(band[i, j])):
+            root[max(u, v)] = min(u, v)
+            found.append(tuple(sorted(((ids[i], cs[i]), (ids2[j], cs2[j])))))
+    return found
+
+
+def _common_runs(xs: list[np.ndarray], ys: list[np.ndarray], q: int) -> np.ndarray:
+    """How many runs of q words each x (row) and each y (column) share, each as often as both have it."""
+    labels, places = [], []
+    for texts in (xs, ys):
+        each = []
+        for t in texts:
+            h = np.zeros(max(0, len(t) - q + 1), np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(q):
+                    h = _mix(h * _MULT + t[j : j + len(h)].astype(np.uint64) + np.uint64(1))
+                each.append(_occurrence_labelled(h) if len(h) else h)
+        labels.append(np.concatenate([np.empty(0, np.uint64), *each]))
+        places.append(np.repeat(np.arange(len(texts)), [len(h) for h in each]))
+    common = np.intersect1d(labels[0], labels[1])
+    sides = []
+    for texts, label, place in zip((xs, ys), labels, places):
+        at = np.searchsorted(common, label)
+        held = at < len(common)
+        held[held] = common[at[held]] == label[held]
+        side = np.zeros((len(texts), len(common)), np.float32)
+        side[place[held], at[held]] = 1
+        sides.append(side)
+    return sides[0] @ sides[1].T
 
 
 def _joined_on(joined: DataFrame, found: DataFrame) -> DataFrame:
@@ -501,28 +594,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     group that aligns with its least id makes one pair a member, and a passage that many documents share ends in small buckets.
     n_links counts the links that were verified; pairs that others had joined before are not aligned.
     """
-    words = docs.select(F.col(id_col).alias("id"), hashes_of(words_of(text_of(text_col))).alias("w"))
-    every = written(words.select("id", F.size("w").alias("n"), F.xxhash64("w").alias("d1"), F.xxhash64(F.lit(7), F.col("w")).alias("d2"), sketches_of("w").alias("keys"), codes_of("w").alias("codes"), bounds_of("w").alias("bound")))
-    named = every.where("id is not null")
-    first = named.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
-    least = first.groupBy("d1", "d2").agg(F.min("id").alias("id"))
-    keyed = named.select("id", "d1", "d2", "n", "keys", "bound").join(least, ["id", "d1", "d2"], "left_semi").groupBy("id", "d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "keys", "bound")])
-    reps = written(keyed)
-    each = reps.select("id", F.explode("keys").alias("key"))
-    sized = each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("id2")).where("size > 1")
-    keys = written(each.join(sized, "key").select("id", "key", "size", "id2"))
-    links, joined = linked(keys, reps.select("id", "bound"), named.select("id", F.struct("d1", "d2").alias("rank"), "codes"), similarity)
-    unlink(keys)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = (
-        reps.select("d1", "d2", F.col("id").alias("rep_id"), "n")
-        .join(joined.select(F.col("id").alias("rep_id"), "component"), "rep_id", "left")
-        .join(degree.select(F.col("id").alias("rep_id"), "n_links"), "rep_id", "left")
-        .select("d1", "d2", "rep_id", F.coalesce("component", "rep_id").alias("class_id"), "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
-    out = first.join(classes, ["d1", "d2"]).select(F.col("id").alias("doc_id"), "rep_id", "class_id", F.col("n").alias("n_words"), "n_links")
-    lost = every.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("rep_id"), F.col("id").alias("class_id"), F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_links"))
-    return out.union(lost)
+    with steps_freed() as kept:
+        words = docs.select(F.col(id_col).alias("id"), hashes_of(words_of(text_of(text_col))).alias("w"))
+        every = written(words.select("id", F.size("w").alias("n"), F.xxhash64("w").alias("d1"), F.xxhash64(F.lit(7), F.col("w")).alias("d2"), sketches_of("w").alias("keys"), codes_of("w").alias("codes"), bounds_of("w").alias("bound")))
+        named = every.where("id is not null")
+        first = named.groupBy("id").agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
+        least = first.groupBy("d1", "d2").agg(F.min("id").alias("id"))
+        keyed = named.select("id", "d1", "d2", "n", "keys", "bound").join(least, ["id", "d1", "d2"], "left_semi").groupBy("id", "d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "keys", "bound")])
+        reps = written(keyed)
+        each = reps.select("id", F.explode("keys").alias("key"))
+        sized = each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("id2")).where("size > 1")
+        keys = written(each.join(sized, "key").select("id", "key", "size", "id2"))
+        links, joined = linked(keys, reps.select("id", "bound"), named.select("id", F.struct("d1", "d2").alias("rank"), "codes"), similarity)
+        unlink(keys)
+        degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+        classes = (
+            reps.select("d1", "d2", F.col("id").alias("rep_id"), "n")
+            .join(joined.select(F.col("id").alias("rep_id"), "component"), "rep_id", "left")
+            .join(degree.select(F.col("id").alias("rep_id"), "n_links"), "rep_id", "left")
+            .select("d1", "d2", "rep_id", F.coalesce("component", "rep_id").alias("class_id"), "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        )
+        out = first.join(classes, ["d1", "d2"]).select(F.col("id").alias("doc_id"), "rep_id", "class_id", F.col("n").alias("n_words"), "n_links")
+        lost = every.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("rep_id"), F.col("id").alias("class_id"), F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_links"))
+        return kept(written(out.union(lost)))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

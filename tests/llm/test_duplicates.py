@@ -302,3 +302,63 @@ def test_each_two_near_texts_share_a_rare_run():
         a, b = (set(omh.rare_runs(np.array(w, "<u4"), weight, 0.8).tolist()) for w in (v, range(n)))
         apart += not a & b
     assert apart > 90
+
+
+def pools():
+    """Texts as in large buckets: a shared passage of three quarters, and families of near copies of many lengths."""
+    r = random.Random(21)
+    passage, out = [f"p{i}" for i in range(45)], []
+    for _ in range(60):
+        out.append(passage + [f"w{r.randrange(300)}" for _ in range(15)])
+    for n in (3, 7, 12, 33, 60, 90):
+        base = [f"b{r.randrange(200)}" for _ in range(n)]
+        for _ in range(12):
+            out.append([w for x in base for w in r.choice(([x],) * 30 + ([], [f"c{r.randrange(99)}"], [x, f"c{r.randrange(99)}"]))])
+    return [(i, t) for i, t in enumerate(out) if t]
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """What meets in blocks, of few texts each, is joined as all pairs join it, and no two texts make a link twice."""
+    monkeypatch.setattr(omh, "BLOCK_TEXTS", 7)
+    rows = pools()
+    code = lambda t: bytearray(b"".join(("pwbc".index(w[0]) * 100_000 + int(w[1:])).to_bytes(4, "little") for w in t))
+    texts = spark.createDataFrame([(i, i, code(t)) for i, t in rows], "id long, c long, codes binary")
+    got = [(x.a, x.b) for x in omh.in_blocks(texts, 0.8).collect()]
+    by = dict(rows)
+    links = [(a, b) for k, (a, x) in enumerate(rows) for b, y in rows[:k] if edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)]
+    assert len(got) == len(set(got)) and all(edit_distance(by[a], by[b]) <= int(0.2 * max(len(by[a]), len(by[b])) + 1e-9) for a, b in got)
+    assert classes([i for i, _ in rows], got) == classes([i for i, _ in rows], links) and len(links) > 100
+
+
+def test_few_pairs_are_made_of_a_large_bucket(spark):
+    """Texts that share three quarters without being near are compared in blocks: their pairs are no rows of a join."""
+    made = []
+    r = random.Random(22)
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(i, " ".join(passage + [f"w{r.randrange(3000)}" for _ in range(30)])) for i in range(600)]
+    real = omh.verified
+    omh.verified = lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest)
+    try:
+        got = omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        omh.verified = real
+    assert sum(made) <= 20 * len(rows) and len({x.class_id for x in got}) == len(rows)
+
+
+def test_steps_are_freed(spark):
+    """Of the written steps only the results of the operators stay."""
+    from pathlib import Path
+
+    docs, *_ = line_fixture()
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    there = lambda: {p.name for p in Path(common.scratch(spark)).iterdir()}
+    before = there()
+    kept, classed = lines.deduplicated(docs), omh.near_duplicates(docs)
+    assert len(there() - before) <= 2 and kept.count() == classed.count() == 5
+
+
+def test_large_pools_meet_by_rare_runs_first(spark, monkeypatch):
+    """More texts than FEW_TEXTS: rare runs, then blocks, with the same result."""
+    monkeypatch.setattr(omh, "FEW_TEXTS", 10)
+    test_large_buckets_lose_no_pair(spark)
+    test_links_in_large_buckets(spark)
