@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from emberline.sources.stores import fresh, replace_partitions
 
 
+#: Rows that one task compares, in some 100 bytes each.
+PART_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, doc: str, n: int) -> DataFrame:
+    """n rows dealt by document over so many tasks that a task's memory does not grow with them, as it would at Spark's fixed
+    number of shuffle partitions. Joins and count_deltas() by document keep this order."""
+    return rows.repartition(max(1, -(-n // PART_ROWS)), doc)
+
+
 def count_deltas(before: DataFrame | None, after: DataFrame, doc: str, term: str, date: str) -> DataFrame:
     """(term, year, n): by how much the counts of each term and year change when the rows `before` of some documents become
     `after`; n may be negative, and what cancels out gives no row.

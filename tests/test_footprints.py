@@ -120,3 +120,14 @@ def test_told_reasons(spark):
     (row,) = ranking.told(ranking.heuristic(df, 2024)).collect()
     assert [r.feature for r in row.reasons] == ["has_standard", "total_pubs", "first_seen_year"]
     assert row.reasons[0].text is None and row.reasons[1].text.endswith(": 500")
+
+
+def test_more_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    """A task compares PART_ROWS rows, whatever the number of shuffle partitions, with the counts of a full recount."""
+    monkeypatch.setattr(footprints, "PART_ROWS", 50)
+    rng = random.Random(8)
+    for n, parts in ((40, 1), (400, 8), (4000, 80)):
+        rows = [(f"d{rng.randrange(n // 3)}", rng.choice("abc"), date(2019 + rng.randrange(3), 1, 1)) for _ in range(n)]
+        frame = footprints.dealt(spark.createDataFrame(rows, ROWS), "doc", n)
+        assert frame.rdd.getNumPartitions() == parts
+        assert as_counts(footprints.count_deltas(None, frame, "doc", "term", "day")) == dict(counted(rows))
