@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, LongType, StringType
-from pyspark.sql.window import Window
 
 from emberline.llm import omh
 from emberline.llm.common import steps_freed, text_of, unlink, written
@@ -21,7 +20,7 @@ MIN_WORDS = 4
 #: Keys a line (a power of two), and the least edit similarity of a link.
 KEYS, SIMILARITY = 8, 0.8
 #: 64-bit words of a line's omh.bound().
-BOUND_LONGS = 2
+BOUND_LONGS = 4
 
 # A-Z become a-z; other ASCII characters but digits and newlines part words; bytes of other characters belong to words.
 _TABLE = bytes(10 if c == 10 else c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -120,7 +119,7 @@ def line_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.empty((0, KEYS), np.uint64)
     h = _triples(words, first)
     with np.errstate(over="ignore"):
-        least = np.stack([_mix(np.minimum.reduceat(_mix(h ^ seed), first[:-1])) for seed in _seeds(np.arange(KEYS))], axis=1)
+        least = np.stack([_mix(np.minimum.reduceat(h * (seed | np.uint64(1)), first[:-1])) for seed in _seeds(np.arange(KEYS))], axis=1)  # triples are mixed already
     return least & ~np.uint64(KEYS - 1) | np.arange(KEYS, dtype=np.uint64)
 
 
@@ -128,10 +127,9 @@ def _bounds(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """omh.bound() of each line (rows)."""
     if len(first) < 2:
         return np.empty((0, BOUND_LONGS + 1), np.uint64)
-    bit = (words >> np.uint64(20)) % np.uint64(64 * BOUND_LONGS)
-    one = np.uint64(1) << bit % np.uint64(64)
-    each = [np.bitwise_or.reduceat(np.where(bit // np.uint64(64) == np.uint64(k), one, np.uint64(0)), first[:-1]) for k in range(BOUND_LONGS)]
-    return np.stack([np.diff(first).astype(np.uint64), *each], axis=1)
+    held = np.zeros((len(first) - 1, 64 * BOUND_LONGS), bool)
+    held[np.repeat(np.arange(len(held)), np.diff(first)), (words >> np.uint64(20)) % np.uint64(64 * BOUND_LONGS)] = True
+    return np.c_[np.diff(first).astype(np.uint64), np.packbits(held, axis=1, bitorder="little").view(np.uint64)]
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -187,11 +185,12 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().view(np.int64)))
 
 
-@arrow_udf(ArrayType(LongType()))
-def keys_of(codes: pa.Array) -> pa.Array:
-    """line_keys() of the words of each line."""
-    words, first = omh._flat(codes, "<u4")
-    return _lists(line_keys(words.astype(np.uint64), first))
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key) of (id, codes): a row for each of the line_keys() of the words of each line."""
+    for batch in batches:
+        words, first = omh._flat(batch.column(1), "<u4")
+        keys = line_keys(words.astype(np.uint64), first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), KEYS)), pa.array(keys.ravel().view(np.int64))], ["id", "key"])
 
 
 @arrow_udf(ArrayType(LongType()))
@@ -204,15 +203,9 @@ def bounds_of(codes: pa.Array) -> pa.Array:
 def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id -> component) of the lines that have a fuzzy partner. lines: lines_of()."""
     own = lines.where("codes is not null").select(F.col("h").alias("id"), "codes")
-    of_key = Window.partitionBy("key")
-    both = own.select("id", F.explode(keys_of("codes")).alias("key"))
-    both = both.select("id", "key", F.min("id").over(of_key).alias("id2"), F.max("id").over(of_key).alias("high"), F.count("*").over(of_key).alias("size"))
-    held = written(both.where("id2 < high").select("id", "key", "size", "id2").distinct())
-    near = own.select("id", bounds_of("codes").alias("bound"))
-    longs = [f"b{k}" for k in range(BOUND_LONGS + 1)]  # of one line, equal
-    near = near.select("id", *[F.col("bound")[k].alias(c) for k, c in enumerate(longs)]).groupBy("id").agg(*[F.min(c).alias(c) for c in longs])
-    bounds = written(near.select("id", F.array(*longs).alias("bound")))
-    _, groups = omh.linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity, BOUND_LONGS)
+    held = written(omh.shared_keys(own.mapInArrow(keyed, "id bigint, key bigint"), lines.count() * KEYS))
+    bounds = written(own.select("id", bounds_of("codes").alias("bound")))
+    _, groups = omh.linked(held, bounds, own.select("id", F.lit(0).alias("rank"), "codes"), similarity)
     unlink(held)
     unlink(bounds)
     return groups

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, LongType, StructField, StructType
 
 from emberline.llm.common import components, hashes_of, steps_freed, text_of, unlink, words_of, written
@@ -18,8 +21,7 @@ from emberline.llm.common import components, hashes_of, steps_freed, text_of, un
 K, SHORT_K, SHORT_WORDS = 3, 2, 50
 #: Sketches a document, k-mers a sketch, and the least edit similarity of a link.
 SKETCHES, KEPT, SIMILARITY = 40, 2, 0.8
-#: Buckets up to this size give all their pairs. Larger ones link to a centre first; members of those that are not one component
-#: by then meet in blocks or, if they are many, by their rarest runs of RARE_RUN words, counted in so many slots.
+#: Rare runs that up to so many texts have give all their pairs; words a rare run, counted in so many slots.
 SMALL_BUCKET, RARE_RUN, SLOTS = 128, 2, 1 << 16
 #: 64-bit words of a document's bound().
 BOUND_LONGS = 8
@@ -28,8 +30,11 @@ SHORT_ALIGNED = 100
 #: Words up to which a text's alignment holds a column of the band as the bits of one number; longer texts go by diagonals up to
 #: FEW_EDITS edits and beyond that row by row, with memory for the band alone.
 BIT_WORDS, FEW_EDITS = 20_000, 64
-#: Pairs up to which they are sent to the texts (some 20 MB an executor); beyond, texts and pairs are both shuffled.
-FEW_PAIRS = 200_000
+#: Pairs up to which they are sent to the texts (some 80 MB an executor); beyond, texts and pairs are both shuffled.
+FEW_PAIRS = 1_000_000
+#: Rows a task of shared_keys() and of linked(). Members up to which a bucket's pairs are made together with those of other
+#: buckets, members of a bucket that all meet in one task, and possible pairs a member beyond which texts meet in blocks.
+KEY_ROWS, MET_ROWS, FEW_MEMBERS, BUCKET, MANY_PAIRS = 4_000_000, 1_000_000, 16, 8192, 32
 #: Texts up to which those of large buckets all meet in blocks (more meet by their rarest runs before), and a block's bytes and texts at most.
 FEW_TEXTS, BLOCK_BYTES, BLOCK_TEXTS = 12_000, 1 << 18, 256
 
@@ -381,31 +386,226 @@ def verified(pairs: DataFrame, codes: DataFrame, similarity: float, kind: str =
     return close.where(_aligned(similarity, kind)(F.col("x"), F.col("y"))).select(*pairs.columns)
 
 
+def tasks_for(rows: int, each: int, spark: SparkSession) -> int:
+    """How many tasks so many rows are dealt to, `each` a task at most if they lie evenly."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def shared_keys(rows: DataFrame, most: int) -> DataFrame:
+    """(id, key), each once, of the keys that more than one id has. rows: (id, key), again and again perhaps, `most` of them."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, False  # the last row, whose successor is still to come, and whether the row before it has its key
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            key, again = rows["key"].to_numpy(), _again(rows)
+            rows, key = rows.filter(pa.array(~again)), key[~again]
+            same = np.r_[before, key[1:] == key[:-1]]
+            yield from rows.slice(0, len(key) - 1).filter(pa.array((same[:-1] | same[1:])[: len(key) - 1])).to_batches()
+            last, before = rows.slice(len(key) - 1).combine_chunks().to_batches()[0], bool(same[-1])
+        if before:
+            yield last
+
+    kind = rows.schema["id"].dataType.simpleString()
+    dealt = rows.select("id", "key").repartition(tasks_for(most, KEY_ROWS, rows.sparkSession), "key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(shared, f"id {kind}, key bigint")
+
+
+def _again(rows: pa.Table) -> np.ndarray:
+    """Whether a row has the key and the id of the one before it."""
+    key, ids = rows["key"].to_numpy(), rows["id"].combine_chunks()
+    if not len(rows):
+        return np.zeros(0, bool)
+    return np.r_[False, (key[1:] == key[:-1]) & pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False)]
+
+
+def _lacking(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows of bits (last axis), the most that one has and the other lacks."""
+    count = lambda u, v: sum(np.bitwise_count(u[..., k] & ~v[..., k]).astype(np.uint16) for k in range(u.shape[-1]))
+    return np.maximum(count(x, y), count(y, x))
+
+
+def _room(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lengths n, m and bits x, y of bound() leave room for the similarity, pair by pair: each word of one text that the
+    other lacks costs an edit. Never false for a pair that aligns."""
+    band = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
+    out = np.abs(n - m) <= band
+    at = np.flatnonzero(out)
+    out[at] = _lacking(x[at], y[at]) <= band[at]
+    return out
+
+
+def _room_within(n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+    """_room() of all pairs i < j of one bucket, as a matrix; lengths too far apart are not compared."""
+    size, out = len(n), np.zeros((len(n), len(n)), bool)
+    order = np.argsort(n, kind="stable")
+    s, b = n[order], bits[order]
+    for i in range(0, size, 128):
+        end = min(size, i + 128)
+        to = np.searchsorted(s, s[end - 1] / similarity + 1, "right")
+        band = ((1 - similarity) * np.maximum(s[i:end, None], s[None, i:to]) + 1e-9).astype(np.int64)
+        ok = (np.abs(s[i:end, None] - s[None, i:to]) <= band) & (_lacking(b[i:end, None], b[None, i:to]) <= band)
+        out[np.ix_(order[i:end], order[i:to])] = ok
+    return np.triu(out | out.T, 1)
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A tree of each component of a bucket's possible pairs (upper triangle), from its least member on."""
+    both, left = near | near.T, near.any(0) | near.any(1)
+    tree = [np.empty((0, 2), np.int64)]
+    while left.any():
+        queue = [int(left.argmax())]
+        left[queue[0]] = False
+        for u in queue:
+            found = np.flatnonzero(both[u] & left)
+            left[found] = False
+            tree.append(np.stack([np.minimum(u, found), np.maximum(u, found)], 1))
+            queue += found.tolist()
+    return tuple(np.concatenate(tree).T)
+
+
+#: What a row of met() says: PAIR: the only possible pair of its texts; TREE: one of a tree that spans three possible texts or more;
+#: STAR: a possible pair with the least id of a bucket beyond BUCKET; BEYOND: an impossible one, or a bucket of too many pairs.
+PAIR, TREE, STAR, BEYOND = 0, 1, 2, 3
+
+
+def _met(similarity: float, of: pa.DataType, labelled: bool):
+    """From rows (id, key, bound[, c]) by key and id: a tree of the possible pairs of each bucket, or, labelled, all possible
+    pairs of different c. Of buckets beyond BUCKET the pairs with the least id, which takes no memory."""
+    schema = pa.schema([("key", pa.int64()), *[(c, of) for c in ("a", "b", "of_a", "of_b")], ("kind", pa.int32())])
+
+    def made(rows: pa.Table, i: np.ndarray, j: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        ids, i, j = rows["id"].combine_chunks(), pa.array(i, pa.int64()), pa.array(j, pa.int64())
+        c = rows["c"].combine_chunks() if labelled else pa.nulls(len(rows), of)
+        return pa.RecordBatch.from_arrays([rows["key"].combine_chunks().take(i), ids.take(i), ids.take(j), c.take(i), c.take(j), pa.array(kind, pa.int32())], schema=schema)
+
+    def parts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat = rows["bound"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        return rows["key"].to_numpy(), flat[:, 0], flat[:, 1:].view(np.uint64)
+
+    def star(rows: pa.Table) -> pa.RecordBatch:
+        """The first row with all others."""
+        _, n, bits = parts(rows)
+        j = np.arange(1, len(rows))
+        room = _room(np.full(len(j), n[0]), n[j], np.broadcast_to(bits[:1], (len(j), bits.shape[1])), bits[j], similarity)
+        return made(rows, np.zeros(len(j), np.int64), j, np.where(room, STAR, BEYOND))
+
+    def buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.filter(pa.array(~_again(rows)))
+        key, n, bits = parts(rows)
+        c = np.unique(rows["c"].to_numpy(), return_inverse=True)[1] if labelled else np.arange(len(key))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        small = np.repeat(sizes <= FEW_MEMBERS, sizes)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d in range(1, min(FEW_MEMBERS, len(key))):
+            i = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & (c[d:] != c[:-d]))
+            if not len(i):
+                break
+            i = i[_room(n[i], n[i + d], bits[i], bits[i + d], similarity)]
+            left.append(i)
+            right.append(i + d)
+        i, j = np.concatenate(left), np.concatenate(right)
+        if labelled:
+            yield made(rows, i, j, np.full(len(i), PAIR))
+        else:
+            bucket = np.searchsorted(starts, i, "right") - 1
+            alone = np.bincount(bucket, minlength=len(starts))[bucket] == 1
+            tree = _forest(i[~alone], j[~alone])
+            yield made(rows, np.r_[i[alone], tree[0]], np.r_[j[alone], tree[1]], np.repeat([PAIR, TREE], [alone.sum(), len(tree[0])]))
+        for at in np.flatnonzero(sizes > FEW_MEMBERS).tolist():
+            own = slice(starts[at], starts[at] + sizes[at])
+            near = _room_within(n[own], bits[own], similarity)
+            if labelled:
+                near &= c[own][:, None] != c[own][None, :]
+                i, j = np.nonzero(near)
+                if len(i) > MANY_PAIRS * sizes[at]:
+                    yield made(rows, starts[[at]], starts[[at]], np.array([BEYOND]))
+                else:
+                    yield made(rows, i + starts[at], j + starts[at], np.full(len(i), PAIR))
+            else:
+                i, j = _spanning(near)
+                yield made(rows, i + starts[at], j + starts[at], np.full(len(i), TREE))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, centre = None, None  # rows of buckets that may go on; the first row of a bucket beyond BUCKET
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if centre is not None:
+                size = int(np.searchsorted(batch.column("key").to_numpy(), centre["key"][0].as_py(), "right"))
+                if size:
+                    yield star(pa.concat_tables([centre, rows.slice(0, size)]).combine_chunks())
+                if size == len(rows):
+                    continue
+                rows, centre = rows.slice(size), None
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = rows["key"].to_numpy()
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last:
+                yield from buckets(rows.slice(0, last).combine_chunks())
+            held = rows.slice(last).combine_chunks()
+            if len(held) > BUCKET:
+                yield star(held)
+                held, centre = None, held.slice(0, 1)
+        if held is not None and len(held):
+            yield from buckets(held)
+
+    return met, schema
+
+
+def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of these edges a spanning tree of each component, those of the least left ends first."""
+    root: dict[int, int] = {}
+
+    def of(i: int) -> int:
+        while i in root:
+            i = root[i]
+        return i
+
+    kept = []
+    for at in np.lexsort((right, left)).tolist():
+        u, v = of(int(left[at])), of(int(right[at]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            kept.append(at)
+    return left[kept], right[kept]
+
+
 def linked(
-    keys: DataFrame, bounds: DataFrame, codes: DataFrame, similarity: float, longs: int = BOUND_LONGS, kind: str = "<u4"
+    keys: DataFrame, bounds: DataFrame, codes: DataFrame, similarity: float, kind: str = "<u4"
 ) -> tuple[DataFrame, DataFrame]:
     """(verified links (a, b) that join what all pairs with a common key would join; (id, component) of the ids that have one).
 
-    keys: distinct rows (id, key, size, id2) of the keys that are not alone: size how many rows have the key, id2 the least of
-    their ids; bounds: (id, bound), one row an id; codes: (id, rank, codes), words of this kind; if an id comes again, its least
-    rank counts.
+    keys: distinct rows (id, key) of the keys that are not alone, as of shared_keys(); bounds: (id, bound), the same bound if an
+    id comes again; codes: (id, rank, codes), words of this kind; if an id comes again, its least rank counts.
 
-    In each bucket all are aligned with the least id; a bucket whose members all match it is done. The others, if they have up
-    to SMALL_BUCKET ids, give all pairs but those of two that match the least id. Of the larger ones those that are one
-    component by then are done too. All members of the rest, matched or not, meet anew, which loses no pair of the similarity: up
-    to FEW_TEXTS of them each with each (in_blocks()), more by their rare_runs(). A rare run that up to SMALL_BUCKET have gives
-    all its pairs, one that more have is aligned with a centre; those whose texts are not one component by then leave their texts
-    to in_blocks(). Ids that are joined already make no pair again, and pairs that bounds rule out are not aligned.
+    The members of a bucket meet within a task by their bounds, so that only pairs that these leave room for become rows. Of each
+    bucket first a tree of such pairs is aligned. Buckets where all of the tree align are done; in the others all possible pairs
+    of ids that are not joined by then are aligned. Beyond BUCKET members all are aligned with the least id instead. The members
+    of such buckets that are not one component by then, and of those with more than MANY_PAIRS possible pairs a member, meet anew,
+    which loses no pair of the similarity: up to FEW_TEXTS of them each with each (in_blocks()), more by their rare_runs(). A rare
+    run that up to SMALL_BUCKET have gives all its pairs, one that more have is aligned with a centre; those whose texts are not
+    one component by then leave their texts to in_blocks(). Ids that are joined already make no pair again.
     """
+    spark, of_id = keys.sparkSession, keys.schema["id"].dataType
 
     def aligned(pairs: DataFrame) -> DataFrame:
+        n = pairs.count()
+        if not n:
+            return pairs
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        few = pairs.count() <= FEW_PAIRS
+        few = n <= FEW_PAIRS
         asked = codes.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes"))
         return written(verified(pairs, asked, similarity, kind, few))
 
+    def met(rows: DataFrame, labelled: bool = False) -> DataFrame:
+        made, schema = _met(similarity, to_arrow_type(of_id), labelled)
+        ddl = ", ".join(f"{f.name} {of_id.simpleString() if f.name in ('a', 'b', 'of_a', 'of_b') else 'bigint' if f.name == 'key' else 'int'}" for f in schema)
+        dealt = rows.join(bounds, "id").repartition(tasks_for(rows.count(), MET_ROWS, spark), "key").sortWithinPartitions("key", "id")
+        return written(dealt.mapInArrow(made, ddl))
+
     def bounded(rows: DataFrame, id_col: str = "id", name: str = "bound") -> DataFrame:
-        return rows.join(bounds.select(F.col("id").alias(id_col), F.col("bound").alias(name)), id_col)
+        return rows.join(bounds.select(F.col("id").alias(id_col), F.col("bound").alias(name)).distinct(), id_col)
 
     def others(rows: DataFrame) -> DataFrame:
         return rows.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("bound").alias("bound2"))
@@ -415,34 +615,34 @@ def linked(
         low, high = F.least(x, y), F.greatest(x, y)
         return rows.select(low["id"].alias("a"), high["id"].alias("b"), low["c"].alias("of_a"), high["c"].alias("of_b")).distinct()
 
-    possible_pair = possible("bound", "bound2", similarity, longs)
-    to_centre = keys.where("id <> id2").select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
-    asked = written(bounded(bounded(to_centre, "a"), "b", "bound2").where(possible_pair).select("a", "b"))
-    first = aligned(asked)
-    unlink(asked)
-    # who does not match the bucket's least id; buckets without such a member are done
-    loose = written(keys.where("id <> id2").join(first.select(F.col("a").alias("id2"), F.col("b").alias("id")), ["id", "id2"], "left_anti").select("id", "key", "size", "id2"))
-    few = loose.where(F.col("size") <= SMALL_BUCKET)
-    met = keys.where((F.col("size") <= SMALL_BUCKET) & (F.col("id") != F.col("id2"))).select("id", "key").join(few.select("key").distinct(), "key")
-    met = bounded(met).select("key", F.col("id").alias("id2"), F.col("bound").alias("bound2"))
-    cross = bounded(few.select("id", "key")).join(met, "key").where((F.col("id") != F.col("id2")) & possible_pair)
-    cross = cross.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    pairs = written(cross.join(first, ["a", "b"], "left_anti"))
-    second = aligned(pairs)
-    links, tried, joined = first.union(second), pairs, written(components(first.union(second)))
-    # who matches the bucket's least id has its component: the others tell whether a large bucket is one
-    of = lambda i, c: joined.select(F.col("id").alias(i), F.col("component").alias(c))
-    labelled = loose.where(F.col("size") > SMALL_BUCKET).join(of("id", "c"), "id", "left").join(of("id2", "c2"), "id2", "left")
-    apart = written(labelled.where(F.coalesce("c", "id") != F.coalesce("c2", "id2")).select("key").distinct())
-    unlink(loose)
+    tree = met(keys.select("id", "key"))
+    tried = written(tree.where(F.col("kind") < BEYOND).select("a", "b").distinct())
+    links = aligned(tried)
+    joined = written(components(links))
+    lost = written(tree.where(F.col("kind") != PAIR).join(links, ["a", "b"], "left_anti").select("key", "a", "b", "kind"))
+    apart = lost.where(F.col("kind") != TREE).select("key", "a", "b")
+    if not apart.isEmpty():
+        of = lambda i, c: joined.select(F.col("id").alias(i), F.col("component").alias(c))
+        apart = apart.join(of("a", "c"), "a", "left").join(of("b", "c2"), "b", "left").where(F.coalesce("c", "a") != F.coalesce("c2", "b"))
+    apart = apart.select("key")
+    broken = lost.where(F.col("kind") == TREE).select("key").distinct()
+    if not broken.isEmpty():
+        rows = written(keys.join(broken, "key", "left_semi").join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c")))
+        more = met(rows, True)
+        pairs = written(more.where(F.col("kind") == PAIR).select("a", "b", "of_a", "of_b").distinct())
+        found = aligned(pairs)
+        links, joined, tried = links.union(found.select("a", "b")), _joined_on(joined, found), tried.union(pairs.select("a", "b"))
+        apart = apart.union(more.where(F.col("kind") == BEYOND).select("key"))
+    apart = written(apart.distinct())
     if apart.isEmpty():
         return links, joined
-    hot = keys.where(F.col("size") > SMALL_BUCKET).join(apart, "key").select("id").distinct()
+    hot = keys.join(apart, "key", "left_semi").select("id").distinct()
     hot = written(codes.join(hot.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes")))
     if hot.count() > FEW_TEXTS:
         weight = np.zeros(SLOTS, np.int64)
         for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
             weight[r["slot"]] = r["n"]
+        possible_pair = possible("bound", "bound2", similarity, len(bounds.select("bound").first()[0]) - 1)
         parts = written(hot.select("id", F.explode(rare_runs_of(weight, similarity, kind)("codes")).alias("key")))
         rows = parts.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "key")
         sized = rows.groupBy("key").agg(F.max(F.struct("id", "c")).alias("centre"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
@@ -602,9 +802,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         least = first.groupBy("d1", "d2").agg(F.min("id").alias("id"))
         keyed = named.select("id", "d1", "d2", "n", "keys", "bound").join(least, ["id", "d1", "d2"], "left_semi").groupBy("id", "d1", "d2").agg(*[F.first(c).alias(c) for c in ("n", "keys", "bound")])
         reps = written(keyed)
-        each = reps.select("id", F.explode("keys").alias("key"))
-        sized = each.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("id2")).where("size > 1")
-        keys = written(each.join(sized, "key").select("id", "key", "size", "id2"))
+        keys = written(shared_keys(reps.select("id", F.explode("keys").alias("key")), reps.count() * SKETCHES))
         links, joined = linked(keys, reps.select("id", "bound"), named.select("id", F.struct("d1", "d2").alias("rank"), "codes"), similarity)
         unlink(keys)
         degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))

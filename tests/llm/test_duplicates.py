@@ -362,3 +362,36 @@ def test_large_pools_meet_by_rare_runs_first(spark, monkeypatch):
     monkeypatch.setattr(omh, "FEW_TEXTS", 10)
     test_large_buckets_lose_no_pair(spark)
     test_links_in_large_buckets(spark)
+
+
+def test_pairs_of_a_bucket_are_made_by_their_bounds(spark, monkeypatch):
+    """Buckets of every size: what is joined is what all pairs of a bucket join, and of 300 unrelated texts in one bucket no
+    pair is made; the same where buckets count as large or as those of many pairs."""
+    r = random.Random(31)
+    near = lambda t: [w if r.random() > 0.12 else r.randrange(1 << 31) for w in t]
+    fresh = lambda n: [r.randrange(1 << 31) for _ in range(n)]
+    texts, keys = [], []
+    for key, size in enumerate((2, 3, 5, 15, 16, 17, 40)):
+        bases = [fresh(r.randint(20, 60)) for _ in range(1 + size // 4)]
+        for _ in range(size):
+            keys.append((len(texts), key))
+            texts.append(near(r.choice(bases)))
+    linked = len(texts)
+    keys += [(i, 99) for i in range(linked, linked + 300)]
+    texts += [fresh(30) for _ in range(300)]
+    links = [(a, b) for k, (a, x) in enumerate(keys) for b, y in keys[:k] if x == y < 99 and edit_distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
+    want = {i: c for i, c in classes(range(linked), links).items()}
+    codes = spark.createDataFrame([(i, 0, bytearray(np.array(t, "<u4").tobytes())) for i, t in enumerate(texts)], "id long, rank int, codes binary")
+    bounds = spark.createDataFrame([(i, [int(x) for x in omh.bound(np.array(t, np.uint64) << np.uint64(20), 4).view(np.int64)]) for i, t in enumerate(texts)], "id long, bound array<long>")
+    alone = [(i, 1000 + i) for i in range(50)]
+    held = common.written(omh.shared_keys(spark.createDataFrame([*keys, *keys[:90], *alone], "id long, key long"), 1000))
+    assert sorted((x.id, x.key) for x in held.collect()) == sorted(keys)
+    made, real = [], omh.verified
+    monkeypatch.setattr(omh, "verified", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    for name, value in (("FEW_MEMBERS", 16), ("FEW_MEMBERS", 2), ("MANY_PAIRS", 0), ("BUCKET", 10)):
+        monkeypatch.setattr(omh, name, value)
+        made.clear()
+        _, joined = omh.linked(held, bounds, codes, 0.8)
+        got = {x.id: x.component for x in joined.collect()}
+        assert len(links) > 50 and {i: got.get(i, i) for i in range(len(texts))} == want | {i: i for i in range(linked, len(texts))}
+        assert name == "BUCKET" or sum(made) <= 2 * linked
