@@ -19,8 +19,6 @@ from emberline.llm.common import steps_freed, text_of, unlink, written
 MIN_WORDS = 4
 #: Keys a line (a power of two), and the least edit similarity of a link.
 KEYS, SIMILARITY = 8, 0.8
-#: 64-bit words of a line's omh.bound().
-BOUND_LONGS = 4
 
 # A-Z become a-z; other ASCII characters but digits and newlines part words; bytes of other characters belong to words.
 _TABLE = bytes(10 if c == 10 else c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -123,15 +121,6 @@ def line_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return least & ~np.uint64(KEYS - 1) | np.arange(KEYS, dtype=np.uint64)
 
 
-def _bounds(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """omh.bound() of each line (rows)."""
-    if len(first) < 2:
-        return np.empty((0, BOUND_LONGS + 1), np.uint64)
-    held = np.zeros((len(first) - 1, 64 * BOUND_LONGS), bool)
-    held[np.repeat(np.arange(len(held)), np.diff(first)), (words >> np.uint64(20)) % np.uint64(64 * BOUND_LONGS)] = True
-    return np.c_[np.diff(first).astype(np.uint64), np.packbits(held, axis=1, bitorder="little").view(np.uint64)]
-
-
 def _chunks(texts: pa.Array) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Texts put together up to _CHUNK characters, with the row and the line number of each line."""
     held: list[str] = []
@@ -181,10 +170,6 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(hashed, f"doc_id {kind}, line_no int, h bigint, codes binary")
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel().view(np.int64)))
-
-
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key) of (id, codes): a row for each of the line_keys() of the words of each line."""
     for batch in batches:
@@ -195,9 +180,8 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @arrow_udf(ArrayType(LongType()))
 def bounds_of(codes: pa.Array) -> pa.Array:
-    """omh.bound() of each line."""
-    words, first = omh._flat(codes, "<u4")
-    return _lists(_bounds(words.astype(np.uint64), first))
+    """omh.counted_bounds() of each line."""
+    return omh.counted_bounds(*omh._flat(codes, "<u4"))
 
 
 def line_groups(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

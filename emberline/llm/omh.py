@@ -21,22 +21,26 @@ from emberline.llm.common import components, hashes_of, steps_freed, text_of, un
 K, SHORT_K, SHORT_WORDS = 3, 2, 50
 #: Sketches a document, k-mers a sketch, and the least edit similarity of a link.
 SKETCHES, KEPT, SIMILARITY = 40, 2, 0.8
-#: Rare runs that up to so many texts have give all their pairs; words a rare run, counted in so many slots.
-SMALL_BUCKET, RARE_RUN, SLOTS = 128, 2, 1 << 16
+#: Words a rare run, counted in so many slots.
+RARE_RUN, SLOTS = 2, 1 << 16
 #: 64-bit words of a document's bound().
 BOUND_LONGS = 8
+#: Bits a slot of counted_bounds(), and the slots of the least and the greatest one (powers of two, 64 at least).
+PLANES, LEAST_SLOTS, MOST_SLOTS = 3, 64, 512
 #: Words up to which no bounds are tried before the alignment, since it costs less.
 SHORT_ALIGNED = 100
 #: Words up to which a text's alignment holds a column of the band as the bits of one number; longer texts go by diagonals up to
 #: FEW_EDITS edits and beyond that row by row, with memory for the band alone.
 BIT_WORDS, FEW_EDITS = 20_000, 64
-#: Pairs up to which they are sent to the texts (some 80 MB an executor); beyond, texts and pairs are both shuffled.
+#: Pairs that are sent to the texts at once (some 80 MB an executor).
 FEW_PAIRS = 1_000_000
 #: Rows a task of shared_keys() and of linked(). Members up to which a bucket's pairs are made together with those of other
 #: buckets, members of a bucket that all meet in one task, and possible pairs a member beyond which texts meet in blocks.
 KEY_ROWS, MET_ROWS, FEW_MEMBERS, BUCKET, MANY_PAIRS = 4_000_000, 1_000_000, 16, 8192, 32
 #: Texts up to which those of large buckets all meet in blocks (more meet by their rarest runs before), and a block's bytes and texts at most.
 FEW_TEXTS, BLOCK_BYTES, BLOCK_TEXTS = 12_000, 1 << 18, 256
+#: Meetings of two blocks that go at once in any case.
+LEAST_MEETINGS = 256
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,7 +167,7 @@ def codes_of(hashes: pa.Array) -> pa.Array:
 
 
 def bound(words: np.ndarray, longs: int) -> np.ndarray:
-    """What possible() compares: how many words there are, and a bit of 64 * longs for each word."""
+    """What _room() compares: how many words there are, and a bit of 64 * longs for each word."""
     bits = np.zeros(64 * longs, bool)
     bits[(words >> np.uint64(20)) % np.uint64(64 * longs)] = True
     return np.r_[len(words), np.packbits(bits, bitorder="little").view(np.int64)]
@@ -176,13 +180,31 @@ def bounds_of(hashes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * (BOUND_LONGS + 1), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *values])))
 
 
-def possible(x: str, y: str, similarity: float, longs: int) -> Column:
-    """Whether two bound() columns leave room for the similarity: lengths, and words of each that the other lacks, each of
-    which costs an edit. Never false for a pair that aligns."""
-    n, m = F.get(F.col(x), F.lit(0)), F.get(F.col(y), F.lit(0))
-    band = F.floor(F.greatest(n, m) * F.lit(1 - similarity) + F.lit(1e-9))
-    lacking = lambda u, v: sum((F.bit_count(F.get(F.col(u), F.lit(k)).bitwiseAND(F.bitwise_not(F.get(F.col(v), F.lit(k))))) for k in range(1, longs + 1)), F.lit(0))
-    return (F.abs(n - m) <= band) & (lacking(x, y) <= band) & (lacking(y, x) <= band)
+def counted_bounds(words: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Like bound(), for each text of words[first[i] : first[i + 1]], but by how often its words occur: the n-th occurrence of a word
+    is another one than the first, each falls into a slot, and bits of PLANES tell that a slot has one, two, three or more. Slots
+    grow with the text, so that long texts and texts of a few words again and again are told apart; see _folded() for two sizes."""
+    n = np.diff(first)
+    slots = np.full(len(n), LEAST_SLOTS)
+    while len(grow := np.flatnonzero((slots < n) & (slots < MOST_SLOTS))):
+        slots[grow] *= 2
+    key = np.sort(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(32), n) | words.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+    row, at = (key >> np.uint64(32)).astype(np.int64), np.arange(len(key))
+    rank = at - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]][: len(key)], at, 0))
+    with np.errstate(over="ignore"):
+        slot = (_mix((key & np.uint64(0xFFFFFFFF)) * _MULT + rank.astype(np.uint64) * np.uint64(0x94D049BB133111EB)) >> np.uint64(20)).astype(np.int64) % slots[row]
+    starts = np.r_[0, np.cumsum(PLANES * slots)]
+    times = np.bincount(starts[row] + slot, minlength=starts[-1])
+    held = times > 0
+    for p in range(1, PLANES):
+        more = np.flatnonzero(times > p)
+        held[more + p * slots[np.searchsorted(starts, more, "right") - 1]] = True
+    ends = np.r_[0, np.cumsum(1 + PLANES * slots // 64)]
+    out = np.empty(ends[-1], np.int64)
+    bits = np.ones(len(out), bool)
+    bits[ends[:-1]] = False
+    out[ends[:-1]], out[bits] = n, np.packbits(held, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
 def within(x: np.ndarray, y: np.ndarray, band: int) -> bool:
@@ -376,7 +398,7 @@ def _flat(codes: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
 
 def verified(pairs: DataFrame, codes: DataFrame, similarity: float, kind: str = "<u4", few: bool = False) -> DataFrame:
     """Those rows, with a, b and any other columns, whose word sequences (codes: id, codes) align within the band that the similarity leaves.
-    few: whether the pairs are known to be at most FEW_PAIRS."""
+    few: whether the pairs are known to be some FEW_PAIRS at most."""
     left = codes.select(F.col("id").alias("a"), F.col("codes").alias("x"))
     right = codes.select(F.col("id").alias("b"), F.col("codes").alias("y"))
     first = left.join(F.broadcast(pairs), "a") if few else pairs.hint("merge").join(left, "a")
@@ -425,27 +447,65 @@ def _lacking(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(count(x, y), count(y, x))
 
 
-def _room(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lengths n, m and bits x, y of bound() leave room for the similarity, pair by pair: each word of one text that the
-    other lacks costs an edit. Never false for a pair that aligns."""
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bits of counted_bounds() as texts of fewer slots have them: slots with those half the slots away, their times added."""
+    while bits.shape[1] > width:
+        a, b = np.split(bits.reshape(len(bits), PLANES, -1), 2, axis=2)
+        planes = []
+        for p in range(PLANES):
+            both = a[:, p] | b[:, p]
+            for q in range(p):
+                both = both | a[:, q] & b[:, p - 1 - q]
+            planes.append(both)
+        bits = np.concatenate(planes, axis=1)
+    return bits
+
+
+class _Bounds:
+    """The values of bound() or counted_bounds() of some rows: n, the texts' words, and their bits, of one width or several."""
+
+    def __init__(self, column: pa.Array):
+        self.flat, size = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.at = np.r_[0, np.cumsum(size)][:-1]
+        self.n, self.width = self.flat[self.at], size - 1
+
+    def bits(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Those rows' bits, folded to that width."""
+        out = np.empty((len(rows), width), np.uint64)
+        own = self.width[rows]
+        for w in np.unique(own).tolist():
+            at = np.flatnonzero(own == w)
+            out[at] = _folded(self.flat[self.at[rows[at], None] + 1 + np.arange(w)].view(np.uint64), width)
+        return out
+
+
+def _room(bounds: _Bounds, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows i and j of the bounds leave room for the similarity, pair by pair: each word of one text that the other lacks
+    costs an edit. Never false for a pair that aligns."""
+    n, m, width = bounds.n[i], bounds.n[j], np.minimum(bounds.width[i], bounds.width[j])
     band = ((1 - similarity) * np.maximum(n, m) + 1e-9).astype(np.int64)
     out = np.abs(n - m) <= band
-    at = np.flatnonzero(out)
-    out[at] = _lacking(x[at], y[at]) <= band[at]
+    open_width = np.where(out, width, 0)
+    for w in np.unique(width[out]).tolist():
+        at = np.flatnonzero(open_width == w)
+        out[at] = _lacking(bounds.bits(i[at], w), bounds.bits(j[at], w)) <= band[at]
     return out
 
 
-def _room_within(n: np.ndarray, bits: np.ndarray, similarity: float) -> np.ndarray:
+def _room_within(bounds: _Bounds, start: int, size: int, similarity: float) -> np.ndarray:
     """_room() of all pairs i < j of one bucket, as a matrix; lengths too far apart are not compared."""
-    size, out = len(n), np.zeros((len(n), len(n)), bool)
-    order = np.argsort(n, kind="stable")
-    s, b = n[order], bits[order]
-    for i in range(0, size, 128):
-        end = min(size, i + 128)
+    out = np.zeros((size, size), bool)
+    order = np.argsort(bounds.n[start : start + size], kind="stable")
+    s, width = bounds.n[start + order], bounds.width[start + order]
+    i = 0
+    while i < size:
+        end = i + int(np.searchsorted(width[i : i + 128], width[i], "right"))  # longer texts are of no less width
         to = np.searchsorted(s, s[end - 1] / similarity + 1, "right")
         band = ((1 - similarity) * np.maximum(s[i:end, None], s[None, i:to]) + 1e-9).astype(np.int64)
-        ok = (np.abs(s[i:end, None] - s[None, i:to]) <= band) & (_lacking(b[i:end, None], b[None, i:to]) <= band)
+        bits = bounds.bits(start + order[i:to], int(width[i]))
+        ok = (np.abs(s[i:end, None] - s[None, i:to]) <= band) & (_lacking(bits[: end - i, None], bits[None]) <= band)
         out[np.ix_(order[i:end], order[i:to])] = ok
+        i = end
     return np.triu(out | out.T, 1)
 
 
@@ -479,20 +539,15 @@ def _met(similarity: float, of: pa.DataType, labelled: bool):
         c = rows["c"].combine_chunks() if labelled else pa.nulls(len(rows), of)
         return pa.RecordBatch.from_arrays([rows["key"].combine_chunks().take(i), ids.take(i), ids.take(j), c.take(i), c.take(j), pa.array(kind, pa.int32())], schema=schema)
 
-    def parts(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = rows["bound"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-        return rows["key"].to_numpy(), flat[:, 0], flat[:, 1:].view(np.uint64)
-
     def star(rows: pa.Table) -> pa.RecordBatch:
         """The first row with all others."""
-        _, n, bits = parts(rows)
         j = np.arange(1, len(rows))
-        room = _room(np.full(len(j), n[0]), n[j], np.broadcast_to(bits[:1], (len(j), bits.shape[1])), bits[j], similarity)
-        return made(rows, np.zeros(len(j), np.int64), j, np.where(room, STAR, BEYOND))
+        first = np.zeros(len(j), np.int64)
+        return made(rows, first, j, np.where(_room(_Bounds(rows["bound"].combine_chunks()), first, j, similarity), STAR, BEYOND))
 
     def buckets(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         rows = rows.filter(pa.array(~_again(rows)))
-        key, n, bits = parts(rows)
+        key, bounds = rows["key"].to_numpy(), _Bounds(rows["bound"].combine_chunks())
         c = np.unique(rows["c"].to_numpy(), return_inverse=True)[1] if labelled else np.arange(len(key))
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
@@ -502,7 +557,7 @@ def _met(similarity: float, of: pa.DataType, labelled: bool):
             i = np.flatnonzero((key[d:] == key[:-d]) & small[d:] & (c[d:] != c[:-d]))
             if not len(i):
                 break
-            i = i[_room(n[i], n[i + d], bits[i], bits[i + d], similarity)]
+            i = i[_room(bounds, i, i + d, similarity)]
             left.append(i)
             right.append(i + d)
         i, j = np.concatenate(left), np.concatenate(right)
@@ -515,7 +570,7 @@ def _met(similarity: float, of: pa.DataType, labelled: bool):
             yield made(rows, np.r_[i[alone], tree[0]], np.r_[j[alone], tree[1]], np.repeat([PAIR, TREE], [alone.sum(), len(tree[0])]))
         for at in np.flatnonzero(sizes > FEW_MEMBERS).tolist():
             own = slice(starts[at], starts[at] + sizes[at])
-            near = _room_within(n[own], bits[own], similarity)
+            near = _room_within(bounds, int(starts[at]), int(sizes[at]), similarity)
             if labelled:
                 near &= c[own][:, None] != c[own][None, :]
                 i, j = np.nonzero(near)
@@ -583,20 +638,32 @@ def linked(
     bucket first a tree of such pairs is aligned. Buckets where all of the tree align are done; in the others all possible pairs
     of ids that are not joined by then are aligned. Beyond BUCKET members all are aligned with the least id instead. The members
     of such buckets that are not one component by then, and of those with more than MANY_PAIRS possible pairs a member, meet anew,
-    which loses no pair of the similarity: up to FEW_TEXTS of them each with each (in_blocks()), more by their rare_runs(). A rare
-    run that up to SMALL_BUCKET have gives all its pairs, one that more have is aligned with a centre; those whose texts are not
-    one component by then leave their texts to in_blocks(). Ids that are joined already make no pair again.
+    which loses no pair of the similarity: up to FEW_TEXTS of them each with each (in_blocks()), more by their rare_runs(), which are
+    buckets like others: all possible pairs of ids that are not joined by then, or the pairs with the least id beyond BUCKET; those
+    whose pairs are too many, or not all of them, and whose texts are not one component by then leave their texts to in_blocks().
+    Ids that are joined already make no pair again.
     """
     spark, of_id = keys.sparkSession, keys.schema["id"].dataType
 
+    def codes_by(ids: DataFrame, few: bool) -> DataFrame:
+        """One row of codes for each of these ids. few: whether they are at most 2 * FEW_PAIRS."""
+        return codes.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes"))
+
     def aligned(pairs: DataFrame) -> DataFrame:
+        """The pairs that align. A pair carries a text of any length through a shuffle, so no more than FEW_PAIRS go at once."""
         n = pairs.count()
         if not n:
             return pairs
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        few = n <= FEW_PAIRS
-        asked = codes.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes"))
-        return written(verified(pairs, asked, similarity, kind, few))
+        if n <= FEW_PAIRS:
+            return written(verified(pairs, codes_by(ids, True), similarity, kind, True))
+        asked, parts, out = written(codes_by(ids, False)), -(-n // FEW_PAIRS), None
+        for k in range(parts):
+            part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k)
+            found = written(verified(part, asked, similarity, kind, True))
+            out = found if out is None else out.union(found)
+        unlink(asked)
+        return out
 
     def met(rows: DataFrame, labelled: bool = False) -> DataFrame:
         made, schema = _met(similarity, to_arrow_type(of_id), labelled)
@@ -604,17 +671,6 @@ def linked(
         dealt = rows.join(bounds, "id").repartition(tasks_for(rows.count(), MET_ROWS, spark), "key").sortWithinPartitions("key", "id")
         return written(dealt.mapInArrow(made, ddl))
 
-    def bounded(rows: DataFrame, id_col: str = "id", name: str = "bound") -> DataFrame:
-        return rows.join(bounds.select(F.col("id").alias(id_col), F.col("bound").alias(name)).distinct(), id_col)
-
-    def others(rows: DataFrame) -> DataFrame:
-        return rows.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("bound").alias("bound2"))
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        x, y = (F.struct(F.col(i).alias("id"), F.col(c).alias("c")) for i, c in (("id", "c"), ("id2", "c2")))
-        low, high = F.least(x, y), F.greatest(x, y)
-        return rows.select(low["id"].alias("a"), high["id"].alias("b"), low["c"].alias("of_a"), high["c"].alias("of_b")).distinct()
-
     tree = met(keys.select("id", "key"))
     tried = written(tree.where(F.col("kind") < BEYOND).select("a", "b").distinct())
     links = aligned(tried)
@@ -636,28 +692,26 @@ def linked(
     apart = written(apart.distinct())
     if apart.isEmpty():
         return links, joined
-    hot = keys.join(apart, "key", "left_semi").select("id").distinct()
-    hot = written(codes.join(hot.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min_by("codes", "rank").alias("codes")))
-    if hot.count() > FEW_TEXTS:
+    ids = written(keys.join(apart, "key", "left_semi").select("id").distinct())
+    texts = ids.count()
+    hot = written(codes_by(ids, texts <= 2 * FEW_PAIRS))
+    if texts > FEW_TEXTS:
         weight = np.zeros(SLOTS, np.int64)
         for r in hot.select(F.explode(slots_by(kind)("codes")).alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toLocalIterator():  # SLOTS rows at most
             weight[r["slot"]] = r["n"]
-        possible_pair = possible("bound", "bound2", similarity, len(bounds.select("bound").first()[0]) - 1)
         parts = written(hot.select("id", F.explode(rare_runs_of(weight, similarity, kind)("codes")).alias("key")))
-        rows = parts.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "key")
-        sized = rows.groupBy("key").agg(F.max(F.struct("id", "c")).alias("centre"), F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-        member = written(bounded(rows.join(sized.select("key", "n", "centre"), "key")))
+        rows = parts.join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+        sized = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        rows = written(rows.join(sized, "key", "left_semi"))
         unlink(parts)
-        small, large = member.where(F.col("n") <= SMALL_BUCKET), member.where(F.col("n") > SMALL_BUCKET)
-        close = small.join(others(small), "key").where((F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & possible_pair)
-        against = bounded(large.select("id", "c", "bound", F.col("centre.id").alias("id2"), F.col("centre.c").alias("c2")), "id2", "bound2").where((F.col("c") != F.col("c2")) & possible_pair)
-        of_pair = ("id", "c", "id2", "c2")
-        pairs = written(ordered(close.select(*of_pair).union(against.select(*of_pair))).join(tried, ["a", "b"], "left_anti"))
+        more = met(rows, True)
+        pairs = written(more.where((F.col("kind") < BEYOND) & (F.col("of_a") != F.col("of_b"))).select("a", "b", "of_a", "of_b").distinct().join(tried, ["a", "b"], "left_anti"))
         found = aligned(pairs)
         links, joined = links.union(found.select("a", "b")), _joined_on(joined, found)
-        left = large.select("id", "key").join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
+        wide = more.where(F.col("kind") != PAIR).select("key").distinct()
+        left = rows.join(wide, "key", "left_semi").select("id", "key").join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("c"))
         still = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        rest = left.join(still, "key").select("id").distinct()
+        rest = left.join(still, "key", "left_semi").select("id").distinct()
         pool = hot.join(rest.hint("merge"), "id", "left_semi")
     else:
         pool = hot
@@ -679,10 +733,16 @@ def in_blocks(texts: DataFrame, similarity: float, kind: str = "<u4") -> DataFra
     second = blocks.select(F.col("k").alias("k2"), F.col("i").alias("j"), F.col("x").alias("y"))
     own = blocks.select("k", "i").withColumn("k2", F.explode(F.array("k", F.col("k") + 1)))
     both = own.join(second.select("k2", "j"), "k2").where((F.col("k2") > F.col("k")) | (F.col("j") >= F.col("i")))
-    both = both.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "k2", "j")  # few bytes, much work
-    met = both.join(blocks, ["k", "i"]).join(second, ["k2", "j"])
-    same = (F.col("k") == F.col("k2")) & (F.col("i") == F.col("j"))
-    out = written(met.select(F.inline(_links_between(similarity, kind, texts.schema["id"].dataType)("x", "y", same))).distinct())
+    both = written(both.select("k", "i", "k2", "j"))
+    # two blocks that meet carry a block through a shuffle, so no more of them go at once than there are blocks, twice
+    parts, out = -(-both.count() // max(LEAST_MEETINGS, 2 * blocks.count())), None
+    for r in range(max(1, parts)):
+        part = both.where(F.pmod(F.xxhash64("k", "i", "k2", "j"), F.lit(max(1, parts))) == r)
+        part = part.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "k2", "j")  # few bytes, much work
+        met = part.join(blocks, ["k", "i"]).join(second, ["k2", "j"])
+        same = (F.col("k") == F.col("k2")) & (F.col("i") == F.col("j"))
+        found = written(met.select(F.inline(_links_between(similarity, kind, texts.schema["id"].dataType)("x", "y", same))).distinct())
+        out = found if out is None else out.union(found)
     unlink(blocks)
     return out
 
