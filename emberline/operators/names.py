@@ -10,6 +10,8 @@ from emberline.operators.mentions import at_slot, head_filter
 from emberline.sources.stores import checkpointed
 
 LEAST_LETTERS, TITLE_CASE, ALIKE, MOST_WORDS = 5, 0.7, 0.8, 4
+#: Letters of a key up to which spellings() looks for them one after another.
+MOST_LETTERS = 300
 
 
 def glued(text: Column) -> Column:
@@ -27,18 +29,18 @@ def proper_names(text: Column) -> Column:
     """array<struct<key, words>>: runs of capitalised words inside a sentence, which acronyms may continue; of single words
     those in mixed case. A sentence's first word starts no run. Words without a capital only end runs, so neighbours of that
     kind are put together first."""
-    punctuation = "[,.;:()\"'«»“”’]+"
+    punctuation = "[,.;:()\"'«»“”’]"
     text = F.regexp_replace(text, r"(?<!\S)[^\s\p{Lu}.!?][^\p{Lu}.!?\n]*(?=\s)", "|")
 
     def marked(sentence: Column) -> Column:
         def mark(token: Column, i: Column) -> Column:
-            word = F.regexp_replace(F.regexp_replace(token, f"^{punctuation}|{punctuation}$", ""), "['’]s$", "")
+            word = F.regexp_replace(F.regexp_replace(token, f"^{punctuation}+|(?<!{punctuation}){punctuation}+$", ""), "['’]s$", "")
             acronym = (word == F.upper(word)) & word.rlike(r"\p{Lu}")
             return F.when((i > 0) & word.rlike(r"^\p{Lu}") & ~acronym, F.concat(F.lit("C:"), word)).when(acronym & (F.length(word) > 1), F.concat(F.lit("A:"), word)).otherwise("|")
 
         return F.array_join(F.transform(F.split(F.trim(sentence), r"\s+"), mark), " ")
 
-    runs = F.flatten(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_extract_all(F.concat(marked(s), F.lit(" ")), F.lit(r"(C:[^ |]+ (?:[CA]:[^ |]+ )*)"), 1)))
+    runs = F.flatten(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: F.regexp_extract_all(F.concat(marked(s), F.lit(" ")), F.lit(r"(C:[^ |]+ (?:[CA]:[^ |]+ )*+)"), 1)))  # possessive: else each word of a run takes a frame of the stack
     parts = F.transform(runs, lambda r: F.filter(F.split(F.regexp_replace(r, r"[CA]:", ""), " "), lambda w: w != ""))
     kept = F.filter(parts, lambda w: (F.size(w) >= 2) | w[0].rlike("[a-z]+[A-Z]|[A-Z][a-z0-9]+[A-Z]"))
     return F.transform(kept, lambda w: F.struct(glued(F.array_join(w, "")).alias("key"), F.size(w).alias("words")))
@@ -46,7 +48,13 @@ def proper_names(text: Column) -> Column:
 
 def spellings(text: Column, key: Column) -> Column:
     """How a key's letters are spelled in a text: with spaces, hyphens or nothing between; not in addresses or after @."""
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_@/.])("), F.array_join(F.split(key, ""), r"[\s_-]?"), F.lit(r")(?![\p{L}\p{N}_]|\.[\p{L}\p{N}_])"))
+    gap = r"[\s_-]?"
+    # each letter of a pattern takes a frame of the stack, so a long one goes as groups that are matched for themselves
+    groups = F.regexp_replace(F.substr(key, F.lit(2)), "[a-z0-9]{1,100}", "(?>$0)")
+    nested = F.regexp_replace(groups, r"(?:\(\?>[a-z0-9]{1,100}\)){1,100}", "(?>$0)")
+    long = F.concat(F.substr(key, F.lit(1), F.lit(1)), F.regexp_replace(nested, "[a-z0-9]", r"[\\s_-]?$0"))
+    letters = F.when(F.length(key) <= MOST_LETTERS, F.array_join(F.split(key, ""), gap)).otherwise(long)
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_@/.])("), letters, F.lit(r")(?![\p{L}\p{N}_]|\.[\p{L}\p{N}_])"))
     return F.regexp_extract_all(text, F.concat(F.lit("(?i)"), pattern), 1)
 
 
